@@ -25,4 +25,14 @@ f AS (
     row_number() OVER (PARTITION BY h.page_id, h.host, h.path ORDER BY length(r.host_r || r.path_r) DESC, length(r.host_r) DESC) AS k
   FROM h LEFT JOIN r ON (h.host = r.host_r OR ends_with(h.host, '.' || r.host_r)) AND starts_with(h.path, r.path_r))
 SELECT CAST(page_id AS BIGINT) AS page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1""",
+    "op3_decontamination": r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS ws FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') FROM benchmark),
+g AS (
+  SELECT DISTINCT kind, id, array_to_string(ws[k : k + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) u(k) WHERE len(ws) > 0),
+n AS (SELECT id, count(*) AS n FROM g WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n) AS n_item_shingles, count(*) AS n_shared, count(*) / any_value(n.n) AS containment
+FROM g i JOIN g d ON i.s = d.s AND i.kind = 'i' AND d.kind = 'd' JOIN n ON n.id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9""",
 }

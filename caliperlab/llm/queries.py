@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe_automaton, chat_template, common, url_filter
+from . import bitpack, bpe_automaton, chat_template, common, decontaminate, url_filter
 from .oracles import ORACLES
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -25,6 +25,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(common.table(spark, sf_dir, "pages"), BLOCK, ALLOW)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "token-ids")
     bitpack.write_ids(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))

@@ -35,4 +35,14 @@ n AS (SELECT id, count(*) AS n FROM g WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n) AS n_item_shingles, count(*) AS n_shared, count(*) / any_value(n.n) AS containment
 FROM g i JOIN g d ON i.s = d.s AND i.kind = 'i' AND d.kind = 'd' JOIN n ON n.id = i.id
 GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9""",
+    "op9_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+r(s, t) AS (SELECT a, b FROM p UNION SELECT r.s, p.b FROM r JOIN p ON r.t = p.a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+c AS (SELECT s, min(t) AS m FROM r GROUP BY s)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(e.vec_id, c.m), e.vec_id) AS component_id, coalesce(least(e.vec_id, c.m), e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.s = e.vec_id""",
 }

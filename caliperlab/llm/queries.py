@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe_automaton, chat_template, common, decontaminate, order_minhash, sharding, url_filter
+from . import bitpack, bpe_automaton, chat_template, common, decontaminate, order_minhash, sharding, spherical_filters, url_filter
 from .oracles import ORACLES
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -43,6 +43,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical_filters.linked_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 

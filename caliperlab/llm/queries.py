@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe_automaton, chat_template, common, decontaminate, language_id, order_minhash, sharding, spherical_filters, url_filter
+from . import bitpack, bpe_automaton, chat_template, common, decontaminate, language_id, order_minhash, sharding, spherical_filters, toxicity, url_filter
 from .oracles import ORACLES
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -49,6 +49,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical_filters.linked_vectors(common.table(spark, sf_dir, "embeddings"))
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +80,20 @@ def numbered(df: DataFrame, by: list[str], order: list[str], bucket, name: str)
     inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
     ranked = b.withColumn("_r", inner)
     return ranked.join(starts, [*by, "_b"]).withColumn(name, F.col("_start") + F.col("_r") - 1).drop("_b", "_r", "_start")
+
+
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs, with all their columns, whose text `keep` wants: a function of a list of texts to a list of booleans.
+
+    `keep` is made once a task by calling the given factory. Narrow: no shuffle, no join back on an id.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches):
+        wanted = keep()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                yield part.filter(pa.array(wanted(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -212,3 +212,19 @@ def _filter_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         x, y = (np.frombuffer(b"".join(pdf[c]), "<u4").reshape(-1, MINIMA) for c in ("sig_a", "sig_b"))
         yield pdf.loc[(x == y).sum(axis=1) >= AGREE, ["a", "b"]]
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each class of near_duplicates, the one with the smallest id, with all its columns.
+
+    Rows with a null doc_id are classes of their own and stay. Rows that share a doc_id are one document, of which
+    one row stays, the one with the least text.
+    """
+    kept = near_duplicates(docs, threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_repeated"))
+    if not repeated.isEmpty():
+        again = docs["doc_id"] == F.col("_repeated")
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").withColumn("_r", first).where("_r = 1").drop("_r"))
+    return out.unionByName(docs.where("doc_id is null"))

@@ -289,18 +289,34 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        key = (tuple(model.words), tuple(model.stems))
-        if key not in _SCANNERS:
-            _SCANNERS.clear()
-            _SCANNERS[key] = Scanner(model.words, model.stems)
-        scanner = _SCANNERS[key]
+        scanner = _scanner(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 ids, texts = (batch.slice(lo, 1024).column(i) for i in (0, 1))
                 x = np.array([scanner.features(t) for t in texts.to_pylist()]).reshape(-1, len(FEATURES))
-                s = model.scores(x)
+                s = shared.value.scores(x)
                 hits = np.expm1(x[:, :4]).sum(axis=1).round().astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(hits)], names=["doc_id", "score", "predicted", "n_hits"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORED)
+
+
+def _scanner(model: Model) -> Scanner:
+    """A worker's scanner of a model, which keeps what it learned of words from task to task."""
+    key = (tuple(model.words), tuple(model.stems))
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = Scanner(model.words, model.stems)
+    return _SCANNERS[key]
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that `score` gives less than 0.5, with all their columns; null and empty texts stay."""
+    common.ensure_workers(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep():
+        model, scanner = shared.value, _scanner(shared.value)
+        return lambda texts: (model.scores(np.array([scanner.features(t) for t in texts]).reshape(-1, len(FEATURES))) < 0.5).tolist()
+
+    return common.filtered(docs, keep)

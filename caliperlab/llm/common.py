@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,3 +99,20 @@ def filtered(docs: DataFrame, keep) -> DataFrame:
                 yield part.filter(pa.array(wanted(part.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def group_tables(batches, keys: list[str]):
+    """The rows of each key, as tables, from batches sorted by whole-number keys; no more is held than a group and a batch."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+        if held is None or not held.num_rows:
+            continue
+        columns = np.stack([held[c].to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1).tolist(), held.num_rows]
+        whole = cuts if batch is None else cuts[:-1]
+        for a, b in zip(whole, whole[1:], strict=False):
+            yield held.slice(a, b - a)
+        held = None if batch is None else held.slice(cuts[-2])

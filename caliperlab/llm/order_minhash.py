@@ -13,7 +13,6 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ SKETCHES, KEPT = 24, 3
 MINIMA, AGREE = 64, 34
 #: Members of a bucket that are compared in one group.
 BLOCK = 1024
+#: Documents of a family whose texts are compared in one group: two blocks at most.
+FAMILY_BLOCK = 256
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, MINIMA), np.uint64)
 _MULTIPLY, _ADD = (_SEEDS[0] * np.uint64(2) + np.uint64(1))[:, None], _SEEDS[1][:, None]
 _PLACE = np.random.default_rng(8).integers(1, 2**63, KEPT, np.uint64) | np.uint64(1)
@@ -93,7 +94,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 SKETCHED = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
-def _sketches(batches: Iterable[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lo, hi in shingles.grouped(texts):
@@ -118,36 +119,104 @@ def _sketches(batches: Iterable[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SKETCHED, strict=True)], schema=SKETCHED)
 
 
-def _verified(batches: Iterable[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        links: list[tuple[int, int]] = []
-        held: dict[str, np.ndarray] = {}
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _edges(batches: Iterable[pa.RecordBatch], keys: list[str], forest) -> Iterator[pa.RecordBatch]:
+    """The forest edges of every group of rows."""
+    found, size = [], 0
+    for part in common.group_tables(batches, keys):
+        if part.num_rows > 1 and len(e := forest(part)):
+            found.append(e)
+            size += len(e)
+        if size >= 50_000:
+            yield pa.RecordBatch.from_arrays(list(np.concatenate(found).T.copy()), schema=EDGES)
+            found, size = [], 0
+    if found:
+        yield pa.RecordBatch.from_arrays(list(np.concatenate(found).T.copy()), schema=EDGES)
+
+
+def _sides(part: pa.Table) -> tuple[np.ndarray, bool]:
+    """The rows' blocks, and whether there is one, so that all rows are compared; else those of different blocks are."""
+    block = part["block"].to_numpy()
+    if part["lo"][0].as_py() == part["hi"][0].as_py():
+        return np.zeros(len(block), np.int64), True
+    return block, False
+
+
+def _agreeing(part: pa.Table) -> np.ndarray:
+    """Forest edges among the members of a bucket's blocks whose signatures agree: breadth first from each member."""
+    reps = part["rep"].to_numpy()
+    sigs = np.frombuffer(b"".join(part["sig"].to_pylist()), "<u4").reshape(len(reps), MINIMA)
+    block, same = _sides(part)
+    left, edges = np.arange(len(reps)), []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = (sigs[left] == sigs[i]).sum(axis=1) >= AGREE
+            if not same:
+                near &= block[left] != block[i]
+            for j in left[near]:
+                edges.append((reps[i], reps[j]))
+            queue += left[near].tolist()
+            left = left[~near]
+    return np.array(edges, np.int64).reshape(-1, 2)
+
+
+def _shared_counts(items: list[np.ndarray]) -> np.ndarray:
+    """Common labelled shingles of all pairs: products of membership rows, some shingles at a time."""
+    n, owner = len(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
+    ids, column = np.unique(np.concatenate(items), return_inverse=True)
+    often = np.bincount(column, minlength=len(ids)) > 1
+    place = np.cumsum(often) - 1
+    owner, column = owner[often[column]], place[column[often[column]]]
+    total, width = np.zeros((n, n), np.float32), max(256, (1 << 24) // n)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for lo in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        held = np.zeros((n, width), np.float32)
+        held[owner[a:b], column[a:b] - lo] = 1
+        total += held @ held.T
+    return total
+
+
+def _aligned(threshold: float):
+    """Forest edges of links among the documents of a family's blocks. A pair that links already join is not aligned."""
+
+    def forest(part: pa.Table) -> np.ndarray:
+        reps, texts = part["rep"].to_numpy(), part["text"].to_pylist()
+        items: list[np.ndarray] = []
+        for lo, hi in shingles.grouped(texts):
+            grams, at = shingles.shingles(*shingles.words(texts[lo:hi]))
+            items += [labelled(grams[at[i] : at[i + 1]]) for i in range(hi - lo)]
+        block, same = _sides(part)
+        sizes, both = np.array([len(x) for x in items], np.float32), _shared_counts(items)
+        able = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-3
+        root, edges = list(range(len(items))), []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
 
-        def items(text: str, held: dict[str, np.ndarray] = held) -> np.ndarray:
-            if text not in held:
-                if len(held) > 64:
-                    held.clear()
-                hashes, bounds = shingles.words([text])
-                held[text] = labelled(shingles.shingles(hashes, bounds)[0])
-            return held[text]
+        for i in range(len(items)):
+            for j in (np.flatnonzero(able[i, i + 1 :]) + i + 1).tolist():
+                if (same or block[i] != block[j]) and top(i) != top(j) and similarity(items[i], items[j], threshold) >= threshold - 1e-9:
+                    root[top(j)] = top(i)
+                    edges.append((reps[i], reps[j]))
+        return np.array(edges, np.int64).reshape(-1, 2)
 
-        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-            if similarity(items(x), items(y), threshold) >= threshold - 1e-9:
-                links.append((a, b))
-        yield pd.DataFrame(links, columns=["a", "b"])
+    return forest
 
 
-def _agreeing(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block (or of two) of a bucket in different components whose signatures agree."""
-    sigs = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(len(pdf), MINIMA)
-    reps, parts, blocks = (pdf[c].to_numpy() for c in ("rep", "component", "block"))
-    cross, found = pdf["lo"].iat[0] != pdf["hi"].iat[0], []
-    for i in range(len(pdf) - 1):
-        rest = np.arange(i + 1, len(pdf))
-        rest = rest[(parts[rest] != parts[i]) & ((blocks[rest] != blocks[i]) | (not cross))]
-        rest = rest[(sigs[rest] == sigs[i]).sum(axis=1) >= AGREE]
-        found += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in rest]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _in_blocks(df: DataFrame, size, block: int, keys: list[str]) -> DataFrame:
+    """Rows of df with (block, lo, hi): once for each pair of blocks of its group that holds the row's block."""
+    width = F.ceil(size / block).cast("int")
+    placed = df.withColumn("block", F.pmod(F.xxhash64("rep"), width).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), width - 1)))
+    return placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(*keys, "rep", "block", "lo", "hi")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,10 +228,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     alone; a null or empty text, or a null doc_id, is a class of its own (class_id is its doc_id). Repeated
     rows each give a row. Other columns are ignored.
 
-    Candidates come in two steps, so that a group of near copies never costs all its pairs: first each
-    bucket's members against its smallest one; then, in buckets that still span several components, the
-    pairs across components, blockwise by signature. No link between different texts that share a bucket
-    is lost, since pairs within a component can't change it.
+    Neither step lists the pairs of a group. Members of a bucket whose signatures agree are joined by a forest; the
+    components of all forests are families, which hold every candidate pair. The documents of a family are
+    then compared by their whole shingle sets, block against block, aligned where these allow the
+    threshold, and joined by a forest of links. A pair is left out only if links join it already.
     """
     spark = docs.sparkSession
     common.ensure_workers(spark)
@@ -173,47 +242,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     owned = common.save(spark, real.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).select("doc_id", "rep"), "owners")
     reps = common.save(spark, real.join(owned.where("doc_id = rep").distinct().select("doc_id"), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("rep"), "keys", "sig"), "representatives")
     buckets = reps.select("rep", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = common.save(spark, buckets.join(shared, "key"), "buckets")
-    stars = member.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-
-    def agree(pairs: DataFrame) -> DataFrame:
-        sig = reps.select("rep", "sig")
-        return pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").mapInPandas(_filter_pairs, "a long, b long")
-
-    texts = plain.where("text is not null")
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = common.save(spark, pairs, f"{name}-pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        needed = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        needed = common.save(spark, needed, f"{name}-texts")
-        full = pairs.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b")
-        return common.save(spark, full.mapInPandas(lambda it: _verified(it, threshold), "a long, b long"), f"{name}-links")
-
-    links = linked(agree(stars), "star")
-    label = components(links)
-    parts = member.where("size > 2").join(label, member["rep"] == label["node"], "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    mixed = parts.groupBy("key").agg(F.min("component").alias("lo_c"), F.max("component").alias("hi_c")).where("lo_c != hi_c").select("key")
-    width = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = parts.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("rep"), width).cast("int"))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), width - 1))).select("key", "rep", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    with_sig = dealt.join(reps.select("rep", "sig"), "rep")
-    cross = with_sig.groupBy("key", "lo", "hi").applyInPandas(_agreeing, "a long, b long").distinct()
-    more = linked(cross, "cross")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    keys = ["key", "lo", "hi"]
+    dealt = _in_blocks(buckets.join(shared, "key"), F.col("size"), BLOCK, ["key"]).join(reps.select("rep", "sig"), "rep")
+    near = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _edges(it, keys, _agreeing), "a long, b long")
+    family = components(common.save(spark, near.distinct(), "agreeing")).withColumnRenamed("component", "family").withColumnRenamed("node", "rep")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    spread = _in_blocks(family.join(sizes, "family"), F.col("size"), FAMILY_BLOCK, ["family"])
+    texts = plain.where("text is not null").join(family.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    groups = ["family", "lo", "hi"]
+    full = spread.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    links = full.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(lambda it: _edges(it, groups, _aligned(threshold)), "a long, b long")
+    label = components(common.save(spark, links, "links"))
     classed = owned.join(label, owned["rep"] == label["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"), (F.col("doc_id") != F.col("rep")).alias("is_copy"))
     alone = drawn.where("doc_id is null or h1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(False).alias("is_copy"))
     return classed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _filter_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        x, y = (np.frombuffer(b"".join(pdf[c]), "<u4").reshape(-1, MINIMA) for c in ("sig_a", "sig_b"))
-        yield pdf.loc[(x == y).sum(axis=1) >= AGREE, ["a", "b"]]
-
-
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class of near_duplicates, the one with the smallest id, with all its columns.
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
 from statistics import NormalDist
 
 import numpy as np
@@ -169,27 +168,25 @@ def _group(part: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _compared(threshold: float):
-    """Rows come sorted by filter and block pair; a group is held, and no more than a batch besides."""
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                new = pa.Table.from_batches([batch])
-                held = new if held is None else pa.concat_tables([held, new])
-            if held is None or not held.num_rows:
-                continue
-            keys = np.stack([held[c].to_numpy() for c in ("label", "filter", "lo", "hi")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), held.num_rows]
-            whole = cuts if batch is None else cuts[:-1]
-            found = [g for a, b in zip(whole, whole[1:], strict=False) if b - a > 1 and (g := _group(held.slice(a, b - a), threshold)) is not None]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], schema=LINKS)
-            held = None if batch is None else held.slice(cuts[-2])
+        found, size = [], 0
+        for part in common.group_tables(batches, ["label", "filter", "lo", "hi"]):
+            if part.num_rows > 1 and (g := _group(part, threshold)) is not None:
+                found.append(g)
+                size += len(g[0])
+            if size >= 50_000:
+                yield _links(found)
+                found, size = [], 0
+        if found:
+            yield _links(found)
 
     return run
 
 
+def _links(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], schema=LINKS)
+
+
 def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors(vec_id, embedding, label).
 

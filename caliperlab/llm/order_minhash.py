@@ -151,17 +151,23 @@ def _agreeing(part: pa.Table) -> np.ndarray:
     block, same = _sides(part)
     left, edges = np.arange(len(reps)), []
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        queue, left, joined = [left[0]], left[1:], [left[0]]
         while queue and len(left):
             i = queue.pop()
             near = (sigs[left] == sigs[i]).sum(axis=1) >= AGREE
             if not same:
                 near &= block[left] != block[i]
-            for j in left[near]:
-                edges.append((reps[i], reps[j]))
             queue += left[near].tolist()
+            joined += left[near].tolist()
             left = left[~near]
-    return np.array(edges, np.int64).reshape(-1, 2)
+        edges.append(_star(reps[joined]))
+    return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+
+
+def _star(reps: np.ndarray) -> np.ndarray:
+    """Edges from the smallest of joined documents to the others: the same ones from many groups."""
+    ordered = np.unique(reps)
+    return np.column_stack([np.full(len(ordered) - 1, ordered[0]), ordered[1:]])
 
 
 def _shared_counts(items: list[np.ndarray]) -> np.ndarray:
@@ -171,10 +177,11 @@ def _shared_counts(items: list[np.ndarray]) -> np.ndarray:
     often = np.bincount(column, minlength=len(ids)) > 1
     place = np.cumsum(often) - 1
     owner, column = owner[often[column]], place[column[often[column]]]
-    total, width = np.zeros((n, n), np.float32), max(256, (1 << 24) // n)
+    total, columns = np.zeros((n, n), np.float32), int(often.sum())
+    width = max(1, min(columns, max(256, CELLS // n)))
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    for lo in range(0, int(often.sum()), width):
+    for lo in range(0, columns, width):
         a, b = np.searchsorted(column, [lo, lo + width])
         held = np.zeros((n, width), np.float32)
         held[owner[a:b], column[a:b] - lo] = 1
@@ -194,7 +201,7 @@ def _aligned(threshold: float):
         block, same = _sides(part)
         sizes, both = np.array([len(x) for x in items], np.float32), _shared_counts(items)
         able = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-3
-        root, edges = list(range(len(items))), []
+        root = list(range(len(items)))
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -206,8 +213,9 @@ def _aligned(threshold: float):
             for j in (np.flatnonzero(able[i, i + 1 :]) + i + 1).tolist():
                 if (same or block[i] != block[j]) and top(i) != top(j) and similarity(items[i], items[j], threshold) >= threshold - 1e-9:
                     root[top(j)] = top(i)
-                    edges.append((reps[i], reps[j]))
-        return np.array(edges, np.int64).reshape(-1, 2)
+        tops = np.array([top(i) for i in range(len(items))])
+        stars = [_star(reps[tops == t]) for t in np.flatnonzero(np.bincount(tops) > 1)]
+        return np.concatenate(stars) if stars else np.zeros((0, 2), np.int64)
 
     return forest
 

@@ -99,7 +99,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2)
 
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("payload", pa.binary())])
     placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    placed.mapInArrow(encode, FORMAT).write.option("compression", "zstd").parquet(path)
+    placed.mapInArrow(encode, FORMAT).write.parquet(path)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -20,6 +20,10 @@ FORMAT = "part int, block int, ids_before long, bits int, n_ids long, doc_ids ar
 READ = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long"
 
 
+#: Widths at which packed ids are an ordinary little-endian array.
+PLAIN = {8: np.dtype("u1"), 16: np.dtype("<u2"), 32: np.dtype("<u4")}
+
+
 def width(vocab_size: int) -> int:
     """Bits that hold every id below vocab_size."""
     return max(1, int(vocab_size - 1).bit_length())
@@ -33,6 +37,8 @@ def _layout(bits: int) -> Iterator[tuple[int, int, int]]:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids in groups of 64, each group in `bits` little-endian 64-bit words; lane by lane, so all groups at once."""
     groups = -(-len(ids) // 64)
+    if bits in PLAIN:  # the same bytes, without lanes
+        return ids.astype(PLAIN[bits]).tobytes() + bytes((groups * 64 - len(ids)) * bits // 8)
     lanes = np.zeros((groups, 64), np.uint64)
     lanes.reshape(-1)[: len(ids)] = ids
     words = np.zeros((groups, bits + 1), np.uint64)
@@ -47,6 +53,8 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     """Ids start .. start+count-1 of a packed block; only the groups that hold them are touched."""
     if count <= 0:
         return np.zeros(0, np.uint32)
+    if bits in PLAIN:
+        return np.frombuffer(payload, PLAIN[bits], count, start * bits // 8).astype(np.uint32)
     first, last = start // 64, (start + count - 1) // 64
     words = np.frombuffer(payload, "<u8", (last - first + 1) * bits, first * bits * 8).reshape(-1, bits)
     lanes = np.empty((len(words), 64), np.uint32)

@@ -10,6 +10,7 @@ chain of parts, and is tabulated when first asked for.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -171,10 +172,8 @@ class Automaton:
                     known[piece] = got
             if got[0]:
                 found.append(got)
-        if not found:
-            return 0, b"", ""
-        counts, ids, labels = zip(*found, strict=True)
-        return sum(counts), b"".join(ids), " ".join(labels)
+        ids = b"".join([f[1] for f in found])
+        return len(ids) // 4, ids, " ".join([f[2] for f in found])
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -203,7 +202,10 @@ def _mapped(docs: DataFrame, path: str, schema: str, made) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
+                # many small tuples and no cycles are made here: a search for cycles among them would take a good share of the time
+                gc.disable()
                 rows = [(d, *made(*automaton.encode(t or ""))) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                gc.enable()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

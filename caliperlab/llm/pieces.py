@@ -61,7 +61,7 @@ class PieceEncoder:
         ends = np.cumsum([len(x) * self.dtype.itemsize for x in ids]).tolist()
         return dict(zip(new, (flat[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], new: set[str], prefix: str) -> dict[str, bytes]:
+    def _learn(self, known: dict[str, bytes], pieces: set[str], new: set[str], odd: set[str], prefix: str) -> dict[str, bytes]:
         """What the pieces encode to: those kept before, and the new ones, which are kept if short.
 
         A word with a comma, or a full stop, after it is that word and the mark: letters never share a
@@ -78,7 +78,7 @@ class PieceEncoder:
             kept = {p: known[p] for p in pieces if p in known}
             known.clear()
             known |= kept
-        rare = {p: found.pop(p) for p in plain if len(p) > KEPT_LENGTH or not p or p[0].isspace() or p[-1].isspace()}
+        rare = {p: found.pop(p) for p in plain if len(p) > KEPT_LENGTH or p in odd}
         known |= found
         return ChainMap(rare, known) if rare else known
 
@@ -112,8 +112,8 @@ class PieceEncoder:
             middles = set().union(*(p[1:] for p in cut if p))
             new = middles.difference(self.after_space)
         starts = {p[0] for p in cut if p}
-        first = self._learn(self.at_start, starts, starts.difference(self.at_start), "")
-        rest = self._learn(self.after_space, middles, new, " ").__getitem__
+        first = self._learn(self.at_start, starts, starts.difference(self.at_start), odd, "")
+        rest = self._learn(self.after_space, middles, new, odd, " ").__getitem__
         out = []
         for text, pieces in zip(texts, cut, strict=True):
             if pieces is None:

@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_LOADED: dict[str, Automaton] = {}
 NEVER = 1 << 60
 #: Pieces and words kept for reuse; longer ones than KEPT_LENGTH are computed each time.
-KEPT, KEPT_LENGTH = 600_000, 48
+KEPT, KEPT_LENGTH = 500_000, 48
 
 
 #: Marks that end a word; letters from this code point on are split by the library alone.
@@ -40,9 +39,10 @@ BYTE_SYMBOLS = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumera
 class Automaton:
     @classmethod
     def of(cls, path: str) -> Automaton:
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+        loaded = common.worker_memory("bpe")
+        if path not in loaded:
+            loaded[path] = cls(path)
+        return loaded[path]
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer

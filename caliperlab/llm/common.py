@@ -16,6 +16,20 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: What Python workers keep from task to task, by operator. A worker serves one operator at a time.
+_KEPT: dict[str, dict] = {}
+
+
+def worker_memory(operator: str) -> dict:
+    """The operator's own memory in this worker; that of others is dropped, so what is kept doesn't add up over stages."""
+    if operator not in _KEPT:
+        for memory in _KEPT.values():
+            memory.clear()
+        _KEPT.clear()
+        _KEPT[operator] = {}
+    return _KEPT[operator]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,8 @@ from itertools import chain, islice
 
 import numpy as np
 
-_LOADED: dict[str, PieceEncoder] = {}
+from .common import worker_memory
+
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces longer than that are encoded each time; the rest are kept until there are so many.
 KEPT_LENGTH, KEPT = 48, 1_000_000
@@ -32,9 +33,10 @@ class PieceEncoder:
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+        loaded = worker_memory("pieces")
+        if path not in loaded:
+            loaded[path] = cls(path)
+        return loaded[path]
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

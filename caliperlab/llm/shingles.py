@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import worker_memory
+
 #: Words of a shingle.
 WIDTH = 5
 _RANDOM = np.random.default_rng(20240601)
@@ -30,8 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    worker_memory("shingles")
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 4 * GROUP)
+        size = max(n, 2 * GROUP)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

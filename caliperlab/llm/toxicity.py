@@ -38,7 +38,7 @@ REPORTING = frozenset("said says wrote writes called calls quoted quote word ter
 ADDRESSING = frozenset("you your youre u du dein deine ihr euch tu te toi ton vous votre tú ti usted".split())
 QUOTES = frozenset("\"“”„«»‹›")
 TOKEN = re.compile(r"\w+|[\"“”„«»‹›]")
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 FEATURES = ("exact", "fuzzy", "stem", "quoted", "addressed", "density")
 
 
@@ -275,7 +275,6 @@ def _features(words: list[str], stems: list[str]):
 
 
 SCORED = "doc_id long, score double, predicted int, n_hits long"
-_SCANNERS: dict[tuple, Scanner] = {}
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -303,11 +302,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def _scanner(model: Model) -> Scanner:
     """A worker's scanner of a model, which keeps what it learned of words from task to task."""
+    kept = common.worker_memory("toxicity")
     key = (tuple(model.words), tuple(model.stems))
-    if key not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[key] = Scanner(model.words, model.stems)
-    return _SCANNERS[key]
+    if key not in kept:
+        kept.clear()
+        kept[key] = Scanner(model.words, model.stems)
+    return kept[key]
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:

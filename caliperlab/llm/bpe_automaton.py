@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 NEVER = 1 << 60
-#: Pieces and words kept for reuse; longer ones than KEPT_LENGTH are computed each time.
-KEPT, KEPT_LENGTH = 500_000, 48
+#: Pieces, words and arcs kept for reuse; longer ones than KEPT_LENGTH are computed each time.
+KEPT, KEPT_WORDS, KEPT_ARCS, KEPT_LENGTH = 150_000, 100_000, 300_000, 48
 
 
 #: Marks that end a word; letters from this code point on are split by the library alone.
@@ -58,10 +58,11 @@ class Automaton:
         self.added = added
         self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.label = {i: s for s, i in (self.id_of | added).items()}
-        self.longest = max(map(len, self.id_of))
+        self.endings = {x[k:] for x in self.id_of for k in range(max(1, len(x) - len(self.end)) if self.end and x.endswith(self.end) else len(x))}
         self._compile([m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]])
         self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, bytes, str]] = {}
+        self.before: dict[str, tuple[int, bytes, str]] = {}
 
     def _compile(self, merges: list[list[str]]) -> None:
         self.head: dict[int, tuple[int, int]] = {}  # token -> its left part, rank of its merge
@@ -91,7 +92,7 @@ class Automaton:
         while ok and t in self.head:
             t, rank = self.head[t]
             ok = lost.get(t, NEVER) > rank
-        if len(self.arcs) > 4 * KEPT:
+        if len(self.arcs) >= KEPT_ARCS:
             self.arcs.clear()
         self.arcs[key] = ok
         return ok
@@ -105,20 +106,26 @@ class Automaton:
         if len(symbols) < n:
             word, n = "".join(symbols), len(symbols)
         states, back = [0] + [-1] * n, [(0, 0)] * (n + 1)
+        arcs, span, endings = self.arcs, len(self.label), self.endings
         for i in range(1, n + 1):
             end = self.end if i == n else ""
-            for j in range(max(0, i - self.longest), i):
-                token = ids.get(word[j:i] + end)
-                if token is not None and states[j] >= 0 and self.has_arc(states[j], token):
-                    states[i], back[i] = self.state[token], (j, token)
-                    break
+            for j in range(i - 1, -1, -1):
+                label = word[j:i] + end if end else word[j:i]
+                if label not in endings:
+                    break  # no token ends like that, so none with more before it
+                token = ids.get(label)
+                if token is not None and (state := states[j]) >= 0:
+                    known = arcs.get(state * span + token)
+                    if self.has_arc(state, token) if known is None else known:
+                        states[i], back[i] = self.state[token], (j, token)
+                        break
         path, i = [], n
         while i > 0:
             i, token = back[i]
             path.append(token)
         out = tuple(reversed(path))
         if n <= KEPT_LENGTH:
-            if len(self.words) >= KEPT:
+            if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
             self.words[word] = out
         return out
@@ -165,10 +172,12 @@ class Automaton:
         for piece in text.replace("\n", " ").split(" "):
             got = known.get(piece)
             if got is None:
-                got = self._piece(piece)
+                got = self.before.get(piece) or self._piece(piece)
                 if len(piece) <= KEPT_LENGTH:
                     if len(known) >= KEPT:
-                        known.clear()
+                        # what was not asked for since the last turn goes
+                        self.before, self.pieces = known, {}
+                        known = self.pieces
                     known[piece] = got
             if got[0]:
                 found.append(got)

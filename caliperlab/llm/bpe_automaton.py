@@ -26,7 +26,7 @@ from . import common
 
 NEVER = 1 << 60
 #: Pieces, words and arcs kept for reuse; longer ones than KEPT_LENGTH are computed each time.
-KEPT, KEPT_WORDS, KEPT_ARCS, KEPT_LENGTH = 150_000, 100_000, 300_000, 48
+KEPT, KEPT_WORDS, KEPT_ARCS, KEPT_LENGTH = 300_000, 250_000, 300_000, 48
 
 
 #: Marks that end a word; letters from this code point on are split by the library alone.
@@ -58,7 +58,12 @@ class Automaton:
         self.added = added
         self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.label = {i: s for s, i in (self.id_of | added).items()}
-        self.endings = {x[k:] for x in self.id_of for k in range(max(1, len(x) - len(self.end)) if self.end and x.endswith(self.end) else len(x))}
+        # every ending of a token's label: the token, or -1 where the ending is none
+        self.endings: dict[str, int] = {}
+        for x in self.id_of:
+            for k in range(max(1, len(x) - len(self.end)) if self.end and x.endswith(self.end) else len(x)):
+                self.endings.setdefault(x[k:], -1)
+        self.endings |= self.id_of
         self._compile([m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]])
         self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, bytes, str]] = {}
@@ -109,16 +114,19 @@ class Automaton:
         arcs, span, endings = self.arcs, len(self.label), self.endings
         for i in range(1, n + 1):
             end = self.end if i == n else ""
+            able = []
             for j in range(i - 1, -1, -1):
-                label = word[j:i] + end if end else word[j:i]
-                if label not in endings:
+                token = endings.get(word[j:i] + end if end else word[j:i])
+                if token is None:
                     break  # no token ends like that, so none with more before it
-                token = ids.get(label)
-                if token is not None and (state := states[j]) >= 0:
-                    known = arcs.get(state * span + token)
-                    if self.has_arc(state, token) if known is None else known:
-                        states[i], back[i] = self.state[token], (j, token)
-                        break
+                if token >= 0 and states[j] >= 0:
+                    able.append((j, token))
+            for j, token in reversed(able):  # one of them has an arc, mostly the longest
+                state = states[j]
+                known = arcs.get(state * span + token)
+                if self.has_arc(state, token) if known is None else known:
+                    states[i], back[i] = self.state[token], (j, token)
+                    break
         path, i = [], n
         while i > 0:
             i, token = back[i]

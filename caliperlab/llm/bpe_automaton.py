@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 NEVER = 1 << 60
-#: Pieces, words and arcs kept for reuse; longer ones than KEPT_LENGTH are computed each time.
-KEPT, KEPT_WORDS, KEPT_ARCS, KEPT_LENGTH = 300_000, 250_000, 300_000, 48
+#: Pieces, words and arcs kept for reuse in a worker; those longer than KEPT_LENGTH are computed each time.
+KEPT, KEPT_LENGTH = 300_000, 48
 
 
 #: Marks that end a word; letters from this code point on are split by the library alone.
@@ -38,10 +38,11 @@ BYTE_SYMBOLS = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumera
 
 class Automaton:
     @classmethod
-    def of(cls, path: str) -> Automaton:
+    def of(cls, path: str, kept: int = KEPT) -> Automaton:
         loaded = common.worker_memory("bpe")
         if path not in loaded:
             loaded[path] = cls(path)
+        loaded[path].kept = kept
         return loaded[path]
 
     def __init__(self, path: str) -> None:
@@ -65,6 +66,7 @@ class Automaton:
                 self.endings.setdefault(x[k:], -1)
         self.endings |= self.id_of
         self._compile([m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]])
+        self.kept = KEPT
         self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, bytes, str]] = {}
         self.before: dict[str, tuple[int, bytes, str]] = {}
@@ -97,7 +99,7 @@ class Automaton:
         while ok and t in self.head:
             t, rank = self.head[t]
             ok = lost.get(t, NEVER) > rank
-        if len(self.arcs) >= KEPT_ARCS:
+        if len(self.arcs) >= self.kept:
             self.arcs.clear()
         self.arcs[key] = ok
         return ok
@@ -133,7 +135,7 @@ class Automaton:
             path.append(token)
         out = tuple(reversed(path))
         if n <= KEPT_LENGTH:
-            if len(self.words) >= KEPT_WORDS:
+            if len(self.words) >= self.kept * 5 // 6:
                 self.words.clear()
             self.words[word] = out
         return out
@@ -182,7 +184,7 @@ class Automaton:
             if got is None:
                 got = self.before.get(piece) or self._piece(piece)
                 if len(piece) <= KEPT_LENGTH:
-                    if len(known) >= KEPT:
+                    if len(known) >= self.kept:
                         # what was not asked for since the last turn goes
                         self.before, self.pieces = known, {}
                         known = self.pieces
@@ -202,20 +204,23 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return _mapped(docs, tokenizer_path, "doc_id long, n_tokens long, ids binary, decoded string", lambda n, ids, text: (n, ids, text))
 
 
-def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """As encode_decode, with SHA-256 digests in place of the ids and the decoded text."""
+def encode_digests(docs: DataFrame, tokenizer_path: str, kept: int = KEPT) -> DataFrame:
+    """As encode_decode, with SHA-256 digests in place of the ids and the decoded text.
+
+    `kept` bounds what a worker keeps of pieces (twice that), words and arcs; results don't depend on it.
+    """
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    return _mapped(docs, tokenizer_path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda n, ids, text: (n, sha(ids), sha(text.encode())))
+    return _mapped(docs, tokenizer_path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda n, ids, text: (n, sha(ids), sha(text.encode())), kept)
 
 
-def _mapped(docs: DataFrame, path: str, schema: str, made) -> DataFrame:
+def _mapped(docs: DataFrame, path: str, schema: str, made, kept: int = KEPT) -> DataFrame:
     common.ensure_workers(docs.sparkSession)
     names = [x.split(" ")[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     types = [kinds[x.split(" ")[1]] for x in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton.of(path)
+        automaton = Automaton.of(path, kept)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

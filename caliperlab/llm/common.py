@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -25,11 +28,22 @@ def worker_memory(operator: str) -> dict:
     if operator not in _KEPT:
         for memory in _KEPT.values():
             memory.clear()
+        others = bool(_KEPT)
         _KEPT.clear()
+        if others:
+            _give_back()
         _KEPT[operator] = {}
     return _KEPT[operator]
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: an allocator would keep it for this process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

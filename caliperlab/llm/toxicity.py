@@ -38,7 +38,7 @@ REPORTING = frozenset("said says wrote writes called calls quoted quote word ter
 ADDRESSING = frozenset("you your youre u du dein deine ihr euch tu te toi ton vous votre tú ti usted".split())
 QUOTES = frozenset("\"“”„«»‹›")
 TOKEN = re.compile(r"\w+|[\"“”„«»‹›]")
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 FEATURES = ("exact", "fuzzy", "stem", "quoted", "addressed", "density")
 
 

@@ -65,7 +65,8 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int = WIDTH) -> tupl
     counts = np.where(n >= width, n - width + 1, (n > 0).astype(n.dtype))
     total = np.zeros(max(len(hashes), 1), np.uint64)
     for k in range(width):
-        total[: len(hashes) - k] += hashes[k:] * _STEPS[k]
+        rest = max(0, len(hashes) - k)
+        total[:rest] += hashes[k : k + rest] * _STEPS[k]
     out_bounds = np.concatenate([[0], np.cumsum(counts)])
     keep = np.repeat(bounds[:-1] - out_bounds[:-1], counts) + np.arange(out_bounds[-1])
     out = mix(total[keep]) if len(keep) else np.zeros(0, np.uint64)

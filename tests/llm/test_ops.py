@@ -144,8 +144,10 @@ def test_shards(spark, odd, empty):
     n = p.groupby("shard").size()
     assert n.max() - n.min() <= 1 and len(n) == 6
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in p.groupby("shard"))
-    # 200 equal texts fill two shards of 100 but for the places of other linked pairs
-    assert p[p.doc_id % 3 == 0].groupby("shard").size().nlargest(2).sum() >= 180 and p.law.eq("rows").all()
+    # a third of all rows, beside pairs that keep their places: dealt at random, two shards would hold about 67 of the 200
+    assert p[p.doc_id % 3 == 0].groupby("shard").size().nlargest(2).sum() >= 150 and p.law.eq("rows").all()
+    pairs = p[p.doc_id % 3 != 0]
+    assert pairs.groupby(pairs.doc_id // 2).shard.nunique().max() == 1
     assert sharding.shard_documents(odd).count() == len(ODD) and sharding.shard_documents(empty).count() == 0
 
 

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import quality
 from ..sources.tables import table
 
-_VALID = F.col("value") > 20
+
+def _valid():
+    return F.col("value") > 20
 
 
 def latest_valid(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    return quality.latest_valid(e, ["user_id", "event_type"], ["ts", "event_id"], _VALID).select("user_id", "event_type", "event_id")
+    return quality.latest_valid(e, ["user_id", "event_type"], ["ts", "event_id"], _valid()).select("user_id", "event_type", "event_id")
 
 
 def _done(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,7 +24,7 @@ def _done(spark: SparkSession, sf: str) -> DataFrame:
 
 def resume_todo(spark: SparkSession, sf: str) -> DataFrame:
     frame = table(spark, sf, "events").select("user_id").distinct()
-    return quality.todo(frame, _done(spark, sf), ["user_id"], _VALID)
+    return quality.todo(frame, _done(spark, sf), ["user_id"], _valid())
 
 
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +37,7 @@ def source_precedence(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's answer from the first source that has a valid one, and how many were tried."""
     e = table(spark, sf, "events")
     tried = e.select("user_id", "event_id", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("attempt")).where("attempt <= 4")
-    return tried.groupBy("user_id").agg(F.min_by(F.col("event_id"), F.when(_VALID, F.col("attempt"))).alias("answer"), F.count(F.lit(1)).alias("tried"))
+    return tried.groupBy("user_id").agg(F.min_by(F.col("event_id"), F.when(_valid(), F.col("attempt"))).alias("answer"), F.count(F.lit(1)).alias("tried"))
 
 
 def _turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 def closure(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(repo, commit, ancestor), reflexive, of parents(repo, commit, parent): paths double in length each round.
 
-    The rounds are logarithmic in the depth. Every few rounds the paths are checkpointed where the session
+    The rounds are logarithmic in the depth. Each is kept for the next; every few rounds the paths are checkpointed where the session
     has a checkpoint folder, so that lineage stays short.
     """
     edges = parents.select("repo", F.col("commit"), F.col("parent").alias("ancestor"))
     nodes = parents.select("repo", "commit").union(parents.select("repo", "parent")).distinct()
-    paths = nodes.select("repo", "commit", F.col("commit").alias("ancestor")).union(edges).distinct()
+    paths = nodes.select("repo", "commit", F.col("commit").alias("ancestor")).union(edges).distinct().persist()
     size = paths.count()
     for i in range(max_rounds):
         on = paths.select("repo", F.col("commit").alias("ancestor"), F.col("ancestor").alias("further"))
-        paths = paths.join(on, ["repo", "ancestor"]).select("repo", "commit", F.col("further").alias("ancestor")).distinct()
+        longer = paths.join(on, ["repo", "ancestor"]).select("repo", "commit", F.col("further").alias("ancestor")).distinct()
         if i % 3 == 2 and parents.sparkSession.sparkContext.getCheckpointDir():
-            paths = paths.checkpoint()
-        grown = paths.count()
+            longer = longer.checkpoint()
+        longer = longer.persist()
+        grown = longer.count()
+        paths.unpersist()
+        paths = longer
         if grown == size:
             return paths
         size = grown

@@ -84,20 +84,20 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2)
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer_path)
         bits, part = width(max(encoder.vocab_size, end_id + 1)), TaskContext.get().partitionId()
-        end, held, ids, lens, n, before, block = encoder.pack([end_id]), [], [], [], 0, 0, 0
+        end, held, ids, lens, n, before, block = np.array([end_id], encoder.dtype), [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(held), encoder.dtype)
+            flat = np.concatenate(held)
             row = {"part": [part], "block": [block], "ids_before": [before], "bits": [bits], "n_ids": [len(flat)], "doc_ids": [ids], "doc_lens": [lens], "payload": [pack(flat, bits)]}
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, packed in encoder.encode_all(texts):
-                for key, x in zip(keys[lo : lo + len(packed)], packed, strict=True):
+            keys = batch.column(0).to_pylist()
+            for lo, encoded in encoder.encode_all(batch.column(1)):
+                for key, x in zip(keys[lo : lo + len(encoded)], encoded, strict=True):
                     held += (x, end)
                     ids.append(key)
-                    lens.append(len(x) // encoder.dtype.itemsize + 1)
+                    lens.append(len(x) + 1)
                     n += lens[-1]
                     if n >= BLOCK_IDS or len(ids) >= BLOCK_DOCS:
                         yield flush()

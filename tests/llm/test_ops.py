@@ -7,10 +7,11 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from caliperlab.llm import bitpack, bpe_automaton, chat_template, common, decontaminate, language_id, order_minhash, sharding, shingles, spherical_filters, toxicity, url_filter
+from caliperlab.llm import bitpack, bpe_automaton, chat_template, common, decontaminate, language_id, order_minhash, pieces, sharding, shingles, spherical_filters, toxicity, url_filter
 
 ODD = [(1, "a b c"), (1, "a b c"), (2, ""), (3, None), (4, "!!! ..."), (5, "word " * 30_000), (None, "x y"), (6, " \n\t "), (7, "é ü")]
 SCHEMA = "doc_id long, text string, _n int, label int"
@@ -61,6 +62,19 @@ def test_token_files(spark, odd, empty):
     assert bitpack.read_digests(spark, path).count() == 0
 
 
+def test_pieces_match_the_library(monkeypatch):
+    t, rng = library("byte_bpe_50k.json"), random.Random(5)
+    encoder = pieces.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(pieces, "GROUP", 3000)
+    monkeypatch.setattr(pieces, "KEPT", 400)
+    words = ["a", "the", "don't", "'s", "12", "½", " ", "  ", "\n", " \n", "\t", "x\x1cy", "é", "Ġa", "\xa0", "\u2003", "\x85", "<|endoftext|>", "z" * 60, ",", ".", "漢字", "\u200b", "🙂", "e\u0301", "\r\n", "\x00"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "", " "]) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += [None, "", " ", "  ", "word " * 2000]
+    got = [x.tolist() for _, group in encoder.encode_all(pa.array(texts, pa.string())) for x in group]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert list(encoder.encode_all(pa.array([], pa.string()))) == []
+
+
 def test_automaton(spark, odd, empty):
     path, t, rng = public_tokenizers.path("word_bpe_49k.json"), library("word_bpe_49k.json"), random.Random(3)
     a = bpe_automaton.Automaton.of(path)

@@ -18,6 +18,8 @@ SHARDS = 24
 ROUNDS = 30
 #: Rows that a numbering bucket of a shard holds on average; larger groups are numbered across buckets.
 BUCKET_ROWS, WHOLE_GROUP = 50_000, 1000
+#: A group with one in so many of all rows is large: there are no more than so many.
+LARGE_GROUPS = 1000
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -39,8 +41,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     total = base.count()
     width = max(8, -(-total // (shards * BUCKET_ROWS)))
     by_id = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(width))
-    groups = base.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    tagged = base.join(groups, "grp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    tagged = _with_members(spark, base, total)
     dealt = common.numbered(tagged, [], ["doc_id", "text_crc32", "grp"], F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(width * shards)), "n")
     now = common.save(spark, dealt.withColumn("shard", F.pmod("n", F.lit(shards)).cast("int")).drop("n"), "shard-start")
     for _ in range(rounds):
@@ -54,6 +55,18 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _with_members(spark, base: DataFrame, total: int) -> DataFrame:
+    """base with the number of documents of each row's group, 1 for a null one.
+
+    Large groups are at most LARGE_GROUPS, so their rows stay where they are; only the others meet by group.
+    """
+    linked = base.where("grp is not null")
+    groups = common.save(spark, linked.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shard-groups")
+    large = F.broadcast(groups.where(F.col("members") * LARGE_GROUPS >= total))
+    rest = linked.join(large, "grp", "left_anti").join(groups, "grp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    return linked.join(large, "grp").unionByName(rest).unionByName(base.where("grp is null").withColumn("members", F.lit(1).cast("long")))
+
+
 def _round(now: DataFrame, by_id, width: int) -> DataFrame | None:
     """The table after one round of moves, or None where no document can move with gain."""
     spark = now.sparkSession

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ranges
-from ..sources.tables import table
+from ..sources.tables import part, table
 
 
 def shared_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,9 +41,9 @@ def merge_windows(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.merge_windows(_ranges(spark, sf), ["l_orderkey"], 40, F.lit(400).cast("long"))
 
 
-def _diffs(spark: SparkSession, sf: str) -> DataFrame:
+def _diffs(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """A small diff for each order, made from its lines: kept, deleted and added ones in two hunks."""
-    li = table(spark, sf, "lineitem").where("l_orderkey % 5 = 0")
+    li = part(table(spark, sf, "lineitem"), "l_orderkey % 5 = 0", whole)
     sign = F.when(F.col("l_returnflag") == "R", "-").when(F.col("l_returnflag") == "A", "+").otherwise(" ")
     line = F.concat(sign, F.lit("part "), F.col("l_partkey").cast("string"))
     rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", line.alias("t")))).alias("x"))
@@ -58,15 +58,15 @@ d AS (SELECT *, CASE WHEN op <> '+' THEN (CASE hunk WHEN 1 THEN 10 ELSE 40 END)
   FROM h WINDOW w AS (PARTITION BY l_orderkey, hunk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-def changed_lines(spark: SparkSession, sf: str) -> DataFrame:
+def changed_lines(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Old line numbers that each diff deletes, and new ones that it adds."""
-    d = ranges.diff_lines(_diffs(spark, sf), ["l_orderkey"])
+    d = ranges.diff_lines(_diffs(spark, sf, whole), ["l_orderkey"])
     return d.where("op in ('-', '+')").select("l_orderkey", F.col("hunk").cast("int").alias("hunk"), "op", F.coalesce("old_no", "new_no").cast("long").alias("line_no"), "text")
 
 
-def hunk_annotations(spark: SparkSession, sf: str) -> DataFrame:
+def hunk_annotations(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Hunks with a deleted line, each line after its mark: ``>>`` where an added line of the diff has its text."""
-    d = ranges.diff_lines(_diffs(spark, sf), ["l_orderkey"]).where("op <> '\\\\'")
+    d = ranges.diff_lines(_diffs(spark, sf, whole), ["l_orderkey"]).where("op <> '\\\\'")
     added = d.where("op = '+'").select("l_orderkey", "text").distinct().withColumn("hit", F.lit(True))
     touched = d.where("op = '-'").select("l_orderkey", "hunk").distinct()
     marked = d.join(touched, ["l_orderkey", "hunk"], "left_semi").join(added, ["l_orderkey", "text"], "left")

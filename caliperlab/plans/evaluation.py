@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import agreement
-from ..sources.tables import table
+from ..sources.tables import part, table
 
 
 def _raters(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,10 +59,10 @@ def ratio_by_category(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("p_brand").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.round(F.sum("hit") / F.greatest(F.sum("n"), F.lit(1)), 6).alias("rate"), F.round(F.avg(F.round(F.col("hit") / F.col("n"), 3)), 6).alias("mean_rate"))
 
 
-def detection_by_level(spark: SparkSession, sf: str) -> DataFrame:
+def detection_by_level(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Detection by context level: reviews, valid ones, hits, and distinct targets over all rows and over valid ones."""
     levels = F.array(*[F.lit(f"L{i}") for i in range(1, 6)])
-    e = table(spark, sf, "events").where("event_id % 10 = 0").select("event_id", "user_id", "value", F.posexplode(levels).alias("i", "level"))
+    e = part(table(spark, sf, "events"), "event_id % 10 = 0", whole).select("event_id", "user_id", "value", F.posexplode(levels).alias("i", "level"))
     row = e.select("level", (F.col("user_id") % 50).alias("target"), F.when(F.pmod(F.col("event_id") + F.col("i"), F.lit(7)) != 0, F.col("value") > 50 - 5 * F.col("i")).alias("hit"))
     n = row.groupBy("level").agg(F.count(F.lit(1)).alias("reviews"), F.count_if(F.col("hit").isNotNull()).alias("valid"), F.count_if(F.col("hit")).alias("hits"), F.count_distinct("target").alias("targets"), F.count_distinct(F.when(F.col("hit"), F.col("target"))).alias("matched"))
     return n.select("*", F.round(100 * F.col("hits") / F.greatest("valid", F.lit(1)), 6).alias("hit_rate"), F.round(100 * F.col("matched") / F.greatest("targets", F.lit(1)), 6).alias("target_rate"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..sources.tables import table
+from ..sources.tables import part, table
 
 
 def _valid():
@@ -78,22 +78,22 @@ def obligation_union(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.select("conv_id", F.concat(F.lit("O"), index.cast("string")).alias("obligation"), "source", "members", "first_turn")
 
 
-def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    a = o.where("o_orderkey % 4 = 0").select((F.col("o_orderkey") % 100).alias("repo"), F.col("o_orderkey").alias("a_key"), F.col("o_orderstatus").alias("a_label"))
-    first = li.where("l_orderkey % 4 = 0").groupBy("l_orderkey").agg(F.min("l_linestatus").alias("b_label"))
-    keys = o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice"))
+def _sides(spark: SparkSession, sf: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+    o, li = part(table(spark, sf, "orders"), "o_orderkey % 4 = 0", whole), part(table(spark, sf, "lineitem"), "l_orderkey % 4 = 0", whole)
+    a = o.select((F.col("o_orderkey") % 100).alias("repo"), F.col("o_orderkey").alias("a_key"), F.col("o_orderstatus").alias("a_label"))
+    first = li.groupBy("l_orderkey").agg(F.min("l_linestatus").alias("b_label"))
+    keys = o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice"))
     b = keys.join(first, "l_orderkey", "left").select((F.col("l_orderkey") % 100).alias("repo"), F.col("l_orderkey").alias("b_key"), "o_totalprice", F.coalesce("b_label", F.lit("?")).alias("b_label"))
     return a, b
 
 
-def positional_join(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = _sides(spark, sf)
+def positional_join(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    a, b = _sides(spark, sf, whole)
     return quality.positional_join(a, b, ["repo"], ["a_key"], ["o_totalprice", "b_key"]).select("repo", "position", "a_key", "b_key")
 
 
-def crosswalk_mismatch(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = _sides(spark, sf)
+def crosswalk_mismatch(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    a, b = _sides(spark, sf, whole)
     return quality.positional_join(a, b, ["repo"], ["a_key"], ["b_key"]).where("a_label <> b_label").select("repo", "a_key", "a_label", "b_label")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import lineage
-from ..sources.tables import table
+from ..sources.tables import part, table
 
 
 def _parents(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,10 +34,10 @@ def commit_closure(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(own, ["repo", "commit"], "left").select("repo", F.col("commit").alias("commit_"), "ancestors", F.coalesce("parents", F.lit(0)).cast("long").alias("parents"), "base")
 
 
-def descendant_touches(spark: SparkSession, sf: str) -> DataFrame:
+def descendant_touches(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Newest three later commits of a customer that touch one of the first commit's parts' brands."""
     c = lineage.closure(_parents(spark, sf)).where("commit <> ancestor")
-    roots = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("ancestor"))
+    roots = part(table(spark, sf, "orders"), "o_orderkey % 50 = 0", whole).select(F.col("o_orderkey").alias("ancestor"))
     touched = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), (F.col("l_partkey") % 5).alias("path")).distinct()
     dated = table(spark, sf, "orders").select(F.col("o_orderkey").alias("commit"), F.to_date("o_orderdate").alias("day"))
     later = c.join(roots, "ancestor", "left_semi").join(touched, "commit").join(touched.toDF("ancestor", "path"), ["ancestor", "path"]).join(dated, "commit")
@@ -45,12 +45,12 @@ def descendant_touches(spark: SparkSession, sf: str) -> DataFrame:
     return later.withColumn("rank", rank).where("rank <= 3").select("ancestor", F.col("commit").alias("commit_"), "path", "rank")
 
 
-def _positions(spark: SparkSession, sf: str) -> DataFrame:
+def _positions(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Pairs (merge, introducer) of one customer's commits with the introducer's position class."""
     p = _parents(spark, sf)
     c = lineage.closure(p)
     own = p.groupBy("repo", F.col("commit").alias("merge")).agg(F.count(F.lit(1)).alias("parents"), F.min(F.when(F.col("pos") == 1, F.col("parent"))).alias("base"), F.min(F.when(F.col("pos") == 2, F.col("parent"))).alias("second"))
-    merges = own.where("merge % 3 = 0")
+    merges = part(own, "merge % 3 = 0", whole)
     nodes = c.select("repo", F.col("commit").alias("introducer")).distinct()
     pairs = merges.join(nodes, "repo")
     held = lambda name: c.select("repo", F.col("commit").alias(name), F.col("ancestor").alias("introducer"), F.lit(True).alias(f"in_{name}"))
@@ -61,8 +61,8 @@ def _positions(spark: SparkSession, sf: str) -> DataFrame:
     return known.select("repo", "merge", "introducer", lineage.position_class(F.col("introducer"), F.col("merge"), here("merge"), F.col("parents"), here("second"), here("base")).alias("position"))
 
 
-def position_class(spark: SparkSession, sf: str) -> DataFrame:
-    return _positions(spark, sf).groupBy("merge", "position").agg(F.count(F.lit(1)).alias("n"))
+def position_class(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return _positions(spark, sf, whole).groupBy("merge", "position").agg(F.count(F.lit(1)).alias("n"))
 
 
 _POSITIONS = _CLOSURE + """,
@@ -88,12 +88,12 @@ def first_match_introducer(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.first_match(deleted, b, ["file"]).groupBy("file", "introducer").agg(F.count(F.lit(1)).alias("line_count"), F.array_join(F.array_sort(F.collect_list("content")), "|").alias("lines"))
 
 
-def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+def _evidence(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Evidence of each deleted line of a traced change: its merge commit's position classes by introducer."""
     li = table(spark, sf, "lineitem")
-    pos = _positions(spark, sf)
+    pos = _positions(spark, sf, whole)
     ranked = pos.withColumn("slot", F.row_number().over(Window.partitionBy("merge").orderBy("introducer")))
-    agg = li.where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("merge"), F.col("l_linenumber").cast("int").alias("slot")).agg(F.max(F.col("l_quantity") > 25).alias("in_change"), F.max(F.col("l_tax") > 0.04).alias("rewritten"))
+    agg = part(li, "l_orderkey % 3 = 0", whole).groupBy(F.col("l_orderkey").alias("merge"), F.col("l_linenumber").cast("int").alias("slot")).agg(F.max(F.col("l_quantity") > 25).alias("in_change"), F.max(F.col("l_tax") > 0.04).alias("rewritten"))
     met = agg.join(ranked, ["merge", "slot"])
     return met.select("merge", "introducer", "position", lineage.line_evidence(F.col("in_change"), F.col("position"), F.when(F.col("rewritten"), "PR").otherwise("PRE_PR")).alias("evidence"))
 
@@ -105,13 +105,13 @@ ev AS (SELECT sl.merge, sl.introducer, sl.position, CASE WHEN ic THEN (CASE posi
   WHEN position = 'PR' THEN 'refactor-penetration' WHEN position = 'POST_MERGE' AND rw THEN 'reblame-penetration' WHEN position = 'POST_MERGE' THEN 'reblame-refuted' ELSE 'unrelated' END AS evidence FROM sl JOIN ln ON ln.merge = sl.merge AND ln.slot = sl.slot)"""
 
 
-def line_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return _evidence(spark, sf)
+def line_evidence(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return _evidence(spark, sf, whole)
 
 
-def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    ev = _evidence(spark, sf).groupBy("merge").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("evidence").isin(*lineage.RELATED), 1)).alias("related"), F.count_distinct(F.when(F.col("position") == "PR", F.col("introducer"))).alias("own"))
-    o = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("merge"), F.concat(F.lit("src/f"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 11 == 0, ".md").otherwise(".py")).alias("path"))
+def _verdicts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    ev = _evidence(spark, sf, whole).groupBy("merge").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("evidence").isin(*lineage.RELATED), 1)).alias("related"), F.count_distinct(F.when(F.col("position") == "PR", F.col("introducer"))).alias("own"))
+    o = part(table(spark, sf, "orders"), "o_orderkey % 3 = 0", whole).select(F.col("o_orderkey").alias("merge"), F.concat(F.lit("src/f"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 11 == 0, ".md").otherwise(".py")).alias("path"))
     j = o.join(ev, "merge", "left").na.fill(0, ["total", "related", "own"])
     code, deleted = ~paths.is_non_code(F.col("path")), F.when(F.col("merge") % 4 == 0, 0).otherwise(F.col("total"))
     v = lineage.verdict(F.col("related"), F.col("total"), F.lit(3), deleted, F.col("merge") % 8 == 0, code)
@@ -126,12 +126,12 @@ vd AS (SELECT merge, related, total, own, round(related / greatest(total, 1) * (
   WHEN related >= 3 AND related / greatest(total, 1) >= 0.2 THEN 'SZZ_PASSED' WHEN related > 0 THEN 'LOW_BLAME_RATIO' ELSE 'NO_BLAME_LINEAGE' END AS verdict FROM jn)"""
 
 
-def szz_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return _verdicts(spark, sf)
+def szz_verdict(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return _verdicts(spark, sf, whole)
 
 
-def verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
-    n = _verdicts(spark, sf).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= 0.2).alias("confident"))
+def verdict_counts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    n = _verdicts(spark, sf, whole).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= 0.2).alias("confident"))
     return n.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import sampling
-from ..sources.tables import table
+from ..sources.tables import part, table
 
 
 def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,18 +23,18 @@ def budget_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.budget_chunks(d, "source", "doc_id", "chars", 5, 12_000)
 
 
-def top_siblings(spark: SparkSession, sf: str) -> DataFrame:
+def top_siblings(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Each line's four largest siblings of its order that have content, and the first two flags of a priority list."""
-    li = table(spark, sf, "lineitem").where("l_orderkey % 20 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+    li = part(table(spark, sf, "lineitem"), "l_orderkey % 20 = 0", whole).groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
     rank = F.row_number().over(Window.partitionBy("l_orderkey", "a").orderBy(F.desc("q"), "l_linenumber"))
     pairs = li.select("l_orderkey", F.col("l_linenumber").alias("a")).join(li, "l_orderkey").where("a <> l_linenumber and q >= 5")
     return pairs.withColumn("rank", rank).where("rank <= 4").select("l_orderkey", "a", F.col("l_linenumber").alias("sibling"), "rank")
 
 
-def timeline(spark: SparkSession, sf: str) -> DataFrame:
+def timeline(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Each urgent order of a customer with the customer's dated orders, itself marked; a blind form hides the status."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"), "o_orderstatus")
-    now = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 10 = 0").select("o_custkey", F.col("o_orderkey").alias("current"))
+    now = part(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), "o_orderkey % 10 = 0", whole).select("o_custkey", F.col("o_orderkey").alias("current"))
     mark = F.when(F.col("o_orderkey") == F.col("current"), "* ").otherwise("- ")
     line = F.concat(mark, F.date_format("day", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderkey").cast("string"))
     rows = now.join(o, "o_custkey").groupBy("current").agg(F.array_sort(F.collect_list(F.struct("day", "o_orderkey", line.alias("blind"), F.concat(line, F.lit(" "), F.col("o_orderstatus")).alias("full")))).alias("x"))
@@ -84,8 +84,8 @@ def sorted_topn(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
 
 
-def running_frames(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
+def running_frames(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    li = part(table(spark, sf, "lineitem"), "l_orderkey % 10 = 0", whole).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     return li.select("l_orderkey", "l_linenumber", F.max("p").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("most_before"), F.count(F.when(F.col("p") % 2 == 0, 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("even_so_far"))
 
@@ -106,9 +106,9 @@ def nested_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return c.where("conv_id % 4 <> 0").select("conv_id", F.posexplode(ok).alias("i", "turn")).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.concat(F.lit("O"), (F.col("i") + 1).cast("string"))).alias("key"), "turn", F.lit("YES").alias("temporal_status"))
 
 
-def reblame_preimage(spark: SparkSession, sf: str) -> DataFrame:
+def reblame_preimage(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """The deleted line that stood where each rewritten line was added: i-th with i-th of a hunk, in the first hunk that fits."""
-    li = table(spark, sf, "lineitem").where("l_orderkey % 4 = 0")
+    li = part(table(spark, sf, "lineitem"), "l_orderkey % 4 = 0", whole)
     rows = li.select((F.col("l_orderkey") % 1000).alias("diff"), F.col("l_orderkey").alias("hunk"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("op"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), (F.col("l_partkey") % 50).cast("string").alias("content"))
     ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("diff", "hunk", "op").orderBy("pos", "part")))
     added, removed = ranked.where("op = '+'").select("diff", "hunk", "i", "content"), ranked.where("op = '-'").select("diff", "hunk", "i", F.col("content").alias("preimage"))

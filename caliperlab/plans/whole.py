@@ -1,0 +1,44 @@
+"""Queries over whole tables whose namesakes (without ``_whole``) take the part of the rows that their SQL takes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import changes, cohorts, evaluation, labelling, lineage, shaping
+
+#: Conditions of the namesake's SQL, by what stands for them over the whole tables.
+_ALL = {
+    changes: {"l_orderkey % 5 = 0": "TRUE"},
+    cohorts: {"a.k % 10 = 0 AND b.k % 10 = 1": "a.k < b.k"},
+    evaluation: {"event_id % 10 = 0": "TRUE"},
+    labelling: {"o_orderkey % 4 = 0": "TRUE"},
+    lineage: {"c.ancestor % 50 = 0": "TRUE", "commit_ % 3 = 0": "TRUE", "l_orderkey % 3 = 0": "TRUE", "o.o_orderkey % 3 = 0": "TRUE"},
+    shaping: {"l_orderkey % 20 = 0": "TRUE", "o_orderkey % 10 = 0": "TRUE", "l_orderkey % 10 = 0": "TRUE", "l_orderkey % 4 = 0": "TRUE"},
+}
+_NAMES = {
+    changes: ["changed_lines", "hunk_annotations"],
+    cohorts: ["wildcard_equality_join"],
+    evaluation: ["detection_by_level"],
+    labelling: ["positional_join", "crosswalk_mismatch"],
+    lineage: ["descendant_touches", "position_class", "line_evidence", "szz_verdict", "verdict_counts"],
+    shaping: ["top_siblings", "timeline", "running_frames", "reblame_preimage"],
+}
+
+
+def _query(part_query):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return part_query(spark, sf, whole=True)
+
+    run.__name__, run.__doc__ = f"{part_query.__name__}_whole", part_query.__doc__
+    return run
+
+
+def _sql(module, name: str) -> str:
+    sql = module.ORACLE[name]
+    for condition, instead in _ALL[module].items():
+        sql = sql.replace(condition, instead)
+    return sql
+
+
+ORACLE = {f"{name}_whole": _sql(module, name) for module, names in _NAMES.items() for name in names}
+QUERIES = [_query(getattr(module, name)) for module, names in _NAMES.items() for name in names]

@@ -3,7 +3,8 @@
 Documents with equal texts are linked (through their group, so links number as the documents). Starting
 from an even random deal, each round lets linked documents move to the shard where most of their group is,
 as far as documents go the other way: linked ones that want to, else unlinked ones, whose place is free to
-choose. Row counts never change, so they stay at most one apart.
+choose. Shards without unlinked rows exchange linked ones only. Row counts never change, so they stay at most
+one apart.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from . import common
 SHARDS = 24
 #: Rounds at most; they end when nothing moves.
 ROUNDS = 30
+#: Exchanges between linked rows end when so many draws of tied shards in a row allow none.
+IDLE_DRAWS = 3
 #: Rows that a numbering bucket of a shard holds on average; larger groups are numbered across buckets.
 BUCKET_ROWS, WHOLE_GROUP = 50_000, 1000
 #: A group with one in so many of all rows is large: there are no more than so many.
@@ -44,8 +47,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     tagged = _with_members(spark, base, total)
     dealt = common.numbered(tagged, [], ["doc_id", "text_crc32", "grp"], F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(width * shards)), "n")
     now = common.save(spark, dealt.withColumn("shard", F.pmod("n", F.lit(shards)).cast("int")).drop("n"), "shard-start")
-    for _ in range(rounds):
-        moved = _round(now, by_id, width)
+    for r in range(rounds):
+        draws = (_round(now, by_id, width, salt) for salt in (None, *range(r * IDLE_DRAWS, (r + 1) * IDLE_DRAWS)))
+        moved = next((x for x in draws if x is not None), None)
         if moved is None:
             break
         after = common.save(spark, moved, "shard-round")
@@ -67,16 +71,21 @@ def _with_members(spark, base: DataFrame, total: int) -> DataFrame:
     return linked.join(large, "grp").unionByName(rest).unionByName(base.where("grp is null").withColumn("members", F.lit(1).cast("long")))
 
 
-def _round(now: DataFrame, by_id, width: int) -> DataFrame | None:
-    """The table after one round of moves, or None where no document can move with gain."""
+def _round(now: DataFrame, by_id, width: int, salt: int | None) -> DataFrame | None:
+    """The table after one round of moves, or None where no document can move with gain.
+
+    Without a salt, groups go to shards that have unlinked rows. With one, to any shard, of equal ones to one drawn
+    by the salt: were it always the lower one, rows would want to go one way only and never be exchanged.
+    """
     spark = now.sparkSession
     free = now.groupBy("shard").agg(F.count(F.when(F.col("members") == 1, 1)).alias("free"))
     held = now.where("members > 1").groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("here"))
-    # the best shard of each group among those with places to give, and the members it has there
-    best = held.join(F.broadcast(free), "shard").where("free > 0").groupBy("grp").agg(F.max(F.struct("here", (-F.col("shard")).alias("s"))).alias("b")).select("grp", F.col("b.here").alias("there"), (-F.col("b.s")).alias("to"))
-    # of equal shards the lower one attracts, unless it has no place to give
-    tied = (F.col("there") == F.col("here")) & ((F.col("to") < F.col("shard")) | (F.col("free") == 0))
-    going = held.join(F.broadcast(free), "shard").join(best, "grp").where((F.col("to") != F.col("shard")) & ((F.col("there") > F.col("here")) | tied))
+    places = held.join(F.broadcast(free), "shard").withColumn("turn", -F.col("shard").cast("long") if salt is None else F.xxhash64(F.lit(salt), "grp", "shard"))
+    # the best shard of each group (without a salt: among those with places to give), and the members it has there
+    best = (places.where("free > 0") if salt is None else places).groupBy("grp").agg(F.max(F.struct("here", "turn", "shard")).alias("b")).select("grp", F.col("b.here").alias("there"), F.col("b.turn").alias("first"), F.col("b.shard").alias("to"))
+    # of equal shards the first in turn attracts, unless it has no place to give
+    tied = (F.col("there") == F.col("here")) & ((F.col("first") > F.col("turn")) | (F.col("free") == 0))
+    going = places.join(best, "grp").where((F.col("to") != F.col("shard")) & ((F.col("there") > F.col("here")) | tied))
     going = common.save(spark, going.select("grp", "shard", "to", "here"), "shard-going")
     wish = going.groupBy("shard", "to").agg(F.sum("here").alias("d"))
     back = wish.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("d").alias("r"))

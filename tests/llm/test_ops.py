@@ -165,6 +165,20 @@ def test_shards(spark, odd, empty):
     assert sharding.shard_documents(odd).count() == len(ODD) and sharding.shard_documents(empty).count() == 0
 
 
+
+def test_shards_without_unlinked_rows(spark):
+    pairs = [(i, f"t{i // 2}") for i in range(1200)]
+    for rows in (pairs, pairs + [(1200 + i, "same") for i in range(300)]):
+        p = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).toPandas()
+        n = p.groupby("shard").size()
+        assert n.max() - n.min() <= 1 and len(p) == len(rows)
+        two = p[p.doc_id < 1200]
+        # dealt at random, three quarters of the 600 pairs are cut; exchanges leave a few by chance of the last draws
+        assert (two.groupby(two.doc_id // 2).shard.nunique() > 1).sum() <= 60
+    # the large group would hold about 75 rows in each shard
+    assert p[p.doc_id >= 1200].groupby("shard").size().max() >= 100
+
+
 def test_languages(spark, odd, empty):
     rng = random.Random(1)
     words = {"aa": ["kalu", "mina", "toka"], "bb": ["schrik", "pfunt", "drost"]}

@@ -22,8 +22,6 @@ from . import common, shingles
 
 ORDER = 4
 START, SPACE = 1, 32
-#: n-grams of all languages that a model may hold; where the corpus has more, the rarest are cut (the least count doubles).
-MAX_NGRAMS = 4_000_000
 #: Training rows that scores and rejection bounds are calibrated on: those with the smallest hashes.
 CALIBRATION_ROWS = 3000
 #: Nats a character beyond the worst calibration text of a language before a text is rejected.
@@ -248,23 +246,21 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> None:
             model.bound[i] = mine.max() + SLACK
 
 
-def train(training: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
+def train(training: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """A model of all languages of training(doc_id, text, lang); None where no row has text and language.
 
-    The counts cover all rows; only the calibration reads a bounded sample.
+    The model holds every n-gram of all rows; only the calibration reads a bounded sample.
     """
     spark = training.sparkSession
     common.ensure_workers(spark)
     counts = common.save(spark, ngram_counts(training), "ngrams")
-    least = 1
-    while counts.where(F.col("n") >= least).count() > max_ngrams:
-        least *= 2
-    table = counts.where(F.col("n") >= least).toArrow()
-    langs = table["lang"].to_numpy(zero_copy_only=False)
-    keys, n = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    if not len(langs):
+    table = counts.toArrow()
+    if not table.num_rows:
         return None
-    model = build({x: (keys[langs == x], n[langs == x]) for x in set(langs.tolist())})
+    # codes in place of a string object a row
+    lang = table["lang"].combine_chunks().dictionary_encode()
+    codes, keys, n = lang.indices.to_numpy(), table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    model = build({x: (keys[codes == i], n[codes == i]) for i, x in enumerate(lang.dictionary.to_pylist())})
     usable = training.where("text is not null and lang is not null")
     ids = usable.select("doc_id", F.xxhash64(F.lit("calibration"), "doc_id").alias("_h")).orderBy("_h").limit(calibration_rows).select("doc_id").distinct()
     rows = usable.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").toArrow()

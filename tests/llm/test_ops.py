@@ -197,6 +197,18 @@ def test_languages(spark, odd, empty):
     assert language_id.with_language(odd, model).columns == odd.columns
 
 
+
+def test_every_ngram_counts(spark):
+    rng = np.random.default_rng(7)
+    many = [rng.integers(0x4E00, 0x9FA5, 10_000).astype("<u4").tobytes().decode("utf-32-le") for _ in range(405)]
+    rows = [(i, x, "zz") for i, x in enumerate(many)] + [(1000, "kalu mina toka", "aa")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), calibration_rows=20)
+    assert model.langs == ["aa", "zz"]
+    keys, counts = language_id.windows([r[1] for r in rows])
+    assert len(keys) == counts.sum() > 4_000_000 and np.array_equal(model.grams[language_id.ORDER][0], np.unique(keys))
+    assert language_id._judged(model, ["mina toka"])[0] == ["aa"]
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -22,9 +22,9 @@ from . import common, shingles
 
 ORDER = 4
 START, SPACE = 1, 32
-#: Training rows that scores and rejection bounds are calibrated on: those with the smallest hashes.
+#: Training rows that the sharpness of scores is calibrated on: those with the smallest hashes.
 CALIBRATION_ROWS = 3000
-#: Nats a character beyond the worst calibration text of a language before a text is rejected.
+#: Nats a character beyond the worst training text of a language before a text is rejected.
 SLACK = 1.0
 UNDETERMINED = "und"
 _CODES: list[np.ndarray] = []
@@ -222,7 +222,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 
 def calibrate(model: Model, texts: list[str], langs: list[str]) -> None:
-    """Sharpness of scores (likelihood of the given languages) and the rejection bound of each language."""
+    """Sharpness of scores (likelihood of the given languages)."""
     groups = [model.cross_entropies(texts[lo:hi]) for lo, hi in shingles.grouped(texts)]
     if not groups:
         return
@@ -239,17 +239,42 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> None:
         if best is None or loss < best[0]:
             best = (loss, s)
     model.sharpness = best[1]
-    won = entropies[use].argmin(axis=1)
-    for i in range(len(model.langs)):
-        mine = entropies[use, i][(won == i) & (truth == i)]
-        if len(mine):
-            model.bound[i] = mine.max() + SLACK
+
+
+def set_bounds(model: Model, training: DataFrame) -> None:
+    """The rejection bound of each language, from all rows of training(text, lang).
+
+    It is SLACK beyond the worst text of the language that the language wins; of a language that wins none of its
+    texts, beyond the worst of them.
+    """
+    shared = training.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        place = {x: i for i, x in enumerate(model.langs)}
+        worst = np.full((2, len(place)), -np.inf)
+        for batch in batches:
+            texts, truth = batch.column(0).to_pylist(), np.array([place.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
+            for lo, hi in shingles.grouped(texts):
+                entropies, counts = model.cross_entropies(texts[lo:hi])
+                use = np.flatnonzero((counts > 0) & (truth[lo:hi] >= 0))
+                mine = truth[lo:hi][use]
+                won = entropies[use].argmin(axis=1) == mine
+                np.maximum.at(worst, (won.astype(np.int64), mine), entropies[use, mine])
+        kind, at = np.nonzero(np.isfinite(worst))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(kind == 1), pa.array(worst[kind, at])], names=["at", "won", "worst"])
+
+    rows = training.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "at long, won boolean, worst double")
+    for r in rows.groupBy("at").agg(F.coalesce(F.max(F.when(F.col("won"), F.col("worst"))), F.max("worst")).alias("worst")).collect():
+        model.bound[r["at"]] = r["worst"] + SLACK
+    shared.unpersist()
 
 
 def train(training: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """A model of all languages of training(doc_id, text, lang); None where no row has text and language.
 
-    The model holds every n-gram of all rows; only the calibration reads a bounded sample.
+    The model holds every n-gram of all rows; its rejection bounds are from all rows too. Only the
+    sharpness is fitted on a bounded sample.
     """
     spark = training.sparkSession
     common.ensure_workers(spark)
@@ -265,6 +290,7 @@ def train(training: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Mode
     ids = usable.select("doc_id", F.xxhash64(F.lit("calibration"), "doc_id").alias("_h")).orderBy("_h").limit(calibration_rows).select("doc_id").distinct()
     rows = usable.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").toArrow()
     calibrate(model, rows["text"].to_pylist(), rows["lang"].to_pylist())
+    set_bounds(model, usable)
     return model
 
 

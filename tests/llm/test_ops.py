@@ -209,6 +209,22 @@ def test_every_ngram_counts(spark):
     assert language_id._judged(model, ["mina toka"])[0] == ["aa"]
 
 
+
+def test_bounds_of_all_training_rows(spark):
+    rng = random.Random(8)
+    words = {"aa": ["kalu", "mina", "toka"], "bb": ["schrik", "pfunt", "drost"]}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(20)), x) for i in range(300) for x in (["aa", "bb"][i % 100 == 0],)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample in (1, 5):
+        model = language_id.train(df, calibration_rows=sample)
+        entropies = model.cross_entropies([r[1] for r in rows])[0]
+        for i, x in enumerate(model.langs):
+            mine = [e[i] for e, r in zip(entropies, rows, strict=True) if r[2] == x and e.argmin() == i]
+            assert model.bound[i] == pytest.approx(max(mine) + language_id.SLACK)
+    assert language_id._judged(model, ["zzqx wvvy"])[3].all()
+    assert not language_id.identify(df, model).where("rejected").count()
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

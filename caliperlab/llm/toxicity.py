@@ -24,7 +24,7 @@ from .language_id import held_out
 
 #: Labelled rows to fit on: those with the smallest hashes, half for the lexicon, half for the weights.
 FIT_ROWS = 20_000
-#: A term is in so many toxic documents at least (or so large a share of them), and so pure.
+#: A term is in so many toxic documents at least, so pure, and in so large a share of them or beyond chance.
 LEAST_DOCS, LEAST_SHARE, PURITY = 3, 0.01, 0.9
 #: Terms are words of 3 letters or more, or beginnings of these lengths that no single word accounts for.
 LEAST_LETTERS, STEM_LENGTHS, ONE_WORD = 3, (4, 5, 6, 7, 8), 0.6
@@ -210,10 +210,15 @@ def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lexicon(labelled: DataFrame) -> tuple[list[str], list[str]]:
-    n_toxic = labelled.where("toxic = 1").count()
+    n_toxic, n_rows = labelled.agg(F.count_if(F.col("toxic") == 1), F.count(F.lit(1))).first()
     counts = labelled.select("text", "toxic").mapInArrow(_term_counts, "kind string, term string, toxic long, other long").groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    pure = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("other"))))
+    often = common.save(labelled.sparkSession, counts.where(F.col("toxic") >= LEAST_DOCS), "toxicity-terms")
+    # Chernoff's bound on a term of its frequency being so toxic at the base rate, against one chance hit among all terms
+    n, base = F.col("toxic") + F.col("other"), max(n_toxic, 1) / max(n_rows, 1)
+    clean = F.when(F.col("other") > 0, F.col("other") * F.ln(F.col("other") / n / (1 - base))).otherwise(0.0)
+    beyond_chance = F.col("toxic") * F.ln(F.col("toxic") / n / base) + clean >= float(np.log(max(often.count(), 1)))
+    certain = beyond_chance if base < PURITY else F.lit(False)
+    pure = often.where((F.col("toxic") >= PURITY * n) & ((F.col("toxic") >= LEAST_SHARE * n_toxic) | certain))
     rows = pure.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect()
     words = {r["term"]: r["toxic"] for r in rows if r["kind"] == "w"}
     most: dict[str, int] = {}

@@ -263,6 +263,16 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(test, none).agg({"predicted": "sum"}).first()[0] == 0
 
 
+
+def test_rare_toxic_terms(spark):
+    rng = random.Random(9)
+    plain = ["river", "table", "green", "walks", "under"]
+    rows = [(" ".join(rng.choice(plain) for _ in range(8)) + (" blargon" if i < 600 else "") + (" skrunty" if i < 5 else ""), int(i < 600)) for i in range(2000)]
+    words, _ = toxicity._lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    # 5 of 600 toxic documents are less than a hundredth, but all that have the word
+    assert words == ["blargon", "skrunty"]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((12, 64))

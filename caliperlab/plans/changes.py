@@ -11,13 +11,34 @@ from ..sources.tables import part, table
 
 
 def shared_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of one source that share stripped lines of over 5 characters, with how many."""
-    rows = table(spark, sf, "documents").select("doc_id", "source", F.explode(text.code_lines(F.col("text"))).alias("line"))
-    keyed = rows.select("doc_id", "source", F.md5("line").alias("line"))
+    """Each document with the first holders of its stripped lines of over 5 characters within its source, and how many each holds.
+
+    Lines that two documents share but a third had first count for the third alone; `shared_line_pairs` counts all pairs.
+    """
+    keyed = _line_keys(spark, sf)
     often = keyed.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
     return keyed.join(often, ["source", "line"]).where("doc_id <> first_doc").groupBy("doc_id", "first_doc").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def shared_line_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of documents of one source that share stripped lines of over 5 characters, with how many.
+
+    Lines with the same holders are one class that counts for its lines. Pairs grow with the square of a line's holders.
+    """
+    keyed = _line_keys(spark, sf)
+    holders = keyed.groupBy("source", "line").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).where("size(docs) > 1")
+    classes = holders.groupBy("docs").agg(F.count(F.lit(1)).alias("n"))
+    second = classes.select("docs", "n", F.posexplode("docs").alias("i", "b")).where("i > 0")
+    pairs = second.select("n", "b", F.explode(F.expr("slice(docs, 1, i)")).alias("a"))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
+
+
+def _line_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, source and the digest of each distinct stripped line of over 5 characters."""
+    rows = table(spark, sf, "documents").select("doc_id", "source", F.explode(text.code_lines(F.col("text"))).alias("line"))
+    return rows.select("doc_id", "source", F.md5("line").alias("line"))
+
+
 def comment_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     sign = F.element_at(F.array(*[F.lit(x) for x in ("# ", "+ // ", "", "- ", "--- ", "*", "+", "  ")]), (F.col("doc_id") % 8 + 1).cast("int"))
     made = F.concat(sign, F.col("source"), F.lit("\n"), F.col("text"))
@@ -99,6 +120,8 @@ _L = _STRIP.format(x="l")
 ORACLE = {
     "shared_lines": f"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM documents), k AS (SELECT DISTINCT doc_id, source, {_L} AS line FROM l WHERE length({_L}) > 5),
 f AS (SELECT source, line, min(doc_id) AS first_doc FROM k GROUP BY ALL HAVING count(*) > 1) SELECT k.doc_id, f.first_doc, count(*) AS shared FROM k JOIN f USING (source, line) WHERE k.doc_id <> f.first_doc GROUP BY ALL""",
+    "shared_line_pairs": f"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM documents), k AS (SELECT DISTINCT doc_id, source, {_L} AS line FROM l WHERE length({_L}) > 5)
+SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.source = b.source AND a.line = b.line AND a.doc_id < b.doc_id GROUP BY ALL""",
     "comment_line_counts": f"""WITH l AS (SELECT doc_id, unnest(string_split((['# ', '+ // ', '', '- ', '--- ', '*', '+', '  '])[doc_id % 8 + 1] || source || chr(10) || text, chr(10))) AS l FROM documents), s AS (SELECT doc_id, {_L} AS s FROM l)
 SELECT doc_id, count(*) FILTER (regexp_matches(s, '^(//|#|--|/\\*|\\*|<!--|''''''|\"\"\")') OR regexp_matches(s, '^[+-]\\s*(//|#|--|/\\*|\\*|''''''|\"\"\")')) AS comments FROM s GROUP BY doc_id""",
     "proximity_exists": f"""WITH {_RANGES}, x AS (SELECT DISTINCT a.l_orderkey FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'N' AND b.l_returnflag <> 'N' AND (abs(a.s - b.s) <= 50 OR abs(a.e - b.e) <= 50))
@@ -115,4 +138,4 @@ u AS (SELECT doc_id, 'L1' AS level, '' AS t, 1 AS b FROM s UNION ALL SELECT doc_
   UNION ALL SELECT doc_id, 'L4', l3 || coalesce(chr(10) || '### next' || chr(10) || nxt, ''), 6500 FROM s),
 c AS (SELECT doc_id, level, CASE WHEN length(t) > b THEN left(t, b) || '...' ELSE t END AS t FROM u) SELECT doc_id, level, length(t) AS chars, md5(t) AS digest FROM c""",
 }
-QUERIES = [shared_lines, comment_line_counts, proximity_exists, merge_windows, changed_lines, hunk_annotations, snapshot_line_map, context_levels]
+QUERIES = [shared_lines, shared_line_pairs, comment_line_counts, proximity_exists, merge_windows, changed_lines, hunk_annotations, snapshot_line_map, context_levels]

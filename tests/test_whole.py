@@ -29,3 +29,11 @@ def test_each_pair_of_customers_once(spark):
     want = {(a[0], b[0]) for a in c for b in c if a[0] < b[0] and a[1] == b[1] and (a[2] is None or b[2] is None or a[2] == b[2])}
     got = [tuple(r) for r in rows(spark, "wildcard_equality_join_whole").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_all_pairs_of_documents_that_share_lines(spark, tmp_path):
+    lines = {1: range(9), 2: range(10), 3: range(10), 4: range(8, 12), 5: [99]}
+    docs = [(d, "s", "\n".join(f"a line {i}" for i in x)) for d, x in lines.items()] + [(6, "other", "a line 1")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["a"], r["b"]): r["shared"] for r in catalog.queries()["shared_line_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): 9, (1, 3): 9, (2, 3): 10, (1, 4): 1, (2, 4): 2, (3, 4): 2}

@@ -24,7 +24,7 @@ def budget_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_siblings(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Each line's four largest siblings of its order that have content, and the first two flags of a priority list."""
+    """Each line's four largest siblings of its order that have content."""
     li = part(table(spark, sf, "lineitem"), "l_orderkey % 20 = 0", whole).groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
     rank = F.row_number().over(Window.partitionBy("l_orderkey", "a").orderBy(F.desc("q"), "l_linenumber"))
     pairs = li.select("l_orderkey", F.col("l_linenumber").alias("a")).join(li, "l_orderkey").where("a <> l_linenumber and q >= 5")

@@ -56,12 +56,14 @@ def ensure_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset in a local session (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not base:
         base = sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="caliperlab-")
             sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
@@ -93,8 +95,32 @@ def drop_saved(spark: SparkSession, df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows of a few numbers each that may be broadcast; a larger table is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: A group with one in so many of all rows is large: there are no more than so many.
+LARGE_GROUPS = 1000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, a stored table of narrow rows, to be broadcast where it has at most BROADCAST_ROWS; else as it is."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: list[str], total: int) -> DataFrame:
+    """rows joined to the one row that their key has in the stored table groups(*key, members, ..).
+
+    Rows of large groups, of which there are at most LARGE_GROUPS, stay where they are; only the others meet by key.
+    """
+    is_large = F.col("members") * LARGE_GROUPS >= total
+    large = F.broadcast(groups.where(is_large))
+    rest = rows.join(F.broadcast(groups.where(is_large).select(*key)), key, "left_anti").join(groups.where(~is_large), key)
+    return rows.join(large, key).unionByName(rest)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}{i}" for i in range(len(taken) + 1))) if x.lower() not in taken)
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], bucket, name: str) -> DataFrame:

@@ -1,34 +1,37 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
-A document is its sequence of 5-word shingles, each labelled with its occurrence number, so that none
-repeats. For each of SKETCHES hash functions the KEPT smallest labelled shingles are taken in text order:
+A document is its sequence of words; its k-mers are 5-word shingles, each labelled with its occurrence number, so that
+none repeats. For each of SKETCHES hash functions the KEPT smallest labelled shingles are taken in text order:
 documents that agree on one such sketch share content in the same order, and become candidates. A
-candidate pair is verified by aligning both sequences within the band that the threshold leaves:
-similarity is m / (n1 + n2 - m) for m aligned shingles, and a link needs THRESHOLD.
+candidate pair is verified by aligning both word sequences within the band that the threshold leaves:
+similarity is m / (n1 + n2 - m) for m aligned words, and a link needs THRESHOLD.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, shingles
 from .components import components
 
 THRESHOLD = 0.8
-#: A pair at the threshold shares a sketch with probability 1 - (1 - 0.8 ** KEPT) ** SKETCHES, over 1 - 1e-7.
-SKETCHES, KEPT = 24, 3
-#: Minima in a signature; of a pair at the threshold fewer than AGREE agree with probability below 1e-6.
+#: A pair with the share j of common shingles has a sketch in common with probability 1 - (1 - j ** KEPT) ** SKETCHES:
+#: over 1 - 1e-14 for j = 0.8, 0.996 for 0.4, where one word in nine was changed, 0.95 for 0.3.
+SKETCHES, KEPT = 32, 2
+#: Minima of labelled words in a signature. Words of which m align are common, so of a pair at the threshold each minimum agrees
+#: with probability 0.8 at least, and fewer than AGREE with probability below 1e-6.
 MINIMA, AGREE = 64, 34
 #: Members of a bucket that are compared in one group.
 BLOCK = 1024
-#: Documents of a family whose texts are compared in one group: two blocks at most.
-FAMILY_BLOCK = 256
+#: Documents and words of a block of a family: two blocks are compared in one group. A longer text is a block by itself.
+FAMILY_BLOCK, FAMILY_WORDS = 512, 1_000_000
+#: Words that the alignment takes at a time.
+STRIDE = 512
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, MINIMA), np.uint64)
 _MULTIPLY, _ADD = (_SEEDS[0] * np.uint64(2) + np.uint64(1))[:, None], _SEEDS[1][:, None]
 _PLACE = np.random.default_rng(8).integers(1, 2**63, KEPT, np.uint64) | np.uint64(1)
@@ -37,7 +40,7 @@ CELLS = 1 << 22
 
 
 def labelled(grams: np.ndarray) -> np.ndarray:
-    """Shingles in text order with their occurrence number mixed in: no two are equal."""
+    """Shingles or words in text order with their occurrence number mixed in: no two are equal."""
     order = np.argsort(grams, kind="stable")
     ordered = grams[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -49,48 +52,95 @@ def labelled(grams: np.ndarray) -> np.ndarray:
     return np.where(label > 0, shingles.mix(grams + label * np.uint64(0x9E3779B97F4A7C15)), grams)
 
 
-def sketch(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket key of each ordered sketch, signature of minima) of labelled shingles."""
-    keep, minima = min(KEPT, len(items)), np.empty(MINIMA, np.uint64)
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Bucket key of each ordered sketch of labelled shingles."""
+    keep = min(KEPT, len(items))
     chosen = np.empty((SKETCHES, keep), np.int64)
     step = max(1, CELLS // len(items))
-    for lo in range(0, MINIMA, step):
-        rows = slice(lo, min(lo + step, MINIMA))
+    for lo in range(0, SKETCHES, step):
+        rows = slice(lo, min(lo + step, SKETCHES))
         cells = items[None, :] * _MULTIPLY[rows] + _ADD[rows]
-        minima[rows] = items[cells.argmin(axis=1)]
-        own = cells[: max(0, SKETCHES - lo)]
-        if len(own):
-            chosen[lo : lo + len(own)] = np.argpartition(own, keep - 1, axis=1)[:, :keep] if keep < len(items) else np.arange(keep)
+        each = np.arange(len(cells))
+        for k in range(keep):
+            chosen[rows, k] = at = cells.argmin(axis=1)
+            cells[each, at] = np.iinfo(np.uint64).max
     chosen.sort(axis=1)
-    keys = shingles.mix((items[chosen] * _PLACE[:keep]).sum(axis=1, dtype=np.uint64) + np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return keys, (minima >> np.uint64(32)).astype("<u4")
+    return shingles.mix((items[chosen] * _PLACE[:keep]).sum(axis=1, dtype=np.uint64) + np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def signature(items: np.ndarray) -> np.ndarray:
+    """16 bits of the minimum of labelled words by each of MINIMA hash functions."""
+    minima = np.empty(MINIMA, np.uint64)
+    step = max(1, CELLS // len(items))
+    for lo in range(0, MINIMA, step):
+        rows = slice(lo, min(lo + step, MINIMA))
+        minima[rows] = (items[None, :] * _MULTIPLY[rows] + _ADD[rows]).min(axis=1)
+    return (shingles.mix(minima) >> np.uint64(48)).astype("<u2")
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """m / (len(a) + len(b) - m) for the longest alignment m of labelled shingles within the threshold's band.
+    """m / (len(a) + len(b) - m) for the longest alignment of m equal words within the threshold's band.
 
-    An alignment that reaches the threshold never strays further than the band from the diagonal; where
-    too few shingles are common to reach it, the similarity that they bound from above is returned.
+    An alignment that reaches the threshold leaves few words out, so it never strays further than their number
+    from the diagonal, and the band loses none. The common beginning and end align with themselves.
     """
-    total = len(a) + len(b)
-    common_, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(common_) < threshold * (total - len(common_)) - 1e-9:
-        return len(common_) / max(1, total - len(common_))
-    order = np.argsort(at_a)
-    at_a, at_b = at_a[order], at_b[order]
-    near = np.abs(at_a - at_b) <= (1 - threshold) / (1 + threshold) * total + 1e-9
-    steps = at_b[near]
-    if len(steps) < 2 or (np.diff(steps) > 0).all():
-        m = len(steps)
-    else:
-        tails: list[int] = []
-        for x in steps.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        m = len(tails)
+    total, short = len(a) + len(b), min(len(a), len(b))
+    band = int((1 - threshold) / (1 + threshold) * total + 1e-9)
+    if total - 2 * short > band:
+        return short / (total - short)
+    differ = np.flatnonzero(a[:short] != b[:short])
+    first = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[len(a) - short + first :][::-1] != b[len(b) - short + first :][::-1])
+    last = int(differ[0]) if len(differ) else short - first
+    m = first + last + _aligned_words(a[first : len(a) - last].tolist(), b[first : len(b) - last].tolist(), band)
     return m / max(1, total - m)
 
 
+def _aligned_words(a: list[int], b: list[int], band: int) -> int:
+    """Length of the longest common subsequence whose places differ by at most `band`: one machine word for 64 places of a.
+
+    Bit i of `open_` is 0 where the i-th word of a lengthens the alignment. Places below the band don't change any more and
+    are counted and dropped; those above it come in when the band reaches them.
+    """
+    count, at, open_, size = 0, 0, 0, 0
+    for lo in range(0, len(b), STRIDE):
+        hi = min(lo + STRIDE, len(b))
+        gone = max(0, min(lo - band - at, size))
+        if gone:
+            count += gone - (open_ & ((1 << gone) - 1)).bit_count()
+            open_, at, size = open_ >> gone, at + gone, size - gone
+        if lo - band > at + size:
+            at = lo - band
+        more = min(len(a), hi + band) - at - size
+        if more > 0:
+            open_ |= ((1 << more) - 1) << size
+            size += more
+        places: dict[int, int] = {}
+        for i, w in enumerate(a[at : at + size]):
+            places[w] = places.get(w, 0) | 1 << i
+        mask = (1 << size) - 1
+        for j in range(lo, hi):
+            if (met := places.get(b[j])) is None:
+                continue
+            below = j - band - at
+            if below > 0:
+                met = met >> below << below
+            met &= (1 << max(0, j + band + 1 - at)) - 1
+            step = open_ & met
+            open_ = ((open_ + step) | (open_ - step)) & mask
+    return count + size - open_.bit_count()
+
+
+def content_hashes(own: np.ndarray, text: str) -> tuple[int, int]:
+    """Two hashes of a text's words in order; of a text without words, of its bytes."""
+    if not len(own):
+        own = shingles.mix(np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint64))
+    places = np.arange(len(own), dtype=np.uint64)
+    h1 = shingles.mix(own ^ shingles.mix(places + np.uint64(1))).sum(dtype=np.uint64)
+    h2 = shingles.mix(own + shingles.mix(places ^ np.uint64(0xABCDEF0123456789))).sum(dtype=np.uint64) + np.uint64(len(own))
+    return int(h1.view(np.int64)), int(h2.view(np.int64))
+
+
 SKETCHED = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
@@ -102,20 +152,14 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, at = shingles.shingles(hashes, bounds)
             rows = []
             for i, (doc, text) in enumerate(zip(ids[lo:hi], texts[lo:hi], strict=True)):
-                own = hashes[bounds[i] : bounds[i + 1]]
                 if not text:
                     rows.append((doc, None, None, 0, [], b""))
                     continue
-                if not len(own):
-                    own = shingles.mix(np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint64))
-                places = np.arange(len(own), dtype=np.uint64)
-                h1 = shingles.mix(own ^ shingles.mix(places + np.uint64(1))).sum(dtype=np.uint64)
-                h2 = shingles.mix(own + shingles.mix(places ^ np.uint64(0xABCDEF0123456789))).sum(dtype=np.uint64) + np.uint64(len(own))
-                keys, sig, n = [], b"", int(at[i + 1] - at[i])
-                if n:
-                    got = sketch(labelled(grams[at[i] : at[i + 1]]))
-                    keys, sig = got[0].view(np.int64), got[1].tobytes()
-                rows.append((doc, int(h1.view(np.int64)), int(h2.view(np.int64)), n, keys, sig))
+                own = hashes[bounds[i] : bounds[i + 1]]
+                keys, sig = [], b""
+                if len(own):
+                    keys, sig = sketch(labelled(grams[at[i] : at[i + 1]])).view(np.int64), signature(labelled(own)).tobytes()
+                rows.append((doc, *content_hashes(own, text), len(own), keys, sig))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SKETCHED, strict=True)], schema=SKETCHED)
 
 
@@ -145,33 +189,36 @@ def _sides(part: pa.Table) -> tuple[np.ndarray, bool]:
 
 
 def _agreeing(part: pa.Table) -> np.ndarray:
-    """Forest edges among the members of a bucket's blocks whose signatures agree: breadth first from each member."""
-    reps = part["rep"].to_numpy()
-    sigs = np.frombuffer(b"".join(part["sig"].to_pylist()), "<u4").reshape(len(reps), MINIMA)
+    """Forest edges among the members of a bucket's blocks whose lengths and signatures agree: breadth first from each member."""
+    nodes, sizes = part["node"].to_numpy(), part["n"].to_numpy()
+    sigs = np.frombuffer(b"".join(part["sig"].to_pylist()), "<u2").reshape(len(nodes), MINIMA)
     block, same = _sides(part)
-    left, edges = np.arange(len(reps)), []
+    left, edges = np.argsort(sizes, kind="stable"), []
     while len(left) > 1:
         queue, left, joined = [left[0]], left[1:], [left[0]]
         while queue and len(left):
             i = queue.pop()
-            near = (sigs[left] == sigs[i]).sum(axis=1) >= AGREE
+            a, b = np.searchsorted(sizes[left], [int(np.ceil(THRESHOLD * sizes[i] - 1e-9)), int(sizes[i] / THRESHOLD + 1e-9) + 1])
+            near = np.zeros(len(left), bool)
+            near[a:b] = (sigs[left[a:b]] == sigs[i]).sum(axis=1) >= AGREE
             if not same:
                 near &= block[left] != block[i]
             queue += left[near].tolist()
             joined += left[near].tolist()
             left = left[~near]
-        edges.append(_star(reps[joined]))
+        if len(joined) > 1:
+            edges.append(_star(nodes[joined]))
     return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
 
 
-def _star(reps: np.ndarray) -> np.ndarray:
+def _star(nodes: np.ndarray) -> np.ndarray:
     """Edges from the smallest of joined documents to the others: the same ones from many groups."""
-    ordered = np.unique(reps)
+    ordered = np.unique(nodes)
     return np.column_stack([np.full(len(ordered) - 1, ordered[0]), ordered[1:]])
 
 
 def _shared_counts(items: list[np.ndarray]) -> np.ndarray:
-    """Common labelled shingles of all pairs: products of membership rows, some shingles at a time."""
+    """Common labelled words of all pairs: products of membership rows, some words at a time."""
     n, owner = len(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
     ids, column = np.unique(np.concatenate(items), return_inverse=True)
     often = np.bincount(column, minlength=len(ids)) > 1
@@ -193,15 +240,22 @@ def _aligned(threshold: float):
     """Forest edges of links among the documents of a family's blocks. A pair that links already join is not aligned."""
 
     def forest(part: pa.Table) -> np.ndarray:
-        reps, texts = part["rep"].to_numpy(), part["text"].to_pylist()
-        items: list[np.ndarray] = []
-        for lo, hi in shingles.grouped(texts):
-            grams, at = shingles.shingles(*shingles.words(texts[lo:hi]))
-            items += [labelled(grams[at[i] : at[i + 1]]) for i in range(hi - lo)]
-        block, same = _sides(part)
-        sizes, both = np.array([len(x) for x in items], np.float32), _shared_counts(items)
+        rows = zip(*(part[c].to_pylist() for c in ("node", "h1", "h2", "block", "text")), strict=True)
+        held: dict[int, tuple] = {}
+        for node, h1, h2, block, text in rows:
+            if node not in held:
+                own = shingles.words([text])[0]
+                if content_hashes(own, text) == (h1, h2):  # else another text with the same id
+                    held[node] = block, own
+        if len(held) < 2:
+            return np.zeros((0, 2), np.int64)
+        nodes, words = np.array(list(held)), [x[1] for x in held.values()]
+        block = np.array([x[0] for x in held.values()])
+        same = part["lo"][0].as_py() == part["hi"][0].as_py()
+        sizes, both = np.array([len(x) for x in words], np.float32), _shared_counts([labelled(x) for x in words])
+        # aligned words are common, so pairs with too few common ones need no alignment
         able = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-3
-        root = list(range(len(items)))
+        root = list(range(len(words)))
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -209,75 +263,117 @@ def _aligned(threshold: float):
                 i = root[i]
             return i
 
-        for i in range(len(items)):
+        for i in range(len(words)):
             for j in (np.flatnonzero(able[i, i + 1 :]) + i + 1).tolist():
-                if (same or block[i] != block[j]) and top(i) != top(j) and similarity(items[i], items[j], threshold) >= threshold - 1e-9:
+                if (same or block[i] != block[j]) and top(i) != top(j) and similarity(words[i], words[j], threshold) >= threshold - 1e-9:
                     root[top(j)] = top(i)
-        tops = np.array([top(i) for i in range(len(items))])
-        stars = [_star(reps[tops == t]) for t in np.flatnonzero(np.bincount(tops) > 1)]
+        tops = np.array([top(i) for i in range(len(words))])
+        stars = [_star(nodes[tops == t]) for t in np.flatnonzero(np.bincount(tops) > 1)]
         return np.concatenate(stars) if stars else np.zeros((0, 2), np.int64)
 
     return forest
 
 
-def _in_blocks(df: DataFrame, size, block: int, keys: list[str]) -> DataFrame:
-    """Rows of df with (block, lo, hi): once for each pair of blocks of its group that holds the row's block."""
-    width = F.ceil(size / block).cast("int")
-    placed = df.withColumn("block", F.pmod(F.xxhash64("rep"), width).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), width - 1)))
-    return placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(*keys, "rep", "block", "lo", "hi")
-
+def _in_blocks(df: DataFrame, width, carried: list[str]) -> DataFrame:
+    """Rows of df with (block, lo, hi): once for each pair of the `width` blocks of its group that holds the row's block."""
+    placed = df.withColumn("_w", width.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_w")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)))
+    return placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(*carried, "node", "block", "lo", "hi")
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, is_copy and kept for every row of docs(doc_id, text).
 
-    class_id is the smallest doc_id among documents that links join, directly or through others; kept marks
-    it. Documents with the same words in the same order are copies (is_copy but for the one with the
-    smallest id) and links are sought between one of each. A text without words is a copy of an equal text
-    alone; a null or empty text, or a null doc_id, is a class of its own (class_id is its doc_id). Repeated
-    rows each give a row. Other columns are ignored.
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(the sketch of every row, and a stored row for each distinct text): h1, h2, node, members, rep, class_id, is_head.
 
-    Neither step lists the pairs of a group. Members of a bucket whose signatures agree are joined by a forest; the
-    components of all forests are families, which hold every candidate pair. The documents of a family are
-    then compared by their whole shingle sets, block against block, aligned where these allow the
-    threshold, and joined by a forest of links. A pair is left out only if links join it already.
+    A text is the words of its rows, known by two hashes; rep is its smallest id, class_id the smallest of its class, and
+    is_head marks one text of each class, that of the smallest id.
     """
     spark = docs.sparkSession
     common.ensure_workers(spark)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     drawn = common.save(spark, plain.mapInArrow(_sketches, "doc_id long, h1 long, h2 long, n long, keys array<long>, sig binary"), "sketches")
     real = drawn.where("doc_id is not null and h1 is not null")
-    copies = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    owned = common.save(spark, real.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).select("doc_id", "rep"), "owners")
-    reps = common.save(spark, real.join(owned.where("doc_id = rep").distinct().select("doc_id"), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("rep"), "keys", "sig"), "representatives")
-    buckets = reps.select("rep", F.explode("keys").alias("key"))
+    texts = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    texts = common.save(spark, texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    first = texts.select(F.col("rep").alias("doc_id"), "h1", "h2", "node")
+    reps = real.where("n > 0").join(first, ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
+    reps = common.save(spark, reps.select("node", "n", "keys", "sig"), "representatives")
+    buckets = reps.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    dealt = _in_blocks(buckets.join(shared, "key"), F.ceil(F.col("size") / BLOCK), ["key"])
     keys = ["key", "lo", "hi"]
-    dealt = _in_blocks(buckets.join(shared, "key"), F.col("size"), BLOCK, ["key"]).join(reps.select("rep", "sig"), "rep")
-    near = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _edges(it, keys, _agreeing), "a long, b long")
-    family = components(common.save(spark, near.distinct(), "agreeing")).withColumnRenamed("component", "family").withColumnRenamed("node", "rep")
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    spread = _in_blocks(family.join(sizes, "family"), F.col("size"), FAMILY_BLOCK, ["family"])
-    texts = plain.where("text is not null").join(family.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    near = dealt.join(reps.select("node", "n", "sig"), "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _edges(it, keys, _agreeing), "a long, b long")
+    family = components(common.save(spark, near.distinct(), "agreeing")).withColumnRenamed("component", "family")
+    known = common.save(spark, family.join(reps.select("node", "n"), "node").join(texts.select("node", "rep", "h1", "h2"), "node"), "family")
+    sizes = known.groupBy("family").agg(F.greatest(F.count(F.lit(1)) / FAMILY_BLOCK, F.sum("n") / FAMILY_WORDS).alias("size"))
+    spread = _in_blocks(known.join(sizes, "family"), F.ceil("size"), ["family", "h1", "h2"])
+    wanted = common.small(known.select(F.col("rep").alias("doc_id"), "node"))
+    bodies = plain.where("text is not null").join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
     groups = ["family", "lo", "hi"]
-    full = spread.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    links = full.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(lambda it: _edges(it, groups, _aligned(threshold)), "a long, b long")
+    links = spread.join(bodies, "node").repartition(*groups).sortWithinPartitions(*groups).mapInArrow(lambda it: _edges(it, groups, _aligned(threshold)), "a long, b long")
     label = components(common.save(spark, links, "links"))
-    classed = owned.join(label, owned["rep"] == label["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"), (F.col("doc_id") != F.col("rep")).alias("is_copy"))
+    linked = label.join(texts, "node")
+    heads = linked.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("head"))
+    placed = linked.join(heads, "component").select("node", F.col("head.rep").alias("class_id"), (F.col("node") == F.col("head.node")).alias("is_head"))
+    out = texts.join(placed, "node", "left").select("h1", "h2", "node", "members", "rep", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("is_head", F.lit(True)).alias("is_head"))
+    return drawn, common.save(spark, out, "classes")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, is_copy and kept for every row of docs(doc_id, text).
+
+    class_id is the smallest doc_id among documents that links join, directly or through others; kept marks
+    it. Documents with the same words in the same order are copies (is_copy but for the one with the
+    smallest id) and links are sought between one of each. A text without words is a copy of a text of the same
+    marks alone; a null or empty text, or a null doc_id, is a class of its own (class_id is its doc_id). Repeated
+    rows each give a row, and rows of one doc_id with different texts are judged each by its own text. Other columns
+    are ignored.
+
+    Neither step lists the pairs of a group. Members of a bucket whose signatures agree are joined by a forest; the
+    components of all forests are families, which hold every candidate pair. The documents of a family are
+    then compared by their whole texts, block against block, aligned where their common words allow the
+    threshold, and joined by a forest of links. A pair is left out only if links join it already.
+    """
+    drawn, classes = _classes(docs, threshold)
+    real = drawn.where("doc_id is not null and h1 is not null").select("doc_id", "h1", "h2")
+    classed = common.with_group(real, classes, ["h1", "h2"], real.count()).select("doc_id", "class_id", (F.col("doc_id") != F.col("rep")).alias("is_copy"))
     alone = drawn.where("doc_id is null or h1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(False).alias("is_copy"))
     return classed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def _hashed(h1: str, h2: str, at: int):
+    """Batches with the content hashes of the text at column `at`; null where it has none."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = [content_hashes(shingles.words([t])[0], t) if t else (None, None) for t in part.column(at).to_pylist()]
+                columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, h1, h2])
+
+    return run
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class of near_duplicates, the one with the smallest id, with all its columns.
 
-    Rows with a null doc_id are classes of their own and stay. Rows that share a doc_id are one document, of which
-    one row stays, the one with the least text.
+    Rows with a null doc_id or a null or empty text are classes of their own and stay. Of rows with the same doc_id and words one
+    stays, any of them; rows with the same doc_id and different texts are judged each by its own text.
     """
-    kept = near_duplicates(docs, threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_repeated"))
-    if not repeated.isEmpty():
-        again = docs["doc_id"] == F.col("_repeated")
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").withColumn("_r", first).where("_r = 1").drop("_r"))
-    return out.unionByName(docs.where("doc_id is null"))
+    spark = docs.sparkSession
+    drawn, classes = _classes(docs, threshold)
+    real = drawn.where("doc_id is not null and h1 is not null").select("doc_id", "h1", "h2")
+    rows = common.with_group(real, classes, ["h1", "h2"], real.count())
+    out_ids = common.save(spark, rows.where((F.col("doc_id") != F.col("rep")) | ~F.col("is_head")).select("doc_id").distinct(), "dropped")
+    doc, gone, again = F.col("doc_id").cast("long"), common.fresh(docs, "_gone"), common.fresh(docs, "_again")
+    out = docs.join(common.small(out_ids.select(F.col("doc_id").alias(gone))), doc == F.col(gone), "left_anti")
+    repeated = common.save(spark, drawn.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(again)), "repeated")
+    if repeated.isEmpty():
+        return out
+    h1, h2 = common.fresh(docs, "_h1"), common.fresh(docs, "_h2")
+    ids, same = common.small(repeated), doc == F.col(again)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {h1} long, {h2} long"
+    hashed = docs.join(ids, same, "left_semi").mapInArrow(_hashed(h1, h2, docs.columns.index("text")), schema)
+    first = classes.where("is_head").select(F.col("rep").alias(gone), F.col("h1").alias(again), F.col("h2").alias(common.fresh(docs, "_other")))
+    mine = hashed.join(first, (doc == F.col(gone)) & (F.col(h1) == F.col(again)) & (F.col(h2) == F.col(first.columns[2])), "left_semi")
+    bare = hashed.where(F.col(h1).isNull()).dropDuplicates(["doc_id", "text"])
+    return out.join(ids, same, "left_anti").unionByName(mine.dropDuplicates(["doc_id", h1, h2]).unionByName(bare).drop(h1, h2))

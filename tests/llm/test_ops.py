@@ -292,35 +292,97 @@ def test_vectors(spark):
     assert spherical_filters.linked_vectors(df.limit(0)).count() == 0
 
 
-def test_near_duplicates(spark, odd, empty):
-    rng = random.Random(6)
-    made = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
-    texts = []
-    for _ in range(15):
-        base = made(rng.randint(20, 200))
-        texts.append(" ".join(base))
-        for _ in range(rng.randint(0, 6)):
-            copy = list(base)
-            for _ in range(rng.randint(0, 3)):
-                copy[rng.randrange(len(copy))] = "new"
-            texts.append(" ".join(copy))
-    items = [order_minhash.labelled(shingles.shingles(*shingles.words([t]))[0]) for t in texts]
+def aligned(a, b):
+    """Words of the longest common subsequence, by the textbook table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_classes(texts, threshold=0.8):
+    """Smallest index of each text's class: words aligned pair by pair, without anything of the operator."""
+    words = ["".join(c if c.isalnum() else " " for c in t.lower()).split() for t in texts]
     label = list(range(len(texts)))
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if order_minhash.similarity(items[i], items[j]) >= 0.8]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if (m := aligned(words[i], words[j])) >= threshold * (len(words[i]) + len(words[j]) - m) - 1e-9]
     for _ in texts:
         for i, j in links:
             label[i] = label[j] = min(label[i], label[j])
+    return label, links
+
+
+def varied(rng, groups, longest=120):
+    texts = []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(30, longest))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 5)):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 10)):
+                i = rng.randrange(len(copy))
+                copy[i : i + rng.randint(0, 1)] = ["new"] * rng.randint(0, 1)
+            texts.append(" ".join(copy).replace(" ", ", " if rng.random() < 0.3 else " "))
+    return texts
+
+
+def test_near_duplicates(spark, odd, empty):
+    texts = varied(random.Random(6), 25)
+    label, links = brute_classes(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(df).collect()}
-    assert got == dict(enumerate(label))
+    assert len(links) > 40 and got == dict(enumerate(label))
     assert order_minhash.near_duplicates(odd).count() == len(ODD) and order_minhash.near_duplicates(empty).count() == 0
-    assert order_minhash.one_of_each(odd).count() == len(ODD) - 1
+    kept = order_minhash.one_of_each(odd)
+    assert kept.count() == len(ODD) - 1 and kept.columns == odd.columns and order_minhash.one_of_each(empty).count() == 0
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 3)
+    monkeypatch.setattr(order_minhash, "FAMILY_BLOCK", 2)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[: 60 - i], *(f"x{k}" for k in range(i))]) for i in range(0, 30, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(df).collect()}
+    assert got == dict(enumerate(brute_classes(texts)[0]))
+
+
+def test_one_id_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "pq")
+    rows = [(1, a, 7), (1, b, 7), (2, a + " more", 7), (3, b + " more", 7), (1, b + "!", 7), (4, None, 7), (4, None, 7), (4, "", 7)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, _gone int")
+        got = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in order_minhash.near_duplicates(df).collect())
+        assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False)] + [(4, 4, True)] * 3
+        kept = sorted(((r["doc_id"], (r["text"] or "").rstrip("!")) for r in order_minhash.one_of_each(df).collect()), key=str)
+        # text B keeps its row: no text is lost with its id; of rows with one id and the same words one stays
+        assert kept == [(1, a), (1, b), (4, ""), (4, "")]
 
 
-def test_alignment_follows_order():
+def test_clashing_names(spark):
+    names = "_gone _again _h1 _h2 _other _r _n members node h1 rep n".split()
+    df = spark.createDataFrame([(i % 7, f"text number {i % 5} of some words here", *[i] * len(names)) for i in range(20)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = order_minhash.one_of_each(df)
+    assert got.columns == df.columns and sorted({r["text"] for r in got.collect()}) == sorted({r["text"] for r in df.collect()})
+
+
+def test_alignment():
+    rng = random.Random(1)
+    for stride in (3, 512):
+        order_minhash.STRIDE, old = stride, order_minhash.STRIDE
+        for _ in range(1500):
+            a = [rng.randrange(rng.choice([3, 30])) for _ in range(rng.randint(1, 40))]
+            b = list(a)
+            for _ in range(rng.randint(0, 8)):
+                i = rng.randrange(len(b) + 1)
+                b[i : i + rng.randint(0, 2)] = [rng.randrange(30) for _ in range(rng.randint(0, 2))]
+            m = aligned(a, b)
+            want, got = m / (len(a) + len(b) - m), order_minhash.similarity(np.array(a, np.uint64), np.array(b, np.uint64))
+            assert got == pytest.approx(want) if want >= 0.8 - 1e-9 else got < 0.8
+        order_minhash.STRIDE = old
     a = np.arange(100, dtype=np.uint64)
-    assert order_minhash.similarity(a, a) == 1.0
-    assert order_minhash.similarity(a, a[::-1].copy()) < 0.05
+    assert order_minhash.similarity(a, a) == 1.0 and order_minhash.similarity(a, a[::-1].copy()) < 0.05
     assert len(set(order_minhash.labelled(np.array([5, 5, 5, 7], np.uint64)).tolist())) == 4
 
 

@@ -16,7 +16,7 @@ from .pieces import PieceEncoder
 
 #: A block ends with the document that brings it to so many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 19, 4096
-FORMAT = "part int, block int, ids_before long, bits int, n_ids long, doc_ids array<long>, doc_lens array<long>, payload binary"
+FORMAT = "part int, block int, least_doc long, most_doc long, ids_before long, bits int, n_ids long, doc_ids array<long>, doc_lens array<long>, payload binary"
 READ = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long"
 
 
@@ -88,7 +88,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2)
 
         def flush() -> pa.RecordBatch:
             flat = np.concatenate(held)
-            row = {"part": [part], "block": [block], "ids_before": [before], "bits": [bits], "n_ids": [len(flat)], "doc_ids": [ids], "doc_lens": [lens], "payload": [pack(flat, bits)]}
+            known = [i for i in ids if i is not None]
+            row = {"part": [part], "block": [block], "least_doc": [min(known, default=None)], "most_doc": [max(known, default=None)], "ids_before": [before], "bits": [bits], "n_ids": [len(flat)], "doc_ids": [ids], "doc_lens": [lens], "payload": [pack(flat, bits)]}
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
         for batch in batches:
@@ -105,8 +106,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2)
         if ids:
             yield flush()
 
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("payload", pa.binary())])
-    placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("least_doc", pa.int64()), ("most_doc", pa.int64()), ("ids_before", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("payload", pa.binary())])
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # the text's beginning lets rows of one id, a null one too, spread over tasks
+    placed = plain.repartitionByRange("doc_id", F.left("text", F.lit(24))).sortWithinPartitions("doc_id", "text")
     placed.mapInArrow(encode, FORMAT).write.parquet(path)
 
 
@@ -135,9 +138,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """Random access: the ids of one document, from its block only."""
+    """Random access: the ids of one document, from its block only: blocks' least and most ids are statistics of the files."""
     found = []
-    for row in spark.read.parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).collect():
+    at = F.lit(doc_id).cast("long")
+    for row in spark.read.parquet(path).where((F.col("least_doc") <= at) & (F.col("most_doc") >= at)).orderBy("part", "block").toLocalIterator():
         starts = np.cumsum([0, *row["doc_lens"]])
         found += [unpack(row["payload"], row["bits"], int(starts[i]), row["doc_lens"][i]) for i, d in enumerate(row["doc_ids"]) if d == doc_id]
     return found

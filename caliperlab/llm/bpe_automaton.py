@@ -67,6 +67,8 @@ class Automaton:
         self.endings |= self.id_of
         self._compile([m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]])
         self.kept = KEPT
+        self.cut, self.marks = self._cuts_hold(), False
+        self.marks = self._marks_hold()
         self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, bytes, str]] = {}
         self.before: dict[str, tuple[int, bytes, str]] = {}
@@ -140,10 +142,26 @@ class Automaton:
             self.words[word] = out
         return out
 
+    def _cuts_hold(self) -> bool:
+        """Whether the tokenizer splits a text as it splits its pieces between spaces and line ends, by probes; else texts stay whole."""
+        probes = ["a b", "Ab\ncd", " x  y ", "it's 12,5 a.b", "Été, ça\n\nva .", "x  \n y", "don't stop", "1 2"]
+        split = lambda x: [w for w, _ in self.pre_split(self.normalize(x))]
+        return all(split(p) == [w for piece in p.replace("\n", " ").split(" ") if piece for w in split(piece)] for p in probes)
+
+    def _marks_hold(self) -> bool:
+        """Whether `_split` may take letters before a mark itself, by probes."""
+        probes = ["word", "Word", "WORD,", "été.", "Straße", "naïve,", "ЖУК", "αβγ.", "x", "ǅ", "ﬁn"]
+        slow = [list(self._split(p)) for p in probes]
+        self.marks = True
+        try:
+            return [list(self._split(p)) for p in probes] == slow
+        except KeyError:
+            return False
+
     def _split(self, piece: str) -> Iterator[str]:
         """The pre-split words of a piece. Letters before a mark are split here, with the same result."""
         word, mark = (piece[:-1], piece[-1]) if piece[-1:] in MARKS else (piece, "")
-        if word.isalpha() and max(word) < LETTERS_BELOW:
+        if self.marks and word.isalpha() and max(word) < LETTERS_BELOW:
             plain = word.lower() if word.isascii() else self.normalize(word)
             if plain.isalpha():
                 yield plain if plain.isascii() else "".join(map(BYTE_SYMBOLS.__getitem__, plain.encode()))
@@ -160,7 +178,7 @@ class Automaton:
     def encode(self, text: str) -> tuple[int, bytes, str]:
         """(number of tokens, ids as little-endian 32-bit integers, decoded text) of a whole text.
 
-        The vocabulary's pre-tokenizer drops white space, so a text is cut at spaces and line ends first.
+        Where the vocabulary's pre-tokenizer drops white space, a text is cut at spaces and line ends first.
         Added tokens are found in the raw text. Decoding emits the labels of the path with a space
         between, as the library does for a vocabulary without decoder.
         """
@@ -179,7 +197,7 @@ class Automaton:
 
     def encode_plain(self, text: str) -> tuple[int, bytes, str]:
         known, found = self.pieces, []
-        for piece in text.replace("\n", " ").split(" "):
+        for piece in text.replace("\n", " ").split(" ") if self.cut else (text,):
             got = known.get(piece)
             if got is None:
                 got = self.before.get(piece) or self._piece(piece)
@@ -226,8 +244,10 @@ def _mapped(docs: DataFrame, path: str, schema: str, made, kept: int = KEPT) ->
                 part = batch.slice(lo, 512)
                 # many small tuples and no cycles are made here: a search for cycles among them would take a good share of the time
                 gc.disable()
-                rows = [(d, *made(*automaton.encode(t or ""))) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                gc.enable()
+                try:
+                    rows = [(d, *made(*automaton.encode(t or ""))) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                finally:
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

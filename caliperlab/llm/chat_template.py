@@ -1,7 +1,7 @@
 """A sandboxed template language for conversations, compiled to closures, and what reads its output back.
 
 Grammar: text, ``{{ expr }}``, ``{% if expr %} .. {% elif expr %} .. {% else %} .. {% endif %}``,
-``{% for m in messages %} .. {% endfor %}`` (once, over the conversation) and
+``{% for m in messages %} .. {% endfor %}`` (exactly once in a template, over the conversation) and
 ``{% generation %} .. {% endgeneration %}``. Expressions: quoted strings, integers, ``m.role``,
 ``m.text``, ``loop.index``, ``loop.first``, ``loop.last``, ``==``, ``!=``, ``+``, ``not``, ``and``, ``or``,
 parentheses and filters (``esc``, ``trim``, ``upper``, ``lower``). There are no calls, attributes of
@@ -138,13 +138,13 @@ def parse(source: str, filters: Iterable[str] = ()) -> Node:
         tags.append(("text", source[at:]))
     known = {*FILTERS, *filters, "esc"}
     names: set[str] = set()
-    pos = 0
+    pos, loops = 0, 0
 
     def expr(text: str) -> Node:
         return _Expr(text, names, known).whole()
 
     def block(ends: tuple[str, ...], depth: int) -> tuple[Node, str]:
-        nonlocal pos
+        nonlocal pos, loops
         out: list[Node] = []
         while pos < len(tags):
             kind, text = tags[pos]
@@ -160,7 +160,7 @@ def parse(source: str, filters: Iterable[str] = ()) -> Node:
                 if word == "if":
                     branches, rest, end = [], None, text
                     while end.split(None, 1)[0] in ("if", "elif"):
-                        test = expr(end.split(None, 1)[1])
+                        test = expr((end.split(None, 1) + [""])[1])
                         body, end = block(("elif", "else", "endif"), depth)
                         branches.append((test, body))
                     if end == "else":
@@ -171,6 +171,7 @@ def parse(source: str, filters: Iterable[str] = ()) -> Node:
                     body, _ = block(("endfor",), depth + 1)
                     out.append(Node("for", m[1], (body,)))
                     names.clear()
+                    loops += 1
                 elif word == "generation":
                     body, _ = block(("endgeneration",), depth)
                     out.append(Node("gen", None, (body,)))
@@ -180,7 +181,10 @@ def parse(source: str, filters: Iterable[str] = ()) -> Node:
             raise TemplateError(f"{' or '.join(ends)} is missing")
         return Node("block", None, tuple(out)), ""
 
-    return block((), 0)[0]
+    tree = block((), 0)[0]
+    if loops != 1:
+        raise TemplateError(f"a template has one loop over messages, this one {loops}")
+    return tree
 
 
 def fold(node: Node, filters: dict[str, Callable[[str], str]]) -> Node:
@@ -381,7 +385,10 @@ def format_conversations(turns: DataFrame, source: str = SOURCE, controls: list[
         ahead = next(rows, None)
         while ahead is not None:
             state.update(conv=ahead[0], segment=0, size=0, parts=[], spans=[])
-            template.render(conversation(ahead, rows), emit)
+            turns = conversation(ahead, rows)
+            template.render(turns, emit)
+            for _ in turns:  # a loop in a branch not taken reads none
+                pass
             close(True)
             if sum(len(x[3]) for x in done) >= SEGMENT or len(done) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), FORMATTED, strict=True)], schema=FORMATTED)

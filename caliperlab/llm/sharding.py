@@ -9,6 +9,8 @@ one apart.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,6 @@ ROUNDS = 30
 IDLE_DRAWS = 3
 #: Rows that a numbering bucket of a shard holds on average; larger groups are numbered across buckets.
 BUCKET_ROWS, WHOLE_GROUP = 50_000, 1000
-#: A group with one in so many of all rows is large: there are no more than so many.
-LARGE_GROUPS = 1000
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -37,8 +37,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     The law is ``rows``: shards' row counts are at most one apart. Slots are gapless from 0 in each shard.
     grown_shard is null (it belongs to a law by key). Empty texts are equal texts, a null text is linked to
     nothing. Repeated rows and null ids are rows of their own. A group larger than a shard fills
-    shards one after another. Other columns are ignored; an empty table gives no rows.
+    shards one after another. Other columns are ignored; an empty table gives no rows. Moves end when none gains; a
+    warning says so where they are ended by `rounds`, as every other promise holds then too.
     """
+    return placed(docs, shards, rounds).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def placed(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """What shard_documents gives, with grp, for `cut_edges`."""
     spark = docs.sparkSession
     base = common.save(spark, described(docs), "shard-base")
     total = base.count()
@@ -48,15 +54,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     dealt = common.numbered(tagged, [], ["doc_id", "text_crc32", "grp"], F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(width * shards)), "n")
     now = common.save(spark, dealt.withColumn("shard", F.pmod("n", F.lit(shards)).cast("int")).drop("n"), "shard-start")
     for r in range(rounds):
-        draws = (_round(now, by_id, width, salt) for salt in (None, *range(r * IDLE_DRAWS, (r + 1) * IDLE_DRAWS)))
+        draws = (_round(now, by_id, width, total, salt) for salt in (None, *range(r * IDLE_DRAWS, (r + 1) * IDLE_DRAWS)))
         moved = next((x for x in draws if x is not None), None)
         if moved is None:
             break
         after = common.save(spark, moved, "shard-round")
         common.drop_saved(spark, now)
         now = after
-    placed = common.numbered(now, ["shard"], ["doc_id", "text_crc32", "grp"], by_id, "slot")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    else:
+        warnings.warn(f"documents still moved after {rounds} rounds", stacklevel=2)
+    return common.numbered(now, ["shard"], ["doc_id", "text_crc32", "grp"], by_id, "slot")
 
 
 def _with_members(spark, base: DataFrame, total: int) -> DataFrame:
@@ -66,12 +73,12 @@ def _with_members(spark, base: DataFrame, total: int) -> DataFrame:
     """
     linked = base.where("grp is not null")
     groups = common.save(spark, linked.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shard-groups")
-    large = F.broadcast(groups.where(F.col("members") * LARGE_GROUPS >= total))
+    large = F.broadcast(groups.where(F.col("members") * common.LARGE_GROUPS >= total))
     rest = linked.join(large, "grp", "left_anti").join(groups, "grp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
     return linked.join(large, "grp").unionByName(rest).unionByName(base.where("grp is null").withColumn("members", F.lit(1).cast("long")))
 
 
-def _round(now: DataFrame, by_id, width: int, salt: int | None) -> DataFrame | None:
+def _round(now: DataFrame, by_id, width: int, total: int, salt: int | None) -> DataFrame | None:
     """The table after one round of moves, or None where no document can move with gain.
 
     Without a salt, groups go to shards that have unlinked rows. With one, to any shard, of equal ones to one drawn
@@ -98,7 +105,10 @@ def _round(now: DataFrame, by_id, width: int, salt: int | None) -> DataFrame | N
     if flows.agg(F.sum("quota")).first()[0] in (None, 0):
         common.drop_saved(spark, going)
         return None
-    wants = now.join(going.select("grp", "shard", "to"), ["grp", "shard"], "left")
+    # rows of large groups stay where they are: those groups have a row a shard in `going`
+    is_large, moves = F.col("members") * common.LARGE_GROUPS >= total, going.select("grp", "shard", "to")
+    few = F.broadcast(moves.join(F.broadcast(now.where(is_large).select("grp").distinct()), "grp", "left_semi"))
+    wants = now.where(is_large).join(few, ["grp", "shard"], "left").unionByName(now.where(~is_large).join(moves, ["grp", "shard"], "left"))
     kind = F.when(F.col("to").isNotNull(), F.col("to")).when(F.col("members") == 1, F.lit(-1))
     keep_whole = F.when((F.col("members") > 1) & (F.col("members") <= WHOLE_GROUP), F.pmod(F.xxhash64("grp"), F.lit(width))).otherwise(by_id)
     ranked = common.numbered(wants.withColumn("kind", F.coalesce(kind, F.lit(-2))), ["shard", "kind"], ["grp", "doc_id", "text_crc32"], keep_whole, "n")
@@ -111,6 +121,6 @@ def _round(now: DataFrame, by_id, width: int, salt: int | None) -> DataFrame | N
 
 
 def cut_edges(placed: DataFrame) -> DataFrame:
-    """One row: documents with equal texts that are not in their group's largest shard, and all linked ones."""
-    parts = placed.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.sum("n").alias("all"), F.max("n").alias("top")).where("all > 1")
+    """One row: documents with equal texts that are not in their group's largest shard, and all linked ones; of placed(grp, shard)."""
+    parts = placed.where("grp is not null").groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.sum("n").alias("all"), F.max("n").alias("top")).where("all > 1")
     return parts.agg(F.coalesce(F.sum(F.col("all") - F.col("top")), F.lit(0)).alias("cut"), F.coalesce(F.sum("all"), F.lit(0)).alias("linked"))

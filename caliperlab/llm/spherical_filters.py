@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common
 from .components import components
@@ -32,6 +33,8 @@ PER_FILTER = 0.1
 MIN_WORDS, MAX_WORDS = 8, 256
 #: Vectors compared at once.
 BLOCK = 1024
+#: Numbers of a membership matrix that are made at once.
+CELLS = 1 << 22
 
 
 class ProductCode:
@@ -111,32 +114,41 @@ def unit(rows: list) -> list[np.ndarray | None]:
     return out
 
 
-FILTERED = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("members", pa.int64()), ("x", pa.binary()), ("filters", pa.list_(pa.int64()))])
 LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
 def _inserted(words: int):
+    """(rep, filters) of rows (rep, embedding): the sorted numbers of a vector's filters as 32-bit integers."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, ProductCode] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                reps, labels, members, vectors = (batch.slice(lo, 512).column(i).to_pylist() for i in range(4))
+                reps, vectors = (batch.slice(lo, 512).column(i).to_pylist() for i in range(2))
                 units, rows = unit(vectors), []
                 for dim in sorted({len(u) for u in units if u is not None}):
                     code = codes.setdefault(dim, ProductCode(dim, words))
                     own = [i for i, u in enumerate(units) if u is not None and len(u) == dim]
-                    # vectors of another length never meet: the length is part of the filter
-                    rows += [(reps[i], labels[i], members[i], units[i].tobytes(), f + dim * (1 << 40)) for i, f in zip(own, code.decode(np.stack([units[i] for i in own])), strict=True)]
+                    rows += [(reps[i], f) for i, f in zip(own, code.decode(np.stack([units[i] for i in own])), strict=True)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FILTERED, strict=True)], schema=FILTERED)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["rep", "filters"])
 
     return run
 
 
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [np.asarray(f, "<u4").tobytes() for f in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["rep", "filters"])
+
+
 def _group(part: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(representatives, links counted here, root in this filter's forest) of the linked rows of one filter's blocks."""
     n = part.num_rows
-    x = np.frombuffer(b"".join(part["x"].to_pylist())).reshape(n, -1)
+    # a filter's rows have vectors of one length
+    x = part["x"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(n, -1)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= threshold
     near.flat[:: n + 1] = False
     if not near.any():
@@ -148,22 +160,30 @@ def _group(part: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np
     if not len(own):
         return None
     near, part = near[np.ix_(own, own)], part.take(own)
+    counted, members = near, part["members"].to_numpy()
     # a pair that shares several filters is counted in the smallest
-    lists = part["filters"].combine_chunks()
-    flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(own)), np.diff(lists.offsets.to_numpy()))
-    below = flat < part["filter"][0].as_py()
-    ids, column = np.unique(flat[below], return_inverse=True)
-    counted = near
+    lists = [np.frombuffer(f, "<u4") for f in part["filters"].to_pylist()]
+    here = np.uint32(part["filter"][0].as_py() & 0xFFFFFFFF)
+    lists = [f[: np.searchsorted(f, here)] for f in lists]
+    flat, owner = np.concatenate(lists), np.repeat(np.arange(len(own)), [len(f) for f in lists])
+    ids, column = np.unique(flat, return_inverse=True)
     if len(ids):
-        held = np.zeros((len(own), len(ids)), np.float32)
-        held[owner[below], column] = 1
-        counted = near & ~(held @ held.T > 0)
+        # some filters at a time: a vector may have thousands
+        shared, width = np.zeros(near.shape, bool), max(256, CELLS // len(own))
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for lo in range(0, len(ids), width):
+            a, b = np.searchsorted(column, [lo, lo + width])
+            held = np.zeros((len(own), min(width, len(ids) - lo)), np.float32)
+            held[owner[a:b], column[a:b] - lo] = 1
+            shared |= held @ held.T > 0
+        counted = near & ~shared
     reps = part["rep"].to_numpy()
     label = reps.copy()
     while True:
         least = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(1))
         if (least == label).all():
-            return reps, counted @ part["members"].to_numpy(), label
+            return reps, counted @ members, label
         label = least
 
 
@@ -193,32 +213,44 @@ def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFram
     Vectors are compared where labels are equal and not null, by cosine in double precision. Those that are
     null, empty or zero, or hold a null or non-finite part, and those of different lengths, link with
     nothing. n_links counts the other rows linked directly, component_id is the smallest vec_id reachable,
-    kept marks it. Rows with equal vectors and labels are compared once and counted each. Rows with a null
-    vec_id link with nothing and have a null component. Other columns are ignored.
+    kept marks it. Rows with equal vectors and labels are compared once and counted each; rows of one vec_id with
+    different vectors are compared each. Rows with a null vec_id link with nothing and have a null component. A label that is no
+    whole number is known by a 64-bit hash of its text. Other columns are ignored.
+
+    What is sent once for each filter and block of a vector is the vector as it is stored (32-bit parts stay so) and its filters.
     """
     spark = vectors.sparkSession
     common.ensure_workers(spark)
-    parts = F.col("embedding").cast("array<double>")
+    types = {f.name: f.dataType for f in vectors.schema}
+    exact = types["embedding"].simpleString() == "array<float>"
+    parts = F.col("embedding").cast("array<float>" if exact else "array<double>")
+    label = F.col("label").cast("long") if isinstance(types["label"], IntegralType) else F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string")))
     fit = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce((F.size(parts) > 0) & F.forall(parts, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(parts, lambda c: c != 0), F.lit(False))
-    rows = common.save(spark, vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), parts.alias("x"), fit.alias("fit"), F.xxhash64(parts).alias("k1"), F.xxhash64(F.lit(7), parts).alias("k2")), "vectors")
+    rows = common.save(spark, vectors.select(F.col("vec_id").cast("long"), label.alias("label"), parts.alias("x"), fit.alias("fit"), F.xxhash64(parts).alias("k1"), F.xxhash64(F.lit(7), parts).alias("k2")), "vectors")
     key = ["label", "k1", "k2"]
-    classes = rows.where("fit").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    owned = common.save(spark, rows.where("fit").select("vec_id", *key).join(classes, key).select("vec_id", "rep", "members"), "vector-owners")
-    heads = owned.where("vec_id = rep").select("rep", "members").distinct()
-    reps = rows.where("fit").dropDuplicates(["vec_id"]).join(heads, rows["vec_id"] == heads["rep"]).select("rep", "label", "members", "x")
-    words = words_for(heads.count())
-    drawn = common.save(spark, reps.mapInArrow(_inserted(words), "rep long, label long, members long, x binary, filters array<long>"), "vector-filters")
-    inserted = drawn.select("rep", "label", F.explode("filters").alias("filter"))
+    own = rows.where("fit").select("vec_id", *key)
+    classes = own.groupBy(*key).agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("members"))
+    classes = common.save(spark, classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    # one row of each class: rows that share an id have other keys, and repeated rows are dropped
+    heads = rows.where("fit").select(F.col("vec_id").alias("least"), *key, "x").join(classes, ["least", *key]).dropDuplicates(["least", *key])
+    reps = common.save(spark, heads.select("rep", "label", "members", "x"), "vector-reps")
+    words = words_for(reps.count())
+    drawn = common.save(spark, reps.select("rep", "x").mapInArrow(_inserted(words), "rep long, filters array<long>"), "vector-filters")
+    # vectors of another length never meet: the length is part of the filter
+    sized = reps.select("rep", "label", "members", "x", F.size("x").cast("long").alias("dim"))
+    inserted = drawn.join(sized.select("rep", "label", "dim"), "rep").select("rep", "label", F.explode(F.transform("filters", lambda f: F.col("dim") * (1 << 40) + f)).alias("filter"))
     sizes = inserted.groupBy("label", "filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     width = F.ceil(F.col("size") / BLOCK).cast("int")
     met = inserted.join(sizes, ["label", "filter"]).withColumn("block", F.pmod(F.xxhash64("rep"), width).cast("int"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), width - 1))).select("rep", "filter", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     group = ["label", "filter", "lo", "hi"]
-    full = dealt.join(drawn, "rep").select(*group, "block", "rep", "members", "x", "filters").repartition(*group).sortWithinPartitions(*group)
+    full = dealt.join(sized.drop("dim").join(drawn.mapInArrow(_packed, "rep long, filters binary"), "rep"), "rep").select(*group, "block", "rep", "members", "x", "filters").repartition(*group).sortWithinPartitions(*group)
     found = common.save(spark, full.mapInArrow(_compared(threshold), "rep long, links long, root long"), "vector-links")
-    label = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
+    joined = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = owned.join(links, "rep", "left").join(label, owned["rep"] == label["node"], "left")
-    out = known.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = joined.join(classes.select(F.col("rep").alias("node"), "least"), "node")
+    named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("node").alias("rep"), "component_id")
+    judged = classes.join(links, "rep", "left").join(named, "rep", "left").select(*key, "members", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    out = common.with_group(own, common.save(spark, judged, "vector-judged"), key, own.count()).select("vec_id", "n_links", "component_id")
     rest = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

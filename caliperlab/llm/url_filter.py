@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes that the levels of one cascade may take; they are sent to every worker.
-MAX_FILTER_BYTES = 256 << 20
 #: Chance of a wrong pass on all levels but the first.
 LATER_RATE = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,13 +38,15 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
-def candidates(host: Column, path: Column, path_lengths: list[int]) -> Column:
+def candidates(host: Column, path: Column, path_lengths: list[int], label_counts: list[int]) -> Column:
     """Keys that a url can be listed under, the longest host first, then the longest path.
 
-    Hosts are the host and each part of it after a dot; paths are the prefixes of the lengths that rules have.
+    Hosts are the ends of the host with as many labels as rules have; paths are the prefixes of the lengths that rules have. So a
+    url has as many keys as rules have shapes, at most, and takes time in proportion to its length.
     """
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    ends = F.array(*[F.when(labels >= n, F.substring_index(host, ".", -n)) for n in sorted(label_counts, reverse=True)])
+    hosts = F.filter(ends, lambda h: h.isNotNull())
     lengths = F.array(*[F.lit(n) for n in sorted(path_lengths, reverse=True)])
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
@@ -110,18 +110,16 @@ class Cascade:
         return member
 
 
-def build_cascade(universe: DataFrame, listed: list[str], max_bytes: int = MAX_FILTER_BYTES) -> Cascade:
+def build_cascade(universe: DataFrame, listed: list[str]) -> Cascade:
     """A cascade over universe(key, h1, h2), distinct keys, for the listed ones.
 
-    Level 1 is so strict that about as many other keys pass as are listed, so what the driver holds is
-    bounded by the list, which max_bytes bounds. The other keys are tested where they are; those that
-    pass a level, in number near the list's, come to the driver to be encoded in the next.
+    The list is the driver's own, and what is sent to the workers is bounded by it: level 1 takes a few bytes a listed key and
+    is so strict that about as many other keys pass as are listed. The other keys are tested where they are; those that
+    pass come to the driver, to be encoded in the next levels.
     """
     spark = universe.sparkSession
     if not listed:
         return Cascade([])
-    if len(listed) * 64 > max_bytes:
-        raise ValueError(f"{len(listed)} listed keys need more than {max_bytes} bytes: raise max_bytes or split the list by its last host label")
     inside = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string").select("key", *(h.alias(n) for h, n in zip(hashes(F.col("key")), ("h1", "h2"), strict=True))).toPandas()
     total = universe.count()
     rate = min(0.5, math.sqrt(0.5) * len(inside) / max(total, 1))
@@ -136,10 +134,7 @@ def build_cascade(universe: DataFrame, listed: list[str], max_bytes: int = MAX_F
             kept = pdf[ok]
             yield kept[~kept["key"].isin(known)][["h1", "h2"]]
 
-    other = universe.mapInPandas(survivors, "h1 long, h2 long")
-    if (n := other.count()) * 64 > max_bytes:
-        raise ValueError(f"{n} other keys pass the first level: raise max_bytes")
-    out = other.toPandas().to_numpy(np.int64).reshape(-1, 2)
+    out = universe.mapInPandas(survivors, "h1 long, h2 long").toPandas().to_numpy(np.int64).reshape(-1, 2)
     levels, sides = [first], [into, out]
     while len(sides[1]):
         add, test = sides[1], sides[0]
@@ -158,15 +153,16 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], default: st
     A rule such as ``example.net/en/`` fits its host and all subdomains where the path starts with the
     rule's path; the longest rule that fits wins (of rules as long, the one with the longer host; of a
     rule that is listed twice, block). Where none fits, the rule is null and the verdict `default`. A null
-    url, or one without ``://``, has an empty host and path and fits no rule. Repeated rows give a row
-    each; other columns are ignored.
+    url, or one without ``://``, has an empty host and path and fits no rule. Urls are read whole, however long. Repeated rows
+    give a row each; other columns are ignored.
     """
     common.ensure_workers(pages.sparkSession)
-    lengths = sorted({len(split_rule(r)[1]) for r in (*block, *allow)}) or [0]
+    rules = [split_rule(r) for r in (*block, *allow)] or [("", "")]
+    lengths, label_counts = sorted({len(p) for _, p in rules}), sorted({h.count(".") + 1 for h, _ in rules})
     named = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("_url"))
     host, path = host_and_path(F.col("_url"))
     split = named.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    asked = split.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
+    asked = split.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths, label_counts))
     h1, h2 = hashes(F.col("key"))
     universe = common.save(pages.sparkSession, asked.select(F.explode("keys").alias("key")).distinct().select("key", h1.alias("h1"), h2.alias("h2")), "url-keys")
     cascades = [build_cascade(universe, x) for x in (block, [a for a in allow if a not in set(block)])]

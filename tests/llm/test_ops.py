@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,16 @@ def test_bits():
     assert bitpack.width(50257) == 16
 
 
+def test_plain_widths_are_the_same_bytes(monkeypatch):
+    rng = np.random.default_rng(1)
+    for bits in list(bitpack.PLAIN):
+        ids = rng.integers(0, 2**bits, 700, dtype=np.uint64).astype(np.uint32)
+        plain = bitpack.pack(ids, bits)
+        with monkeypatch.context() as m:
+            m.setattr(bitpack, "PLAIN", {})
+            assert bitpack.pack(ids, bits) == plain and (bitpack.unpack(plain, bits, 3, 300) == ids[3:303]).all()
+
+
 def test_token_files(spark, odd, empty):
     t = library("byte_bpe_50k.json")
     path = common.scratch_path(spark, "t")
@@ -57,6 +69,9 @@ def test_token_files(spark, odd, empty):
         at += len(ids)
     assert got == want
     assert (bitpack.read_document(spark, path, 7)[0][:-1] == t.encode("é ü", add_special_tokens=False).ids).all()
+    assert len(bitpack.read_document(spark, path, 1)) == 2 and bitpack.read_document(spark, path, 99) == []
+    blocks = spark.read.parquet(path).select("least_doc", "most_doc", "doc_ids").collect()
+    assert all((b["least_doc"], b["most_doc"]) == (min(known), max(known)) for b in blocks if (known := [i for i in b["doc_ids"] if i is not None]))
     path = common.scratch_path(spark, "t")
     bitpack.write_ids(empty, path, public_tokenizers.path("byte_bpe_50k.json"))
     assert bitpack.read_digests(spark, path).count() == 0
@@ -84,6 +99,11 @@ def test_automaton(spark, odd, empty):
         ids = t.encode(x, add_special_tokens=False).ids
         n, raw, decoded = a.encode(x)
         assert (n, np.frombuffer(raw, "<u4").tolist(), decoded) == (len(ids), ids, t.decode(ids, skip_special_tokens=False)), x
+    assert a.cut and a.marks
+    a.cut = a.marks = False  # what holds for another tokenizer: whole texts, split by the library
+    a.pieces, a.before = {}, {}
+    assert [a.encode(x)[1] for x in texts[:200]] == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts[:200]]
+    a.cut = a.marks = True
     rows = bpe_automaton.encode_digests(odd, path).collect()
     assert len(rows) == len(ODD) and {r["n_tokens"] for r in rows if r["doc_id"] in (2, 3, 6)} == {0}
     assert bpe_automaton.encode_digests(empty, path).count() == 0
@@ -110,14 +130,17 @@ def test_chat(spark):
     null = spark.createDataFrame([(None, None, None, None)], "conv_id long, turn long, role string, text string")
     assert chat_template.read_digests(chat_template.format_conversations(null)).first()["n_turns"] == 1
     assert chat_template.format_conversations(null.limit(0)).count() == 0
-    for bad in ("{{ m.text }}", "{% for m in messages %}", "{{ ''.__class__ }}", "{% import os %}"):
+    loop = "{% for m in messages %}{{ m.text }}{% endfor %}"
+    for bad in ("{{ m.text }}", "{% for m in messages %}", "{{ ''.__class__ }}", "{% import os %}", loop + loop, "no loop", "{% if %}x{% endif %}" + loop):
         with pytest.raises(chat_template.TemplateError):
             chat_template.parse(bad)
+    unread = chat_template.format_conversations(df, "{% if 1 == 2 %}" + loop + "{% endif %}end")
+    assert {r["text"] for r in unread.collect()} == {"end"} and unread.count() == 60
 
 
 def test_template_folding():
-    t = chat_template.Template("{% if 1 == 1 %}a{{ 'b'|upper }}{% else %}c{% endif %}", [])
-    assert [p.kind for p in t.tree.parts] == ["text"] and t.render_text([])[0] == "aB"
+    t = chat_template.Template("{% if 1 == 1 %}a{{ 'b'|upper }}{% else %}c{% endif %}{% for m in messages %}{{ m.text }}{% endfor %}", [])
+    assert [p.kind for p in t.tree.parts] == ["text", "for"] and t.render_text([])[0] == "aB"
 
 
 def test_cascade(spark):
@@ -140,6 +163,28 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), ["net/"], []).count() == 0
 
 
+def naive_verdict(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [r for r in rules if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+    best = max(fits, key=lambda r: (len(r), len(r.partition("/")[0])), default=None)
+    return host, path, best, rules.get(best, "allow")
+
+
+def test_urls_against_every_rule(spark):
+    rng = random.Random(8)
+    rules = {"net/": "block", "example.com/de/": "block", "example.net/en/": "allow", "org/fr/": "allow", "a.b.c.org/": "block", "b.c.org/x": "allow"}
+    names = ["a", "b", "c", "example", "net", "org", "com", "x", ""]
+    urls = [f"http{rng.choice(['s', ''])}://{'.'.join(rng.choice(names) for _ in range(rng.randint(1, 6)))}{rng.choice(['', '/', '/de/', '/en/x', '/fr/', '/x#y', '?q', '/xy?z'])}" for _ in range(400)]
+    # a host of 100,000 characters and 25,000 labels, and one without an end
+    urls += ["http://" + "abc." * 25_000 + "example.net/en/", "http://" + "x" * 100_000, "://net", None, ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge_urls(df, [r for r, v in rules.items() if v == "block"], [r for r, v in rules.items() if v == "allow"]).collect()
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == {i: naive_verdict(u, rules) for i, u in enumerate(urls)}
+
+
 def test_leaks(spark, odd, empty):
     item = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, "start " + item.upper() + " end", 1), (2, " ".join(item.split()[:20]), 1), (3, "say only three WORDS here", 1), (4, None, 1), (5, "", 1)], "doc_id long, text string, item_id int")
@@ -149,6 +194,41 @@ def test_leaks(spark, odd, empty):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_items(docs, items, max_index_bytes=200).collect()) == got
     assert decontaminate.find_items(odd, items.limit(0)).count() == 0 and decontaminate.find_items(empty, items).count() == 0
     assert sorted(r["doc_id"] for r in decontaminate.without_items(docs, items).collect()) == [2, 4, 5]
+    assert sorted(r["doc_id"] for r in decontaminate.without_items(docs, items, max_index_bytes=200).collect()) == [2, 4, 5]
+    assert decontaminate.without_items(odd, items).columns == odd.columns and decontaminate.without_items(odd, items).count() == len(ODD)
+    assert decontaminate.without_items(empty, items).count() == 0 and decontaminate.without_items(odd, items.limit(0)).count() == len(ODD)
+
+
+def test_leaks_against_every_pair(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"v{rng.randrange(400)}" for _ in range(rng.choice([3, 5, 9, 20, 60, 200])))) for i in range(60)]
+    docs = []
+    for d in range(80):
+        words = [f"z{rng.randrange(900)}" for _ in range(rng.randint(0, 300))]
+        for _ in range(rng.randint(0, 2)):
+            passage = rng.choice(items)[1].split()
+            passage = [w if rng.random() > 0.02 else "other" for w in passage[: rng.randint(len(passage) * 3 // 4, len(passage))]]
+            at = rng.randint(0, len(words))
+            words[at:at] = passage
+        docs.append((d, " ".join(words)))
+
+    def grams(words, k):
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            k = min(5, len(item.split()))
+            own, there = grams(item.split(), k), grams(text.split(), k)
+            if len(own & there) >= 0.8 * len(own):
+                want.add((d, i, len(own), len(own & there)))
+    d, x = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.MAX_INDEX_BYTES, 4000):
+        got = {(r["doc_id"], r["item_id"], r["n_item_shingles"], r["n_shared"]) for r in decontaminate.find_items(d, x, max_index_bytes=most).collect()}
+        assert got == want and len(want) > 30
+    index = decontaminate.Index([i for i, _ in items], [t for _, t in items], 0.8)
+    assert len(index.partitions) >= 4 and [p.functions for p in index.partitions] == [decontaminate.functions(int(1 << (int(p.sizes.max()) - 1).bit_length()), 0.8) for p in index.partitions]
+    assert {p.functions for p in index.partitions} == {0, 18}
 
 
 def test_shards(spark, odd, empty):
@@ -162,7 +242,13 @@ def test_shards(spark, odd, empty):
     assert p[p.doc_id % 3 == 0].groupby("shard").size().nlargest(2).sum() >= 150 and p.law.eq("rows").all()
     pairs = p[p.doc_id % 3 != 0]
     assert pairs.groupby(pairs.doc_id // 2).shard.nunique().max() == 1
-    assert sharding.shard_documents(odd).count() == len(ODD) and sharding.shard_documents(empty).count() == 0
+    cut = sharding.cut_edges(sharding.placed(df, shards=6)).first()
+    # dealt at random, 160 of the large group and most pairs would be cut
+    assert cut["linked"] == 400 and cut["cut"] <= 130
+    by_id = {r[0]: r[1] for r in rows}
+    assert all(s == len(by_id[d]) + 8 and c == zlib.crc32(by_id[d].encode()) for d, s, c in zip(p.doc_id, p["size"], p.text_crc32, strict=True))
+    o = sorted((r["size"], r["text_crc32"]) for r in sharding.shard_documents(odd).collect())
+    assert o == sorted((len((x or "").encode()) + 8, zlib.crc32((x or "").encode())) for _, x in ODD) and sharding.shard_documents(empty).count() == 0
 
 
 
@@ -399,6 +485,34 @@ def test_vectors(spark):
     assert spherical_filters.linked_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_at_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    rows, x = [], []
+    for i in range(150):
+        a, b = rng.standard_normal((2, 32))
+        a, b = a / np.linalg.norm(a), b - (b @ a) / (a @ a) * a
+        c = rng.uniform(0.97, 0.99)
+        x += [a, c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)]
+    for i, v in enumerate(x):
+        rows.append((i, [float(np.float32(c)) for c in v], "one"))
+    # rows of one id with different vectors: in either order both are compared
+    rows += [(0, rows[20][1], "one"), (7, rows[30][1], "one"), (7, rows[30][1], "one"), (500, rows[30][1], "two")]
+    for kind in ("float", "double"):
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, f"vec_id long, embedding array<{kind}>, label string")
+            got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in spherical_filters.linked_vectors(df).collect())
+            v = np.array([r[1] for r in rows])
+            u = v / np.linalg.norm(v, axis=1, keepdims=True)
+            lab = np.array([r[2] for r in rows])
+            near = (u @ u.T >= 0.98) & (lab[:, None] == lab[None, :])
+            np.fill_diagonal(near, False)
+            ids = np.array([r[0] for r in rows])
+            label = ids.copy()
+            for _ in range(len(u)):
+                label = np.minimum(label, np.where(near, label[None, :], 10**6).min(1))
+            assert got == sorted(zip(ids.tolist(), near.sum(1).tolist(), label.tolist(), strict=True))
+
+
 def aligned(a, b):
     """Words of the longest common subsequence, by the textbook table."""
     row = [0] * (len(b) + 1)
@@ -413,7 +527,16 @@ def brute_classes(texts, threshold=0.8):
     """Smallest index of each text's class: words aligned pair by pair, without anything of the operator."""
     words = ["".join(c if c.isalnum() else " " for c in t.lower()).split() for t in texts]
     label = list(range(len(texts)))
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if (m := aligned(words[i], words[j])) >= threshold * (len(words[i]) + len(words[j]) - m) - 1e-9]
+    held = [Counter(w) for w in words]
+
+    def linked(i, j):
+        n = len(words[i]) + len(words[j])
+        # no more words align than are common
+        if (most := (held[i] & held[j]).total()) < threshold * (n - most) - 1e-9:
+            return False
+        return words[i] == words[j] or (m := aligned(words[i], words[j])) >= threshold * (n - m) - 1e-9
+
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if linked(i, j)]
     for _ in texts:
         for i, j in links:
             label[i] = label[j] = min(label[i], label[j])
@@ -493,6 +616,13 @@ def test_alignment():
     assert len(set(order_minhash.labelled(np.array([5, 5, 5, 7], np.uint64)).tolist())) == 4
 
 
+def stage_input(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = [(10_000 + i, x, None, None, None) for i, x in enumerate([None, "", "!!! ...", "word " * 30_000, "12 34"])]
+    odd += [(None, "ein text ohne nummer", None, None, None)] * 2 + [tuple(docs.first())] * 2
+    return docs.unionByName(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "7 as _gone", "8 as _row", "9 as score", "'x' as label")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -500,3 +630,51 @@ def test_pipeline(spark):
     docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
     assert 0 < len(out) <= len(docs) and out.doc_id.is_unique and set(out.doc_id) <= set(docs.doc_id)
     assert list(out.columns) == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_stages_against_brute_force(spark):
+    """Each stage on all of its input, odd rows and clashing names included: what it drops is what the operators' brute-force versions name."""
+    import corpus_pipeline
+
+    sf, stages = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)
+    docs = stage_input(spark)
+    labels, items = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("labels", "benchmark"))
+    rows = docs.collect()
+    text = lambda df: sorted(str((r["doc_id"], r["text"])) for r in df.collect())
+    for name, stage in list(stages.items())[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0, name
+
+    model = toxicity.train(docs, labels)
+    scanner = toxicity.Scanner(model)
+    for w in {w for r in rows for w in re.findall(r"\w+", (r["text"] or "")[:2000].lower())}:
+        assert (scanner.automaton.match(w) is not None) == bool(near_terms(w, set(model.words) - set(model.plain), set(model.stems) - set(model.plain)) or w in model.words or any(w.startswith(s) and w != s for s in model.stems)), w
+    clean = [r for r in rows if model.scores(np.array([scanner.features(r["text"])]))[0] < 0.5]
+    assert text(stages["toxicity"](spark, docs, sf)) == sorted(str((r["doc_id"], r["text"])) for r in clean)
+
+    known = language_id.train(docs.where(~language_id.held_out(docs["doc_id"])).select("doc_id", "text", "lang"))
+    fine = [r for r in rows if not known.judge.judged(*known.part(0).sums([r["text"]]))[3][0]]
+    assert text(stages["language_id"](spark, docs, sf)) == sorted(str((r["doc_id"], r["text"])) for r in fine)
+
+    some = [r for r in rows if r["doc_id"] is not None and (r["text"] or "").strip() and len(r["text"]) < 20_000]
+    label, _ = brute_classes([r["text"] if any(c.isalnum() for c in r["text"]) else f"only{i}marks" for i, r in enumerate(some)])
+    least = {}
+    for r, k in zip(some, label, strict=True):
+        least[k] = min(least.get(k, r["doc_id"]), r["doc_id"])
+    got = stages["near_dedup"](spark, docs, sf).where("doc_id is not null").select("doc_id").distinct().collect()
+    short = {r["doc_id"] for r in some}
+    assert {r["doc_id"] for r in got if r["doc_id"] in short} == set(least.values())
+
+    want = []
+    words = lambda x: "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in (x or "").lower()).split()
+    grams = lambda x, k: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+    passages = [w for r in items.collect() if (w := words(r["text"]))]
+    for r in rows:
+        own = words(r["text"])
+        if not any(len(grams(w, min(5, len(w))) & grams(own, min(5, len(w)))) >= 0.8 * len(grams(w, min(5, len(w)))) for w in passages):
+            want.append(str((r["doc_id"], r["text"])))
+    assert text(stages["decontamination"](spark, docs, sf)) == sorted(want)
+
+    t = library("word_bpe_49k.json")
+    for r in stages["bpe"](spark, docs.where("doc_id < 50 or doc_id >= 10000").dropDuplicates(["doc_id"]), sf).collect():
+        ids = t.encode(next(x["text"] for x in rows if x["doc_id"] == r["doc_id"]) or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())

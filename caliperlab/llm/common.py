@@ -96,7 +96,7 @@ def drop_saved(spark: SparkSession, df: DataFrame) -> None:
 
 
 #: Rows of a few numbers each that may be broadcast; a larger table is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 #: A group with one in so many of all rows is large: there are no more than so many.
 LARGE_GROUPS = 1000
 

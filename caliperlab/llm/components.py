@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels with pointer jumping."""
+"""Connected components of an edge table by contraction."""
 
 from __future__ import annotations
 
@@ -9,27 +9,33 @@ from . import common
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, component) for every node of edges(a, b); component is the smallest node reached.
+    """(node, component) for every node of edges(a, b) with a <> b; component is the smallest node reached.
 
-    Each round gives a node the least label around it and then that label's own label, so long chains
-    shorten by more than half. Labels are written to the shared folder each round, which cuts the lineage.
-    Stops when no label changes.
+    Each round a node takes the least node beside it, and then the one that this took; edges are redrawn between what
+    their ends took, and those within one are dropped, so every round works on what the one before has left. The smallest node
+    of a component always takes itself, so it is what remains. Tables are written to the shared folder each round, which cuts
+    the lineage. Ends when no edge is left.
     """
     spark = edges.sparkSession
-    both = common.save(spark, edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = common.save(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    plain = lambda df, a, b: df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    left = common.save(spark, plain(edges, "a", "b"), "edges")
+    taken: DataFrame | None = None
     for _ in range(max_rounds):
-        around = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        near = labels.join(around, labels["node"] == around["a"], "left").select("node", F.col("component").alias("was"), F.least("component", "c").alias("now"))
-        near = common.save(spark, near, "near")
-        up = near.select(F.col("node").alias("now"), F.col("now").alias("above"))
-        jumped = near.join(up, "now", "left").select("node", F.least("now", F.coalesce("above", "now")).alias("component"), "was")
-        after = common.save(spark, jumped, "labels")
-        changed = after.where(F.col("component") != F.col("was")).limit(1).count()
-        common.drop_saved(spark, near)
-        common.drop_saved(spark, labels)
-        labels = after.select("node", "component")
-        if not changed:
-            common.drop_saved(spark, both)
-            return labels
+        both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        beside = common.save(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "beside")
+        jumped = beside.join(beside.select(F.col("node").alias("up"), F.col("up").alias("component")), "up").select("node", "component")
+        labels = common.save(spark, jumped, "labels")
+        if taken is None:
+            after = labels
+        else:
+            further = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+            after = common.save(spark, taken.join(further, "component", "left").select("node", F.coalesce("further", "component").alias("component")), "components")
+            common.drop_saved(spark, taken)
+        ends = left.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+        redrawn = common.save(spark, plain(ends, "x", "y"), "edges")
+        for old in (left, beside, *([] if taken is None else [labels])):
+            common.drop_saved(spark, old)
+        taken, left = after, redrawn
+        if left.isEmpty():
+            return taken
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -28,8 +28,8 @@ SKETCHES, KEPT = 32, 2
 MINIMA, AGREE = 64, 34
 #: Members of a bucket that are compared in one group.
 BLOCK = 1024
-#: Documents and words of a block of a family: two blocks are compared in one group. A longer text is a block by itself.
-FAMILY_BLOCK, FAMILY_WORDS = 512, 1_000_000
+#: Documents and words that a block of a family holds on average, at most; two blocks are compared in one group.
+FAMILY_BLOCK, FAMILY_WORDS = 256, 1_000_000
 #: Words that the alignment takes at a time.
 STRIDE = 512
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, MINIMA), np.uint64)

@@ -14,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from caliperlab.llm import bitpack, bpe_automaton, chat_template, common, decontaminate, language_id, order_minhash, pieces, sharding, shingles, spherical_filters, toxicity, url_filter
+from caliperlab.llm.components import components
 
 ODD = [(1, "a b c"), (1, "a b c"), (2, ""), (3, None), (4, "!!! ..."), (5, "word " * 30_000), (None, "x y"), (6, " \n\t "), (7, "é ü")]
 SCHEMA = "doc_id long, text string, _n int, label int"
@@ -597,6 +598,25 @@ def test_clashing_names(spark):
     assert got.columns == df.columns and sorted({r["text"] for r in got.collect()}) == sorted({r["text"] for r in df.collect()})
 
 
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 200 + i) for i in range(30)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(150)] + [(7, 7)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in list(root)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_alignment():
     rng = random.Random(1)
     for stride in (3, 512):

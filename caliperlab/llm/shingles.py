@@ -19,8 +19,7 @@ _BYTE = _RANDOM.integers(1, 2**63, 256, np.uint64)
 _IS_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _BASE, _STEPS = 0x9E3779B97F4A7C15 | 1, _RANDOM.integers(1, 2**63, 64, np.uint64) | np.uint64(1)
 #: Texts are taken in groups of about so many characters.
-GROUP = 2_000_000
-_POWERS: dict[str, np.ndarray] = {}
+GROUP = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,14 +31,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    worker_memory("shingles")
-    if len(_POWERS.get("up", ())) < n:
+    kept = worker_memory("shingles")
+    if len(kept.get("up", ())) < n:
         size = max(n, 2 * GROUP)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+            kept[name] = np.cumprod(steps, dtype=np.uint64)
+    return kept["up"], kept["down"]
 
 
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,7 @@ ADDRESSING = frozenset("you your youre u du dein deine ihr euch tu te toi ton vo
 QUOTES = frozenset("\"“”„«»‹›")
 TOKEN = re.compile(r"\w+|[\"“”„«»‹›]")
 #: What a worker keeps: distinct words of at most KEPT_LENGTH letters, and steps of the automaton. Results don't depend on it.
-KEPT_WORDS, KEPT_LENGTH, KEPT_STEPS = 300_000, 64, 500_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_STEPS = 200_000, 64, 200_000
 FEATURES = ("word", "stem", "quoted", "addressed", "density")
 #: Features whose weights may not be negative: a hit never speaks for a text.
 HITS = ("word", "stem", "addressed", "density")

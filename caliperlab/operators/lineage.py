@@ -2,33 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def closure(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(repo, commit, ancestor), reflexive, of parents(repo, commit, parent): paths double in length each round.
+@dataclass
+class History:
+    """A commit graph as chains: rows grow with the commits and with the edges between chains, not with pairs of commits.
 
-    The rounds are logarithmic in the depth. Each is kept for the next; every few rounds the paths are checkpointed where the session
-    has a checkpoint folder, so that lineage stays short.
+    chains(repo, commit, chain, at): a commit goes on with its first parent's chain where it is that parent's smallest child,
+    else it begins a chain; `at` counts from the chain's root. A commit reaches a beginning of each chain that it reaches.
+    crossings(repo, chain, other, steps): from place p of `chain` on, commits reach places up to q of `other`, for each (p, q) of
+    steps; None where no edge leaves its chain.
     """
-    edges = parents.select("repo", F.col("commit"), F.col("parent").alias("ancestor"))
+
+    chains: DataFrame
+    crossings: DataFrame | None
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Checkpointed where the session has a folder for that, so that lineage stays short and lost executors cost no round; else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def history(parents: DataFrame, max_rounds: int = 64) -> History:
+    """The chains and crossings of parents(repo, commit, parent, pos); pos 1 is the first parent. Rounds are logarithmic in the depth."""
     nodes = parents.select("repo", "commit").union(parents.select("repo", "parent")).distinct()
-    paths = nodes.select("repo", "commit", F.col("commit").alias("ancestor")).union(edges).distinct().persist()
-    size = paths.count()
-    for i in range(max_rounds):
-        on = paths.select("repo", F.col("commit").alias("ancestor"), F.col("ancestor").alias("further"))
-        longer = paths.join(on, ["repo", "ancestor"]).select("repo", "commit", F.col("further").alias("ancestor")).distinct()
-        if i % 3 == 2 and parents.sparkSession.sparkContext.getCheckpointDir():
-            longer = longer.checkpoint()
-        longer = longer.persist()
-        grown = longer.count()
-        paths.unpersist()
-        paths = longer
-        if grown == size:
-            return paths
-        size = grown
-    raise RuntimeError(f"the graph is deeper than {max_rounds} doublings")
+    onward = parents.where("pos = 1").groupBy("repo", "parent").agg(F.min("commit").alias("commit"))
+    at = _kept(nodes.join(onward, ["repo", "commit"], "left").select("repo", "commit", F.coalesce("parent", "commit").alias("chain"), F.col("parent").isNotNull().cast("long").alias("at")))
+    for _ in range(max_rounds):
+        up = at.where("at > 0").select("repo", F.col("commit").alias("chain"), F.col("chain").alias("_top"), F.col("at").alias("_more"))
+        longer = _kept(at.join(up, ["repo", "chain"], "left").select("repo", "commit", F.coalesce("_top", "chain").alias("chain"), (F.col("at") + F.coalesce("_more", F.lit(0))).alias("at"), F.col("_more").isNotNull().alias("_grew")))
+        at = longer.drop("_grew")
+        if longer.where("_grew").isEmpty():
+            return History(at, _crossings(parents, at, max_rounds))
+    raise RuntimeError(f"the graph is deeper than {max_rounds} doublings, or has a cycle")
+
+
+def _skyline(steps: DataFrame) -> DataFrame:
+    """Of steps (repo, chain, p, other, q) those that reach further than all earlier ones."""
+    best = steps.groupBy("repo", "chain", "other", "p").agg(F.max("q").alias("q"))
+    before = F.max("q").over(Window.partitionBy("repo", "chain", "other").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    return best.withColumn("_before", before).where("_before is null or q > _before").drop("_before")
+
+
+def _crossings(parents: DataFrame, chains: DataFrame, max_rounds: int) -> DataFrame | None:
+    lower = chains.select("repo", F.col("commit").alias("parent"), F.col("chain").alias("other"), F.col("at").alias("q"))
+    edges = parents.select("repo", "commit", "parent").join(chains.withColumnRenamed("at", "p"), ["repo", "commit"]).join(lower, ["repo", "parent"]).where("chain <> other")
+    steps = _kept(_skyline(edges.select("repo", "chain", "other", "p", "q")))
+    if steps.isEmpty():
+        return None
+    for _ in range(max_rounds):
+        further = steps.select("repo", F.col("chain").alias("other"), F.col("p").alias("_p"), F.col("other").alias("_other"), F.col("q").alias("_q"))
+        longer = steps.join(further, ["repo", "other"]).where("_p <= q and _other <> chain").select("repo", "chain", F.col("_other").alias("other"), "p", F.col("_q").alias("q"))
+        grown = _kept(_skyline(steps.select("repo", "chain", "other", "p", "q").union(longer.select("repo", "chain", "other", "p", "q"))))
+        done = grown.join(steps, ["repo", "chain", "other", "p", "q"], "left_anti").isEmpty()
+        steps = grown
+        if done:
+            return steps.groupBy("repo", "chain", "other").agg(F.collect_list(F.struct("p", "q")).alias("steps"))
+    raise RuntimeError(f"chains cross deeper than {max_rounds} doublings")
+
+
+def ancestor_counts(h: History) -> DataFrame:
+    """(repo, commit, ancestors), itself included: its place on its chain, and what of other chains it reaches."""
+    own = h.chains.select("repo", "commit", "chain", "at", F.lit(0).cast("long").alias("more"))
+    if h.crossings is None:
+        return own.select("repo", "commit", (F.col("at") + 1).alias("ancestors"))
+    steps = h.crossings.select("repo", "chain", "other", F.explode("steps").alias("s")).select("repo", "chain", "other", F.col("s.p").alias("at"), F.col("s.q").alias("q"))
+    before = F.lag("q").over(Window.partitionBy("repo", "chain", "other").orderBy("at"))
+    gains = steps.select("repo", F.lit(None).cast(own.schema["commit"].dataType).alias("commit"), "chain", "at", (F.col("q") - F.coalesce(before, F.lit(-1))).alias("more"))
+    so_far = Window.partitionBy("repo", "chain").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    return own.unionByName(gains).withColumn("ancestors", F.col("at") + 1 + F.sum("more").over(so_far)).where("commit is not null").select("repo", "commit", "ancestors")
+
+
+def placed(df: DataFrame, h: History, name: str) -> DataFrame:
+    """df(repo, name, ..) with the chain and place of commit `name`, null where it is in no chain."""
+    return df.join(h.chains.select("repo", F.col("commit").alias(name), F.col("chain").alias(f"{name}_chain"), F.col("at").alias(f"{name}_at")), ["repo", name], "left")
+
+
+def with_ancestry(df: DataFrame, h: History, descendant: str, ancestor: str, into: str) -> DataFrame:
+    """Column `into`: whether `ancestor` is `descendant` or before it; null without a descendant. Both are placed already."""
+    x, y = descendant, ancestor
+    met = (F.col(f"{x}_chain") == F.col(f"{y}_chain")) & (F.col(f"{y}_at") <= F.col(f"{x}_at"))
+    if h.crossings is not None:
+        steps = h.crossings.select("repo", F.col("chain").alias(f"{x}_chain"), F.col("other").alias(f"{y}_chain"), F.col("steps").alias("_steps"))
+        df = df.join(steps, ["repo", f"{x}_chain", f"{y}_chain"], "left")
+        met = F.coalesce(met, F.lit(False)) | F.coalesce(F.exists("_steps", lambda s: (s.p <= F.col(f"{x}_at")) & (s.q >= F.col(f"{y}_at"))), F.lit(False))
+    return df.withColumn(into, F.when(F.col(x).isNotNull(), F.coalesce(met, F.lit(False)))).drop("_steps")
 
 
 def position_class(introducer: Column, merge: Column, in_merge: Column, parents: Column, in_second: Column, in_base: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import lineage
-from ..sources.tables import part, table
+from ..sources.tables import table
 
 
 def _parents(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,50 +27,57 @@ clo(repo, commit_, ancestor) AS (SELECT repo, commit_, commit_ FROM nodes UNION
 
 
 def commit_closure(spark: SparkSession, sf: str) -> DataFrame:
-    """Ancestors of each commit (itself included), its parents and its first-parent base."""
+    """How many ancestors each commit has (itself included), its parents and its first-parent base."""
     p = _parents(spark, sf)
-    n = lineage.closure(p).groupBy("repo", "commit").agg(F.count(F.lit(1)).alias("ancestors"))
+    n = lineage.ancestor_counts(lineage.history(p))
     own = p.groupBy("repo", "commit").agg(F.count(F.lit(1)).alias("parents"), F.min(F.when(F.col("pos") == 1, F.col("parent"))).alias("base"))
     return n.join(own, ["repo", "commit"], "left").select("repo", F.col("commit").alias("commit_"), "ancestors", F.coalesce("parents", F.lit(0)).cast("long").alias("parents"), "base")
 
 
-def descendant_touches(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Newest three later commits of a customer that touch one of the first commit's parts' brands."""
-    c = lineage.closure(_parents(spark, sf)).where("commit <> ancestor")
-    roots = part(table(spark, sf, "orders"), "o_orderkey % 50 = 0", whole).select(F.col("o_orderkey").alias("ancestor"))
-    touched = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), (F.col("l_partkey") % 5).alias("path")).distinct()
+def descendant_touches(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest three later commits of a customer that touch one of the first commit's parts' brands. Compares touches of one path only."""
+    h = lineage.history(_parents(spark, sf))
+    paths_ = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), (F.col("l_partkey") % 5).alias("path")).distinct()
     dated = table(spark, sf, "orders").select(F.col("o_orderkey").alias("commit"), F.to_date("o_orderdate").alias("day"))
-    later = c.join(roots, "ancestor", "left_semi").join(touched, "commit").join(touched.toDF("ancestor", "path"), ["ancestor", "path"]).join(dated, "commit")
+    touched = h.chains.join(paths_, "commit").withColumnsRenamed({"chain": "commit_chain", "at": "commit_at"})
+    roots = touched.withColumnsRenamed({"commit": "ancestor", "commit_chain": "ancestor_chain", "commit_at": "ancestor_at"})
+    both = lineage.with_ancestry(touched.join(dated, "commit").join(roots, ["repo", "path"]).where("commit <> ancestor"), h, "commit", "ancestor", "later").where("later")
     rank = F.row_number().over(Window.partitionBy("ancestor", "path").orderBy(F.desc("day"), F.desc("commit")))
-    return later.withColumn("rank", rank).where("rank <= 3").select("ancestor", F.col("commit").alias("commit_"), "path", "rank")
+    return both.withColumn("rank", rank).where("rank <= 3").select("ancestor", F.col("commit").alias("commit_"), "path", "rank")
 
 
-def _positions(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Pairs (merge, introducer) of one customer's commits with the introducer's position class."""
+def _positions(spark: SparkSession, sf: str) -> DataFrame:
+    """(merge, slot, introducer, position): each line of a merge names the commit of its customer with the line's rank by key.
+
+    A line's number is its slot; the next slot names who wrote the line's former self. Only named commits are classified.
+    """
     p = _parents(spark, sf)
-    c = lineage.closure(p)
+    h = lineage.history(p)
     own = p.groupBy("repo", F.col("commit").alias("merge")).agg(F.count(F.lit(1)).alias("parents"), F.min(F.when(F.col("pos") == 1, F.col("parent"))).alias("base"), F.min(F.when(F.col("pos") == 2, F.col("parent"))).alias("second"))
-    merges = part(own, "merge % 3 = 0", whole)
-    nodes = c.select("repo", F.col("commit").alias("introducer")).distinct()
-    pairs = merges.join(nodes, "repo")
-    held = lambda name: c.select("repo", F.col("commit").alias(name), F.col("ancestor").alias("introducer"), F.lit(True).alias(f"in_{name}"))
-    known = pairs
     for name in ("merge", "base", "second"):
-        known = known.join(held(name), ["repo", name, "introducer"], "left")
-    here = lambda name: F.when(F.col(name).isNotNull(), F.coalesce(f"in_{name}", F.lit(False)))
-    return known.select("repo", "merge", "introducer", lineage.position_class(F.col("introducer"), F.col("merge"), here("merge"), F.col("parents"), here("second"), here("base")).alias("position"))
+        own = lineage.placed(own, h, name)
+    slots = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("merge"), F.explode(F.array("l_linenumber", F.col("l_linenumber") + 1)).alias("slot")).distinct()
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy("commit"))
+    named = h.chains.select("repo", rank.alias("slot"), F.col("commit").alias("introducer"), F.col("chain").alias("introducer_chain"), F.col("at").alias("introducer_at"))
+    known = own.join(slots, "merge").join(named, ["repo", "slot"])
+    for name in ("merge", "base", "second"):
+        known = lineage.with_ancestry(known, h, name, "introducer", f"in_{name}")
+    return known.select("merge", "slot", "introducer", lineage.position_class(F.col("introducer"), F.col("merge"), F.col("in_merge"), F.col("parents"), F.col("in_second"), F.col("in_base")).alias("position"))
 
 
-def position_class(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return _positions(spark, sf, whole).groupBy("merge", "position").agg(F.count(F.lit(1)).alias("n"))
+def position_class(spark: SparkSession, sf: str) -> DataFrame:
+    """Position classes of each merge's named introducers."""
+    return _positions(spark, sf).groupBy("merge", "position").agg(F.count(F.lit(1)).alias("n"))
 
 
 _POSITIONS = _CLOSURE + """,
-own AS (SELECT repo, commit_ AS merge, count(*) AS parents, min(parent) FILTER (pos = 1) AS base, min(parent) FILTER (pos = 2) AS second FROM par GROUP BY ALL HAVING commit_ % 3 = 0),
-k AS (SELECT o.*, n.commit_ AS introducer, m.ancestor IS NOT NULL AS in_merge, CASE WHEN o.base IS NOT NULL THEN b.ancestor IS NOT NULL END AS in_base, CASE WHEN o.second IS NOT NULL THEN s.ancestor IS NOT NULL END AS in_second
-  FROM own o JOIN nodes n ON n.repo = o.repo LEFT JOIN clo m ON m.repo = o.repo AND m.commit_ = o.merge AND m.ancestor = n.commit_
+own AS (SELECT repo, commit_ AS merge, count(*) AS parents, min(parent) FILTER (pos = 1) AS base, min(parent) FILTER (pos = 2) AS second FROM par GROUP BY ALL),
+nr AS (SELECT repo, commit_, row_number() OVER (PARTITION BY repo ORDER BY commit_) AS slot FROM nodes),
+nm AS (SELECT l_orderkey AS merge, l_linenumber AS slot FROM lineitem UNION SELECT l_orderkey, l_linenumber + 1 FROM lineitem),
+k AS (SELECT o.*, nm.slot, n.commit_ AS introducer, m.ancestor IS NOT NULL AS in_merge, CASE WHEN o.base IS NOT NULL THEN b.ancestor IS NOT NULL END AS in_base, CASE WHEN o.second IS NOT NULL THEN s.ancestor IS NOT NULL END AS in_second
+  FROM own o JOIN nm ON nm.merge = o.merge JOIN nr n ON n.repo = o.repo AND n.slot = nm.slot LEFT JOIN clo m ON m.repo = o.repo AND m.commit_ = o.merge AND m.ancestor = n.commit_
   LEFT JOIN clo b ON b.repo = o.repo AND b.commit_ = o.base AND b.ancestor = n.commit_ LEFT JOIN clo s ON s.repo = o.repo AND s.commit_ = o.second AND s.ancestor = n.commit_),
-pos AS (SELECT repo, merge, introducer, CASE WHEN introducer = merge THEN 'PR' WHEN NOT in_merge THEN 'POST_MERGE' WHEN parents >= 2 THEN (CASE WHEN NOT in_second THEN 'PRE_PR' WHEN in_base THEN 'PRE_PR' WHEN NOT in_base THEN 'PR' ELSE 'UNKNOWN' END)
+pos AS (SELECT repo, merge, slot, introducer, CASE WHEN introducer = merge THEN 'PR' WHEN NOT in_merge THEN 'POST_MERGE' WHEN parents >= 2 THEN (CASE WHEN NOT in_second THEN 'PRE_PR' WHEN in_base THEN 'PRE_PR' WHEN NOT in_base THEN 'PR' ELSE 'UNKNOWN' END)
   WHEN in_base THEN 'PRE_PR' WHEN NOT in_base THEN 'CONCURRENT_PR' ELSE 'UNKNOWN' END AS position FROM k)"""
 
 
@@ -88,30 +95,30 @@ def first_match_introducer(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.first_match(deleted, b, ["file"]).groupBy("file", "introducer").agg(F.count(F.lit(1)).alias("line_count"), F.array_join(F.array_sort(F.collect_list("content")), "|").alias("lines"))
 
 
-def _evidence(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Evidence of each deleted line of a traced change: its merge commit's position classes by introducer."""
-    li = table(spark, sf, "lineitem")
-    pos = _positions(spark, sf, whole)
-    ranked = pos.withColumn("slot", F.row_number().over(Window.partitionBy("merge").orderBy("introducer")))
-    agg = part(li, "l_orderkey % 3 = 0", whole).groupBy(F.col("l_orderkey").alias("merge"), F.col("l_linenumber").cast("int").alias("slot")).agg(F.max(F.col("l_quantity") > 25).alias("in_change"), F.max(F.col("l_tax") > 0.04).alias("rewritten"))
-    met = agg.join(ranked, ["merge", "slot"])
-    return met.select("merge", "introducer", "position", lineage.line_evidence(F.col("in_change"), F.col("position"), F.when(F.col("rewritten"), "PR").otherwise("PRE_PR")).alias("evidence"))
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of each deleted line of a traced change, from the position classes of its introducer and, where the line
+    was rewritten after the merge, of who wrote its former self."""
+    li, pos = table(spark, sf, "lineitem"), _positions(spark, sf)
+    lines = li.groupBy(F.col("l_orderkey").alias("merge"), F.col("l_linenumber").alias("slot")).agg(F.max(F.col("l_quantity") > 25).alias("in_change"), F.max(F.col("l_tax") > 0.04).alias("rewritten"))
+    earlier = pos.select("merge", (F.col("slot") - 1).alias("slot"), F.col("position").alias("earlier"))
+    met = lines.join(pos, ["merge", "slot"]).join(earlier, ["merge", "slot"], "left")
+    return met.select("merge", "introducer", "position", lineage.line_evidence(F.col("in_change"), F.col("position"), F.when(F.col("rewritten"), F.col("earlier"))).alias("evidence"))
 
 
 _EVIDENCE = _POSITIONS + """,
-sl AS (SELECT *, row_number() OVER (PARTITION BY merge ORDER BY introducer) AS slot FROM pos),
-ln AS (SELECT l_orderkey AS merge, l_linenumber AS slot, max(CAST(l_quantity > 25 AS INTEGER)) = 1 AS ic, max(CAST(l_tax > 0.04 AS INTEGER)) = 1 AS rw FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL),
-ev AS (SELECT sl.merge, sl.introducer, sl.position, CASE WHEN ic THEN (CASE position WHEN 'PR' THEN 'content+blame-confirm' WHEN 'POST_MERGE' THEN 'content+post-merge-survival' WHEN 'PRE_PR' THEN 'coincidence-refuted' WHEN 'CONCURRENT_PR' THEN 'concurrent-pr-refuted' ELSE 'unconfirmed' END)
-  WHEN position = 'PR' THEN 'refactor-penetration' WHEN position = 'POST_MERGE' AND rw THEN 'reblame-penetration' WHEN position = 'POST_MERGE' THEN 'reblame-refuted' ELSE 'unrelated' END AS evidence FROM sl JOIN ln ON ln.merge = sl.merge AND ln.slot = sl.slot)"""
+ln AS (SELECT l_orderkey AS merge, l_linenumber AS slot, max(CAST(l_quantity > 25 AS INTEGER)) = 1 AS ic, max(CAST(l_tax > 0.04 AS INTEGER)) = 1 AS rw FROM lineitem GROUP BY ALL),
+ev AS (SELECT sl.merge, sl.introducer, sl.position, CASE WHEN ic THEN (CASE sl.position WHEN 'PR' THEN 'content+blame-confirm' WHEN 'POST_MERGE' THEN 'content+post-merge-survival' WHEN 'PRE_PR' THEN 'coincidence-refuted' WHEN 'CONCURRENT_PR' THEN 'concurrent-pr-refuted' ELSE 'unconfirmed' END)
+  WHEN sl.position = 'PR' THEN 'refactor-penetration' WHEN sl.position = 'POST_MERGE' AND rw AND coalesce(er.position, '') = 'PR' THEN 'reblame-penetration' WHEN sl.position = 'POST_MERGE' THEN 'reblame-refuted' ELSE 'unrelated' END AS evidence
+  FROM pos sl JOIN ln ON ln.merge = sl.merge AND ln.slot = sl.slot LEFT JOIN pos er ON er.merge = sl.merge AND er.slot = sl.slot + 1)"""
 
 
-def line_evidence(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return _evidence(spark, sf, whole)
+def line_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return _evidence(spark, sf)
 
 
-def _verdicts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    ev = _evidence(spark, sf, whole).groupBy("merge").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("evidence").isin(*lineage.RELATED), 1)).alias("related"), F.count_distinct(F.when(F.col("position") == "PR", F.col("introducer"))).alias("own"))
-    o = part(table(spark, sf, "orders"), "o_orderkey % 3 = 0", whole).select(F.col("o_orderkey").alias("merge"), F.concat(F.lit("src/f"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 11 == 0, ".md").otherwise(".py")).alias("path"))
+def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _evidence(spark, sf).groupBy("merge").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("evidence").isin(*lineage.RELATED), 1)).alias("related"), F.count_distinct(F.when(F.col("position") == "PR", F.col("introducer"))).alias("own"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("merge"), F.concat(F.lit("src/f"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 11 == 0, ".md").otherwise(".py")).alias("path"))
     j = o.join(ev, "merge", "left").na.fill(0, ["total", "related", "own"])
     code, deleted = ~paths.is_non_code(F.col("path")), F.when(F.col("merge") % 4 == 0, 0).otherwise(F.col("total"))
     v = lineage.verdict(F.col("related"), F.col("total"), F.lit(3), deleted, F.col("merge") % 8 == 0, code)
@@ -120,18 +127,18 @@ def _verdicts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
 
 _VERDICTS = _EVIDENCE + """,
 sm AS (SELECT merge, count(*) AS total, count(*) FILTER (evidence IN ('content+blame-confirm', 'content+post-merge-survival', 'refactor-penetration', 'reblame-penetration')) AS related, count(DISTINCT introducer) FILTER (position = 'PR') AS own FROM ev GROUP BY merge),
-jn AS (SELECT o.o_orderkey AS merge, coalesce(related, 0) AS related, coalesce(total, 0) AS total, coalesce(own, 0) AS own, o.o_orderkey % 11 <> 0 AS code FROM orders o LEFT JOIN sm ON sm.merge = o.o_orderkey WHERE o.o_orderkey % 3 = 0),
+jn AS (SELECT o.o_orderkey AS merge, coalesce(related, 0) AS related, coalesce(total, 0) AS total, coalesce(own, 0) AS own, o.o_orderkey % 11 <> 0 AS code FROM orders o LEFT JOIN sm ON sm.merge = o.o_orderkey),
 vd AS (SELECT merge, related, total, own, round(related / greatest(total, 1) * (CASE WHEN code THEN 1.0 ELSE 0.1 END), 6) AS confidence,
   CASE WHEN NOT code THEN 'NON_CODE_FILE' WHEN merge % 4 = 0 OR total = 0 THEN (CASE WHEN merge % 8 = 0 THEN 'PURE_ADDITIVE_NEAR' ELSE 'PURE_ADDITIVE_FAR' END)
   WHEN related >= 3 AND related / greatest(total, 1) >= 0.2 THEN 'SZZ_PASSED' WHEN related > 0 THEN 'LOW_BLAME_RATIO' ELSE 'NO_BLAME_LINEAGE' END AS verdict FROM jn)"""
 
 
-def szz_verdict(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return _verdicts(spark, sf, whole)
+def szz_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    return _verdicts(spark, sf)
 
 
-def verdict_counts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    n = _verdicts(spark, sf, whole).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= 0.2).alias("confident"))
+def verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
+    n = _verdicts(spark, sf).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= 0.2).alias("confident"))
     return n.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
@@ -140,7 +147,7 @@ ORACLE = {
 SELECT n.repo, n.commit_, n.ancestors, coalesce(w.parents, 0) AS parents, w.base FROM n LEFT JOIN w ON w.repo = n.repo AND w.commit_ = n.commit_""",
     "descendant_touches": f"""WITH RECURSIVE {_CLOSURE}, t AS (SELECT DISTINCT l_orderkey AS commit_, l_partkey % 5 AS path FROM lineitem),
 j AS (SELECT c.ancestor, c.commit_, t.path, row_number() OVER (PARTITION BY c.ancestor, t.path ORDER BY CAST(x.o_orderdate AS DATE) DESC, c.commit_ DESC) AS rank
-  FROM clo c JOIN t ON t.commit_ = c.commit_ JOIN t a ON a.commit_ = c.ancestor AND a.path = t.path JOIN orders x ON x.o_orderkey = c.commit_ WHERE c.commit_ <> c.ancestor AND c.ancestor % 50 = 0)
+  FROM clo c JOIN t ON t.commit_ = c.commit_ JOIN t a ON a.commit_ = c.ancestor AND a.path = t.path JOIN orders x ON x.o_orderkey = c.commit_ WHERE c.commit_ <> c.ancestor)
 SELECT ancestor, commit_, path, CAST(rank AS INTEGER) AS rank FROM j WHERE rank <= 3""",
     "position_class": f"WITH RECURSIVE {_POSITIONS} SELECT merge, position, count(*) AS n FROM pos GROUP BY ALL",
     "first_match_introducer": f"""WITH {_BLAME}, b AS (SELECT file, line_no, sha * 1000 + line_no % 1000 AS sha, content FROM bl), d AS (SELECT DISTINCT file, content FROM b WHERE line_no % 3 = 0), f AS (SELECT file, content, first(sha ORDER BY line_no, sha) AS introducer FROM b GROUP BY ALL)

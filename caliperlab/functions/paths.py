@@ -21,6 +21,11 @@ NON_CODE = [
     ".g.i.cs", ".razor", ".css", ".scss", ".svg", ".png", ".ico", ".woff", ".module.bicep", "launchSettings.json",
     "appsettings.", "devcontainer.json", "tsconfig.json", ".snap", ".lock", "generated", "__pycache__",
 ]
+# Keys of languages in replayed changes, by extension.
+REPLAY_LANGUAGES = {
+    ".go": "go", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".vue": "vue", ".rs": "rust",
+    ".java": "java", ".kt": "kotlin", ".php": "php", ".rb": "ruby", ".cs": "csharp", ".c": "c", ".h": "c", ".cpp": "cpp",
+}
 # Linters by extension.
 LINTERS = {".py": "ruff,mypy", ".ts": "oxlint", ".tsx": "oxlint", ".mjs": "oxlint", ".js": "oxlint", ".vue": "oxlint", ".go": "golangci-lint"}
 
@@ -41,6 +46,10 @@ def language(path: Column) -> Column:
     return F.try_element_at(_map(LANGUAGES), extension(path))
 
 
+def replay_language(path: Column) -> Column:
+    return F.try_element_at(_map(REPLAY_LANGUAGES), extension(path))
+
+
 def linters(path: Column) -> Column:
     return F.try_element_at(_map(LINTERS), extension(path))
 

@@ -34,7 +34,7 @@ COMMENT_AFTER_SIGN = r"^[+-]\s*(//|#|--|/\*|\*|'''|\"\"\")"
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def keyword_class(text: Column) -> Column:
@@ -103,11 +103,11 @@ def code_lines(text: Column, least: int = 5) -> Column:
     return F.array_distinct(F.filter(F.transform(lines(text), strip), lambda x: F.length(x) > least))
 
 
-def numbered_lines(text: Column, start: int = 1) -> Column:
+def numbered_lines(text: Column, start: int = 1, gap: str = " | ") -> Column:
     """Each line after its number, right-aligned to the width of the largest possible one."""
     all_ = lines(text)
     width = F.length((F.size(all_) + start).cast("string"))
-    return F.array_join(F.transform(all_, lambda x, i: F.concat(F.lpad((i + start).cast("string"), width, F.lit(" ")), F.lit(" | "), x)), "\n")
+    return F.array_join(F.transform(all_, lambda x, i: F.concat(F.lpad((i + start).cast("string"), width, F.lit(" ")), F.lit(gap), x)), "\n")
 
 
 def first_json_object(text: Column) -> Column:

@@ -36,3 +36,22 @@ def positional_join(left: DataFrame, right: DataFrame, by: list[str], left_order
     met = a.join(b, [*by, "_i"], "full_outer")
     same = F.when(F.coalesce(F.col("_n") != F.col("_m"), F.lit(True)), F.raise_error(F.lit("groups differ in size"))).otherwise(F.lit(True))
     return met.where(same).drop("_n", "_m").withColumnRenamed("_i", "position")
+
+
+def required(rows: DataFrame, facts: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with their facts; fails where a row has none."""
+    met = rows.join(facts.withColumn("_known", F.lit(True)), key, "left")
+    return met.where(F.when(F.col("_known").isNull(), F.raise_error(F.lit("a row has no facts"))).otherwise(F.lit(True))).drop("_known")
+
+
+def first_existing(held: DataFrame, by: str, item: str, priority: list[str], n: int) -> DataFrame:
+    """(by, item, place) of the first n items of the priority list that each group has."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in priority]), F.col(item))
+    listed = held.select(by, item, rank.alias("_rank")).where("_rank > 0").distinct()
+    return listed.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("_rank"))).where(F.col("place") <= n).select(by, item, "place")
+
+
+def first_source(rows: DataFrame, by: str, source: str) -> DataFrame:
+    """The rows of each group's first source that exists, whole; valid or not."""
+    first = rows.groupBy(by).agg(F.min(source).alias(source))
+    return rows.join(first, [by, source], "left_semi")

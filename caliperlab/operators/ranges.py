@@ -23,7 +23,7 @@ def merge_windows(ranges: DataFrame, by: list[str], reach: int, last: Column) ->
     order = Window.partitionBy(*by).orderBy("s", "e")
     before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     flagged = wide.withColumn("_new", F.when(before.isNull() | (F.col("s") > before + 1), 1).otherwise(0))
-    island = flagged.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    island = flagged.withColumn("_island", F.sum("_new").over(order))  # equal ranges are peers, so they share an island
     return island.groupBy(*by, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ranges
-from ..sources.tables import part, table
+from ..sources.tables import table
 
 
 def shared_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,9 +62,9 @@ def merge_windows(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.merge_windows(_ranges(spark, sf), ["l_orderkey"], 40, F.lit(400).cast("long"))
 
 
-def _diffs(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def _diffs(spark: SparkSession, sf: str) -> DataFrame:
     """A small diff for each order, made from its lines: kept, deleted and added ones in two hunks."""
-    li = part(table(spark, sf, "lineitem"), "l_orderkey % 5 = 0", whole)
+    li = table(spark, sf, "lineitem")
     sign = F.when(F.col("l_returnflag") == "R", "-").when(F.col("l_returnflag") == "A", "+").otherwise(" ")
     line = F.concat(sign, F.lit("part "), F.col("l_partkey").cast("string"))
     rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", line.alias("t")))).alias("x"))
@@ -72,22 +72,22 @@ def _diffs(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     return rows.select("l_orderkey", F.concat(F.lit("--- a\n+++ b\n@@ -10,3 +12,4 @@ f\n"), body, F.lit("\n@@ -40 +50 @@\n-old\n+new\n\\ No newline at end of file")).alias("diff"))
 
 
-_DIFF_ROWS = """li AS (SELECT l_orderkey, 1 AS hunk, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS i, CASE l_returnflag WHEN 'R' THEN '-' WHEN 'A' THEN '+' ELSE ' ' END AS op, 'part ' || l_partkey AS text FROM lineitem WHERE l_orderkey % 5 = 0),
+_DIFF_ROWS = """li AS (SELECT l_orderkey, 1 AS hunk, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS i, CASE l_returnflag WHEN 'R' THEN '-' WHEN 'A' THEN '+' ELSE ' ' END AS op, 'part ' || l_partkey AS text FROM lineitem),
 h AS (SELECT * FROM li UNION ALL SELECT DISTINCT l_orderkey, 2, 1, '-', 'old' FROM li UNION ALL SELECT DISTINCT l_orderkey, 2, 2, '+', 'new' FROM li),
 d AS (SELECT *, CASE WHEN op <> '+' THEN (CASE hunk WHEN 1 THEN 10 ELSE 40 END) + coalesce(sum(CASE WHEN op <> '+' THEN 1 ELSE 0 END) OVER w, 0) END AS old_no,
   CASE WHEN op <> '-' THEN (CASE hunk WHEN 1 THEN 12 ELSE 50 END) + coalesce(sum(CASE WHEN op <> '-' THEN 1 ELSE 0 END) OVER w, 0) END AS new_no
   FROM h WINDOW w AS (PARTITION BY l_orderkey, hunk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-def changed_lines(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def changed_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Old line numbers that each diff deletes, and new ones that it adds."""
-    d = ranges.diff_lines(_diffs(spark, sf, whole), ["l_orderkey"])
+    d = ranges.diff_lines(_diffs(spark, sf), ["l_orderkey"])
     return d.where("op in ('-', '+')").select("l_orderkey", F.col("hunk").cast("int").alias("hunk"), "op", F.coalesce("old_no", "new_no").cast("long").alias("line_no"), "text")
 
 
-def hunk_annotations(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def hunk_annotations(spark: SparkSession, sf: str) -> DataFrame:
     """Hunks with a deleted line, each line after its mark: ``>>`` where an added line of the diff has its text."""
-    d = ranges.diff_lines(_diffs(spark, sf, whole), ["l_orderkey"]).where("op <> '\\\\'")
+    d = ranges.diff_lines(_diffs(spark, sf), ["l_orderkey"]).where("op <> '\\\\'")
     added = d.where("op = '+'").select("l_orderkey", "text").distinct().withColumn("hit", F.lit(True))
     touched = d.where("op = '-'").select("l_orderkey", "hunk").distinct()
     marked = d.join(touched, ["l_orderkey", "hunk"], "left_semi").join(added, ["l_orderkey", "text"], "left")
@@ -103,18 +103,6 @@ def snapshot_line_map(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.snapshot_map(pairs)
 
 
-def context_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Context of growing size: none, a window, the numbered file, with a sibling, within character budgets."""
-    d = table(spark, sf, "documents")
-    nxt = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    shown = text.numbered_lines(F.array_join(F.slice(text.lines(F.col("text")), 1, 400), "\n"))
-    sibling = F.coalesce(F.concat(F.lit("\n### next\n"), nxt), F.lit(""))
-    rows = d.select("doc_id", F.lit("").alias("L1"), F.array_join(F.slice(text.lines(F.col("text")), 1, 3), "\n").alias("L2"), shown.alias("L3"), F.concat(shown, sibling).alias("L4"))
-    level = lambda n, budget: F.struct(F.lit(n).alias("level"), text.head(F.col(n), budget).alias("t"))
-    long = rows.select("doc_id", F.explode(F.array(level("L1", 1), level("L2", 300), level("L3", 5000), level("L4", 6500))).alias("x"))
-    return long.select("doc_id", "x.level", F.length("x.t").cast("long").alias("chars"), F.md5("x.t").alias("digest"))
-
-
 _STRIP = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 _L = _STRIP.format(x="l")
 ORACLE = {
@@ -128,14 +116,9 @@ SELECT doc_id, count(*) FILTER (regexp_matches(s, '^(//|#|--|/\\*|\\*|<!--|'''''
 SELECT DISTINCT r.l_orderkey, x.l_orderkey IS NOT NULL AS near FROM r LEFT JOIN x ON x.l_orderkey = r.l_orderkey""",
     "merge_windows": f"""WITH {_RANGES}, w AS (SELECT l_orderkey, greatest(1, s - 40) AS s, least(400, e + 40) AS e FROM r),
 f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM w),
-i AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT l_orderkey, min(s) AS s, max(e) AS e FROM i GROUP BY l_orderkey, k""",
+i AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey ORDER BY s, e) AS k FROM f) SELECT l_orderkey, min(s) AS s, max(e) AS e FROM i GROUP BY l_orderkey, k""",
     "changed_lines": f"WITH {_DIFF_ROWS} SELECT l_orderkey, CAST(hunk AS INTEGER) AS hunk, op, CAST(coalesce(old_no, new_no) AS BIGINT) AS line_no, text FROM d WHERE op <> ' '",
     "hunk_annotations": f"""WITH {_DIFF_ROWS} SELECT l_orderkey, CAST(hunk AS INTEGER) AS hunk, string_agg((CASE WHEN op = '-' AND EXISTS (SELECT 1 FROM d x WHERE x.l_orderkey = d.l_orderkey AND x.op = '+' AND x.text = d.text) THEN '>> ' ELSE '   ' END) || op || text, chr(10) ORDER BY i) AS shown
 FROM d WHERE EXISTS (SELECT 1 FROM d y WHERE y.l_orderkey = d.l_orderkey AND y.hunk = d.hunk AND y.op = '-') GROUP BY l_orderkey, hunk""",
-    "context_levels": """WITH n AS (SELECT doc_id, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS nxt, string_split(text, chr(10))[1:400] AS ls FROM documents),
-s AS (SELECT *, array_to_string(list_transform(ls, lambda x, i: lpad(CAST(i AS VARCHAR), CAST(length(CAST(len(ls) + 1 AS VARCHAR)) AS INTEGER), ' ') || ' | ' || x), chr(10)) AS l3 FROM n),
-u AS (SELECT doc_id, 'L1' AS level, '' AS t, 1 AS b FROM s UNION ALL SELECT doc_id, 'L2', array_to_string(ls[1:3], chr(10)), 300 FROM s UNION ALL SELECT doc_id, 'L3', l3, 5000 FROM s
-  UNION ALL SELECT doc_id, 'L4', l3 || coalesce(chr(10) || '### next' || chr(10) || nxt, ''), 6500 FROM s),
-c AS (SELECT doc_id, level, CASE WHEN length(t) > b THEN left(t, b) || '...' ELSE t END AS t FROM u) SELECT doc_id, level, length(t) AS chars, md5(t) AS digest FROM c""",
 }
-QUERIES = [shared_lines, shared_line_pairs, comment_line_counts, proximity_exists, merge_windows, changed_lines, hunk_annotations, snapshot_line_map, context_levels]
+QUERIES = [shared_lines, shared_line_pairs, comment_line_counts, proximity_exists, merge_windows, changed_lines, hunk_annotations, snapshot_line_map]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import agreement
-from ..sources.tables import part, table
+from ..sources.tables import table
 
 
 def _raters(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,10 +59,10 @@ def ratio_by_category(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("p_brand").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.round(F.sum("hit") / F.greatest(F.sum("n"), F.lit(1)), 6).alias("rate"), F.round(F.avg(F.round(F.col("hit") / F.col("n"), 3)), 6).alias("mean_rate"))
 
 
-def detection_by_level(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def detection_by_level(spark: SparkSession, sf: str) -> DataFrame:
     """Detection by context level: reviews, valid ones, hits, and distinct targets over all rows and over valid ones."""
     levels = F.array(*[F.lit(f"L{i}") for i in range(1, 6)])
-    e = part(table(spark, sf, "events"), "event_id % 10 = 0", whole).select("event_id", "user_id", "value", F.posexplode(levels).alias("i", "level"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "value", F.posexplode(levels).alias("i", "level"))
     row = e.select("level", (F.col("user_id") % 50).alias("target"), F.when(F.pmod(F.col("event_id") + F.col("i"), F.lit(7)) != 0, F.col("value") > 50 - 5 * F.col("i")).alias("hit"))
     n = row.groupBy("level").agg(F.count(F.lit(1)).alias("reviews"), F.count_if(F.col("hit").isNotNull()).alias("valid"), F.count_if(F.col("hit")).alias("hits"), F.count_distinct("target").alias("targets"), F.count_distinct(F.when(F.col("hit"), F.col("target"))).alias("matched"))
     return n.select("*", F.round(100 * F.col("hits") / F.greatest("valid", F.lit(1)), 6).alias("hit_rate"), F.round(100 * F.col("matched") / F.greatest("targets", F.lit(1)), 6).alias("target_rate"))
@@ -109,7 +109,7 @@ SELECT items0 AS items, exact, any_match, k.items AS decisions, k.agree, k.kappa
     "confusion_matrix": "SELECT quality, count(*) FILTER (toxic = 0) AS toxic_0, count(*) FILTER (toxic = 1) AS toxic_1 FROM labels GROUP BY quality",
     "having_single_label": "SELECT l_orderkey, min(l_returnflag) AS label, bool_and(l_returnflag IS NOT DISTINCT FROM l_linestatus) AS same FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1",
     "ratio_by_category": "WITH j AS (SELECT p_brand, l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS hit FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL) SELECT p_brand, CAST(sum(n) AS BIGINT) AS n, CAST(sum(hit) AS BIGINT) AS hit, round(sum(hit) / greatest(sum(n), 1), 6) AS rate, round(avg(round(hit / n, 3)), 6) AS mean_rate FROM j GROUP BY 1",
-    "detection_by_level": """WITH x AS (SELECT 'L' || (i + 1) AS level, user_id % 50 AS target, CASE WHEN (event_id + i) % 7 <> 0 THEN value > 50 - 5 * i END AS hit FROM events, range(5) t(i) WHERE event_id % 10 = 0),
+    "detection_by_level": """WITH x AS (SELECT 'L' || (i + 1) AS level, user_id % 50 AS target, CASE WHEN (event_id + i) % 7 <> 0 THEN value > 50 - 5 * i END AS hit FROM events, range(5) t(i)),
 n AS (SELECT level, count(*) AS reviews, count(hit) AS valid, count(*) FILTER (hit) AS hits, count(DISTINCT target) AS targets, count(DISTINCT target) FILTER (hit) AS matched FROM x GROUP BY 1) SELECT *, round(100 * hits / greatest(valid, 1), 6) AS hit_rate, round(100 * matched / greatest(targets, 1), 6) AS target_rate FROM n""",
     "finding_eval": f"""WITH {_F}, h AS (SELECT *, line % 3 = 0 AS candidate, CASE WHEN line % 3 <> 0 THEN false WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 2 = 0 END AS hit FROM fi)
 SELECT tool, count(*) AS total, count(*) FILTER (candidate) AS candidates, count(*) FILTER (hit IS NULL) AS unresolved, count(*) FILTER (hit) AS matched, count(*) FILTER (NOT hit) AS not_matched, round(count(*) FILTER (hit) / nullif(count(*), 0), 4) AS rate, max(occurrence) + 1 AS most FROM h GROUP BY tool""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..sources.tables import part, table
+from ..sources.tables import table
 
 
 def _valid():
@@ -78,8 +78,8 @@ def obligation_union(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.select("conv_id", F.concat(F.lit("O"), index.cast("string")).alias("obligation"), "source", "members", "first_turn")
 
 
-def _sides(spark: SparkSession, sf: str, whole: bool) -> tuple[DataFrame, DataFrame]:
-    o, li = part(table(spark, sf, "orders"), "o_orderkey % 4 = 0", whole), part(table(spark, sf, "lineitem"), "l_orderkey % 4 = 0", whole)
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     a = o.select((F.col("o_orderkey") % 100).alias("repo"), F.col("o_orderkey").alias("a_key"), F.col("o_orderstatus").alias("a_label"))
     first = li.groupBy("l_orderkey").agg(F.min("l_linestatus").alias("b_label"))
     keys = o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice"))
@@ -87,13 +87,13 @@ def _sides(spark: SparkSession, sf: str, whole: bool) -> tuple[DataFrame, DataFr
     return a, b
 
 
-def positional_join(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    a, b = _sides(spark, sf, whole)
+def positional_join(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _sides(spark, sf)
     return quality.positional_join(a, b, ["repo"], ["a_key"], ["o_totalprice", "b_key"]).select("repo", "position", "a_key", "b_key")
 
 
-def crosswalk_mismatch(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    a, b = _sides(spark, sf, whole)
+def crosswalk_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _sides(spark, sf)
     return quality.positional_join(a, b, ["repo"], ["a_key"], ["b_key"]).where("a_label <> b_label").select("repo", "a_key", "a_label", "b_label")
 
 
@@ -134,9 +134,9 @@ UNION ALL SELECT 'lines_have_order', count(*) FROM lineitem WHERE l_orderkey NOT
     "obligation_union": """WITH t AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), s AS (SELECT *, CASE WHEN n = 2 THEN 'single' WHEN conv_id % 5 = 0 THEN 'clustering_error' WHEN turn % 4 = 3 THEN 'flagged_not_td' ELSE 'cluster' END AS source FROM t),
 g AS (SELECT conv_id, source, CAST(CASE source WHEN 'cluster' THEN floor(turn / 4) WHEN 'single' THEN 0 ELSE turn END AS BIGINT) AS k, count(*) AS members, min(turn) AS first_turn FROM s GROUP BY ALL)
 SELECT conv_id, 'O' || row_number() OVER (PARTITION BY conv_id ORDER BY first_turn, source) AS obligation, source, members, first_turn FROM g""",
-    "positional_join": """WITH a AS (SELECT o_orderkey % 100 AS repo, o_orderkey AS a_key, row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderkey) AS p FROM orders WHERE o_orderkey % 4 = 0),
-b AS (SELECT o_orderkey % 100 AS repo, o_orderkey AS b_key, row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_totalprice, o_orderkey) AS p FROM orders WHERE o_orderkey % 4 = 0) SELECT a.repo, CAST(a.p AS INTEGER) AS position, a_key, b_key FROM a JOIN b ON a.repo = b.repo AND a.p = b.p""",
-    "crosswalk_mismatch": """WITH f AS (SELECT l_orderkey, min(l_linestatus) AS b FROM lineitem GROUP BY 1) SELECT o_orderkey % 100 AS repo, o_orderkey AS a_key, o_orderstatus AS a_label, coalesce(b, '?') AS b_label FROM orders LEFT JOIN f ON l_orderkey = o_orderkey WHERE o_orderkey % 4 = 0 AND o_orderstatus <> coalesce(b, '?')""",
+    "positional_join": """WITH a AS (SELECT o_orderkey % 100 AS repo, o_orderkey AS a_key, row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderkey) AS p FROM orders),
+b AS (SELECT o_orderkey % 100 AS repo, o_orderkey AS b_key, row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_totalprice, o_orderkey) AS p FROM orders) SELECT a.repo, CAST(a.p AS INTEGER) AS position, a_key, b_key FROM a JOIN b ON a.repo = b.repo AND a.p = b.p""",
+    "crosswalk_mismatch": """WITH f AS (SELECT l_orderkey, min(l_linestatus) AS b FROM lineitem GROUP BY 1) SELECT o_orderkey % 100 AS repo, o_orderkey AS a_key, o_orderstatus AS a_label, coalesce(b, '?') AS b_label FROM orders LEFT JOIN f ON l_orderkey = o_orderkey WHERE o_orderstatus <> coalesce(b, '?')""",
     "repo_report": """WITH j AS (SELECT c_nationkey, CASE WHEN o_orderstatus = 'F' THEN 'TRUE' WHEN o_orderstatus = 'O' THEN 'FALSE' WHEN o_orderkey % 2 = 0 THEN 'UNKNOWN' END AS label FROM orders JOIN customer ON c_custkey = o_custkey)
 SELECT c_nationkey, count(*) AS n, count(*) FILTER (label = 'TRUE') AS positive, count(*) FILTER (label = 'UNKNOWN') AS unknown, count(*) FILTER (label IS NULL) AS errors, round(count(*) FILTER (label = 'TRUE') / greatest(count(*), 1), 6) AS share FROM j GROUP BY 1""",
     "group_histogram": "WITH s AS (SELECT count(*) AS size FROM lineitem GROUP BY l_orderkey), h AS (SELECT size, count(*) AS groups FROM s GROUP BY 1) SELECT size, groups, min(size) OVER () AS least, max(size) OVER () AS most, round(sum(size * groups) OVER () / sum(groups) OVER (), 6) AS mean FROM h",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import sampling
-from ..sources.tables import part, table
+from ..sources.tables import table
 
 
 def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,18 +23,18 @@ def budget_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.budget_chunks(d, "source", "doc_id", "chars", 5, 12_000)
 
 
-def top_siblings(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def top_siblings(spark: SparkSession, sf: str) -> DataFrame:
     """Each line's four largest siblings of its order that have content."""
-    li = part(table(spark, sf, "lineitem"), "l_orderkey % 20 = 0", whole).groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
     rank = F.row_number().over(Window.partitionBy("l_orderkey", "a").orderBy(F.desc("q"), "l_linenumber"))
     pairs = li.select("l_orderkey", F.col("l_linenumber").alias("a")).join(li, "l_orderkey").where("a <> l_linenumber and q >= 5")
     return pairs.withColumn("rank", rank).where("rank <= 4").select("l_orderkey", "a", F.col("l_linenumber").alias("sibling"), "rank")
 
 
-def timeline(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def timeline(spark: SparkSession, sf: str) -> DataFrame:
     """Each urgent order of a customer with the customer's dated orders, itself marked; a blind form hides the status."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"), "o_orderstatus")
-    now = part(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), "o_orderkey % 10 = 0", whole).select("o_custkey", F.col("o_orderkey").alias("current"))
+    now = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("o_orderkey").alias("current"))
     mark = F.when(F.col("o_orderkey") == F.col("current"), "* ").otherwise("- ")
     line = F.concat(mark, F.date_format("day", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderkey").cast("string"))
     rows = now.join(o, "o_custkey").groupBy("current").agg(F.array_sort(F.collect_list(F.struct("day", "o_orderkey", line.alias("blind"), F.concat(line, F.lit(" "), F.col("o_orderstatus")).alias("full")))).alias("x"))
@@ -84,8 +84,8 @@ def sorted_topn(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
 
 
-def running_frames(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    li = part(table(spark, sf, "lineitem"), "l_orderkey % 10 = 0", whole).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
+def running_frames(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     return li.select("l_orderkey", "l_linenumber", F.max("p").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("most_before"), F.count(F.when(F.col("p") % 2 == 0, 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("even_so_far"))
 
@@ -106,9 +106,9 @@ def nested_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return c.where("conv_id % 4 <> 0").select("conv_id", F.posexplode(ok).alias("i", "turn")).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.concat(F.lit("O"), (F.col("i") + 1).cast("string"))).alias("key"), "turn", F.lit("YES").alias("temporal_status"))
 
 
-def reblame_preimage(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def reblame_preimage(spark: SparkSession, sf: str) -> DataFrame:
     """The deleted line that stood where each rewritten line was added: i-th with i-th of a hunk, in the first hunk that fits."""
-    li = part(table(spark, sf, "lineitem"), "l_orderkey % 4 = 0", whole)
+    li = table(spark, sf, "lineitem")
     rows = li.select((F.col("l_orderkey") % 1000).alias("diff"), F.col("l_orderkey").alias("hunk"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("op"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), (F.col("l_partkey") % 50).cast("string").alias("content"))
     ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("diff", "hunk", "op").orderBy("pos", "part")))
     added, removed = ranked.where("op = '+'").select("diff", "hunk", "i", "content"), ranked.where("op = '-'").select("diff", "hunk", "i", F.col("content").alias("preimage"))
@@ -132,9 +132,9 @@ ORACLE = {
 g(source, doc_id, r, chunk, n, total) AS (SELECT source, doc_id, r, CAST(0 AS BIGINT), 1, c FROM d WHERE r = 1 UNION ALL
   SELECT d.source, d.doc_id, d.r, CASE WHEN g.n + 1 > 5 OR g.total + d.c > 12000 THEN g.chunk + 1 ELSE g.chunk END, CASE WHEN g.n + 1 > 5 OR g.total + d.c > 12000 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n + 1 > 5 OR g.total + d.c > 12000 THEN d.c ELSE g.total + d.c END
   FROM g JOIN d ON d.source = g.source AND d.r = g.r + 1) SELECT source, doc_id, chunk FROM g""",
-    "top_siblings": """WITH l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS q FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL), p AS (SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS sibling, row_number() OVER (PARTITION BY a.l_orderkey, a.l_linenumber ORDER BY b.q DESC, b.l_linenumber) AS rank
+    "top_siblings": """WITH l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), p AS (SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS sibling, row_number() OVER (PARTITION BY a.l_orderkey, a.l_linenumber ORDER BY b.q DESC, b.l_linenumber) AS rank
 FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber AND b.q >= 5) SELECT l_orderkey, a, sibling, CAST(rank AS INTEGER) AS rank FROM p WHERE rank <= 4""",
-    "timeline": """WITH n AS (SELECT o_custkey, o_orderkey AS current FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 10 = 0),
+    "timeline": """WITH n AS (SELECT o_custkey, o_orderkey AS current FROM orders WHERE o_orderpriority = '1-URGENT'),
 l AS (SELECT n.current, CAST(o.o_orderdate AS DATE) AS day, o.o_orderkey AS k, (CASE WHEN o.o_orderkey = n.current THEN '* ' ELSE '- ' END) || strftime(o.o_orderdate, '%Y-%m-%d') || ' ' || o.o_orderkey AS t, o.o_orderstatus AS s FROM n JOIN orders o ON o.o_custkey = n.o_custkey)
 SELECT current, count(*) AS n, md5(string_agg(t, chr(10) ORDER BY day, k)) AS blind, md5(string_agg(t || ' ' || s, chr(10) ORDER BY day, k)) AS "full" FROM l GROUP BY current""",
     "left_join_defaults": """WITH n AS (SELECT l_orderkey, count(*) AS files, CAST(sum(l_linenumber) AS BIGINT) AS adds FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
@@ -146,13 +146,13 @@ SELECT CASE WHEN ext = '.rb' THEN 'skip_no_linter' WHEN o_totalprice IS NULL OR
   count(*) FILTER (o_orderpriority IS DISTINCT FROM '3-MEDIUM') AS excluded, count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')) AS domain FROM orders), b AS (SELECT count(*) FILTER (regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '') AS not_blank, count(*) FILTER (lang <> 'en') AS low FROM documents) SELECT * FROM a, b""",
     "guarded_ratios": "WITH g AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS hit, count(*) FILTER (l_quantity > 49) AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, round(hit / greatest(n, 1), 6) AS guarded, round(hit / nullif(n, 0), 6) AS nullable, greatest(least(n, 50), 5) AS clamped, CAST(ceil(hit * 1.5) AS BIGINT) AS up FROM g",
     "sorted_topn": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50",
-    "running_frames": """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL)
+    "running_frames": """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, max(p) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most_before, count(CASE WHEN p % 2 = 0 THEN 1 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS even_so_far FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""",
     "array_summaries": """WITH g AS (SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS adds, CAST(sum(l_partkey) AS BIGINT) AS dels, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN '{"n":' || n || '}' ELSE 'as text' END AS fix, CASE WHEN l_orderkey % 2 = 0 THEN 'Context: {"n":' || n || '}' ELSE '' END AS wrapped FROM g""",
     "nested_flatten": """WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE conv_id % 4 <> 0),
 k AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY r) AS i FROM c WHERE r IN (1, 2, 9)) SELECT conv_id || ':O' || i AS key, turn, 'YES' AS temporal_status FROM k""",
-    "reblame_preimage": """WITH r AS (SELECT l_orderkey % 1000 AS diff, l_orderkey AS hunk, CASE l_returnflag WHEN 'R' THEN '-' ELSE '+' END AS op, CAST(l_partkey % 50 AS VARCHAR) AS content, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY l_linenumber, l_partkey) AS i FROM lineitem WHERE l_orderkey % 4 = 0)
+    "reblame_preimage": """WITH r AS (SELECT l_orderkey % 1000 AS diff, l_orderkey AS hunk, CASE l_returnflag WHEN 'R' THEN '-' ELSE '+' END AS op, CAST(l_partkey % 50 AS VARCHAR) AS content, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY l_linenumber, l_partkey) AS i FROM lineitem)
 SELECT a.diff, a.content, first(d.content ORDER BY a.hunk, a.i) AS preimage FROM r a JOIN r d ON a.hunk = d.hunk AND a.i = d.i AND a.op = '+' AND d.op = '-' GROUP BY ALL""",
     "tumbling_events": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "session_events": """WITH s AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM s)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,15 @@ def read_glob(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(pattern).withColumn("repo", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
+def read_with_extra(spark: SparkSession, path: str, extra: str, schema: str, keep: Column) -> DataFrame:
+    """Lines of all files below path and, where there are any below `extra`, those of its rows that `keep` names; rows of both count twice."""
+    rows = spark.read.schema(schema).json(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(extra)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return rows
+    return rows.unionByName(spark.read.schema(schema).json(extra).where(keep))
+
+
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """One row a file, line ends made uniform."""
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))

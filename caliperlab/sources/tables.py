@@ -22,8 +22,3 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def treated_and_controls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     both = changes(spark, sf_dir)
     return both.where("status = 'F'").drop("status"), both.where("status = 'O'").drop("status")
-
-
-def part(df: DataFrame, condition: str, whole: bool) -> DataFrame:
-    """The rows of df that meet the condition; all of them where the whole table is asked for."""
-    return df if whole else df.where(condition)

@@ -35,7 +35,7 @@ def test_query(spark, duck, name):
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=str)
     sql = catalog.oracle_sql().get(name)
     if sql is None:
-        assert name == "snapshot_line_map"
+        assert name == "snapshot_line_map"  # held against the library in test_provenance
         return
     r = duck.execute(sql)
     names = [d[0] for d in r.description]

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, provenance, text
 from ..operators import quality, ranges
-from ..sources import readers
+from ..sources import folders, readers
 from ..sources.tables import table
 from .changes import _DIFF_ROWS, _diffs
-from .files import _folder
 
 
 def _patches(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,7 +151,7 @@ def outputs_reused(spark: SparkSession, sf: str) -> DataFrame:
 
 def two_source_load(spark: SparkSession, sf: str) -> DataFrame:
     """A file of cases a repository and, where there is one, a second file, of which one verdict's rows come in once more."""
-    path = _folder(spark, "cases")
+    path = folders.fresh(spark, "cases")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_custkey") % 20).alias("repo"), F.when(F.col("o_orderkey") % 4 == 0, "PURE_ADDITIVE_NEAR").otherwise("SZZ_PASSED").alias("verdict"))
     o.write.partitionBy("repo").json(f"{path}/enriched")
     o.where("repo < 7").write.partitionBy("repo").json(f"{path}/additive")
@@ -171,7 +170,7 @@ MATCH_COLUMNS = {
 
 def flat_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Nested matches written as a flat table and read again."""
-    o, path = table(spark, sf, "orders"), _folder(spark, "matches")
+    o, path = table(spark, sf, "orders"), folders.fresh(spark, "matches")
     side = lambda sign: F.struct(F.concat(F.lit("o/r"), (F.col("o_custkey") % 9).cast("string")).alias("repo"), F.concat(F.lit("api, \"r"), (F.col("o_custkey") % 9).cast("string")).alias("api_repo"), (F.col("o_orderkey") * sign).alias("number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("merged_at"), F.col("o_custkey").alias("code_churn"), (F.col("o_orderkey") % 30).alias("changed_files"), F.col("o_orderstatus").alias("author_type"))
     nested = o.select(side(1).alias("ai"), side(-1).alias("control"), (F.col("o_orderkey") % 8 / 8).alias("score"), (F.col("o_orderkey") % 45).alias("merge_day_distance"), F.lit(0.25).alias("log_churn_distance"), F.lit(0.5).alias("log_files_distance"))
     readers.write_csv(nested.select(*[F.col(place).alias(name) for name, place in MATCH_COLUMNS.items()]), path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import folders
+
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header; quotes are doubled inside cells, cells may hold line ends, a byte order mark is ignored."""
@@ -39,8 +41,7 @@ def read_glob(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 def read_with_extra(spark: SparkSession, path: str, extra: str, schema: str, keep: Column) -> DataFrame:
     """Lines of all files below path and, where there are any below `extra`, those of its rows that `keep` names; rows of both count twice."""
     rows = spark.read.schema(schema).json(path)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(extra)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if not folders.exists(spark, extra):
         return rows
     return rows.unionByName(spark.read.schema(schema).json(extra).where(keep))
 

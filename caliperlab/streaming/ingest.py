@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import folders
+
 
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     """A file stream with `ts` as an instant, as watermarks need it."""
@@ -18,12 +20,8 @@ def ingest_new(stream: DataFrame, done_path: str, key: list[str], checkpoint: st
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(key)
-        try:
-            known = spark.read.parquet(done_path).select(*key)
-            new = new.join(known, key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if folders.exists(spark, done_path):
+            new = new.join(spark.read.parquet(done_path).select(*key), key, "left_anti")
         new.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(done_path)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -107,7 +107,7 @@ ORACLE = {
     "sink_roundtrip": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1",
     "partitioned_sink": "SELECT event_type, count(*) FILTER (event_type <> 'click' OR event_id % 2 = 0) AS n FROM events GROUP BY 1",
     "summary_document": "SELECT (SELECT count(*) FROM orders) AS total, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus",
-    "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
+    "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 1, 2",
     "stream_ingest": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
 }
 QUERIES = [csv_roundtrip, jsonl_corrupt, json_array_scan, glob_scan, gzip_jsonl_scan, wholetext_scan, sink_roundtrip, partitioned_sink, summary_document, stream_ingest, stream_daily_counts]

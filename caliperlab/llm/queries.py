@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe_automaton, chat_template, common, decontaminate, language_id, order_minhash, sharding, spherical_filters, toxicity, url_filter
+from . import bitpack, bpe_automaton, chat_template, common, decontaminate, graph_search, language_id, lexical_search, order_minhash, sharding, spherical_filters, toxicity, turn_repair, url_filter
 from .oracles import ORACLES
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -63,6 +63,26 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op12_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return graph_search.nearest(vectors.where("vec_id % 20 = 0"), graph_search.indexed(vectors))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    repaired = turn_repair.repair(turn_repair.damaged(turns))
+    named = lambda df, name: df.withColumnRenamed("conv_id", name)
+    every = turns.select("conv_id").distinct()
+    known = every.join(named(repaired.conversations, "_c"), F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    known = known.join(named(turn_repair.digests(repaired), "_d"), F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return known.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

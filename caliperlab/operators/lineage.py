@@ -7,90 +7,153 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import drop, kept
+from . import ordered
+
 
 @dataclass
 class History:
-    """A commit graph as chains: rows grow with the commits and with the edges between chains, not with pairs of commits.
+    """A commit graph as intervals: rows grow with the commits, and with how many lines of development took each of them in.
 
-    chains(repo, commit, chain, at): a commit goes on with its first parent's chain where it is that parent's smallest child,
-    else it begins a chain; `at` counts from the chain's root. A commit reaches a beginning of each chain that it reaches.
-    crossings(repo, chain, other, steps): from place p of `chain` on, commits reach places up to q of `other`, for each (p, q) of
-    steps; None where no edge leaves its chain.
+    First parents make a tree. index(repo, commit, pre, size, depth, spans): `pre` numbers the tree from its roots, longest line first, so the
+    commits whose first parents lead to a commit have the numbers [pre, pre + size). spans are such intervals, disjoint: the commit's own, and
+    those of the merges that brought it into other lines. A commit is an ancestor of all those that have a number in its spans.
     """
 
-    chains: DataFrame
-    crossings: DataFrame | None
+    index: DataFrame
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Checkpointed where the session has a folder for that, so that lineage stays short and lost executors cost no round; else cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+def history(parents: DataFrame, max_rounds: int = 64) -> History:
+    """The index of parents(repo, commit, parent, pos); pos 1 is the first parent. Rounds are logarithmic in the depth of the tree
+    of first parents, and as many as merges of merges lead to each other without a first parent."""
+    tree = _numbered(_sized(parents, max_rounds), max_rounds)
+    brought = _brought(parents, tree, max_rounds)
+    own = tree.select("repo", "commit", "pre", "size", "depth")
+    spans = _cover(tree, brought, max_rounds).groupBy("repo", "pre").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_more"))
+    alone = F.array(F.struct(F.col("pre").alias("lo"), (F.col("pre") + F.col("size")).alias("hi")))
+    return History(kept(own.join(spans, ["repo", "pre"], "left").select("repo", "commit", "pre", "size", "depth", F.coalesce("_more", alone).alias("spans"))))
 
 
-def history(parents: DataFrame, max_rounds: int = 64) -> History:
-    """The chains and crossings of parents(repo, commit, parent, pos); pos 1 is the first parent. Rounds are logarithmic in the depth."""
+def _sized(parents: DataFrame, max_rounds: int) -> DataFrame:
+    """(repo, commit, up, size, depth): first parent, commits that come down to this one by first parents, steps to the root.
+
+    Round k knows the commits less than 2**k steps away; those that begin 2**k steps up add what they know.
+    """
     nodes = parents.select("repo", "commit").union(parents.select("repo", "parent")).distinct()
-    onward = parents.where("pos = 1").groupBy("repo", "parent").agg(F.min("commit").alias("commit"))
-    at = _kept(nodes.join(onward, ["repo", "commit"], "left").select("repo", "commit", F.coalesce("parent", "commit").alias("chain"), F.col("parent").isNotNull().cast("long").alias("at")))
+    up = parents.where("pos = 1").groupBy("repo", "commit").agg(F.min("parent").alias("up"))
+    at = kept(nodes.join(up, ["repo", "commit"], "left").select("repo", "commit", "up", F.col("up").alias("jump"), F.lit(1).cast("long").alias("size"), F.col("up").isNotNull().cast("long").alias("depth")))
     for _ in range(max_rounds):
-        up = at.where("at > 0").select("repo", F.col("commit").alias("chain"), F.col("chain").alias("_top"), F.col("at").alias("_more"))
-        longer = _kept(at.join(up, ["repo", "chain"], "left").select("repo", "commit", F.coalesce("_top", "chain").alias("chain"), (F.col("at") + F.coalesce("_more", F.lit(0))).alias("at"), F.col("_more").isNotNull().alias("_grew")))
-        at = longer.drop("_grew")
-        if longer.where("_grew").isEmpty():
-            return History(at, _crossings(parents, at, max_rounds))
+        far = at.where("jump is not null")
+        if far.isEmpty():
+            return at.drop("jump")
+        below = far.groupBy("repo", F.col("jump").alias("commit")).agg(F.sum("size").alias("_size"))
+        above = at.select("repo", F.col("commit").alias("jump"), F.col("jump").alias("_jump"), F.col("depth").alias("_depth"))
+        longer = far.join(above, ["repo", "jump"]).select("repo", "commit", "up", F.col("_jump").alias("jump"), "size", (F.col("depth") + F.col("_depth")).alias("depth"))
+        both = longer.unionByName(at.where("jump is null"))
+        at, old = kept(both.join(below, ["repo", "commit"], "left").withColumn("size", F.col("size") + F.coalesce("_size", F.lit(0))).drop("_size")), at
+        drop(old)
     raise RuntimeError(f"the graph is deeper than {max_rounds} doublings, or has a cycle")
 
 
-def _skyline(steps: DataFrame) -> DataFrame:
-    """Of steps (repo, chain, p, other, q) those that reach further than all earlier ones."""
-    best = steps.groupBy("repo", "chain", "other", "p").agg(F.max("q").alias("q"))
-    before = F.max("q").over(Window.partitionBy("repo", "chain", "other").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("_before", before).where("_before is null or q > _before").drop("_before")
+def _numbered(tree: DataFrame, max_rounds: int) -> DataFrame:
+    """tree with `pre` and `head`: the number of the first commit of its line, which goes on with the child that has most below it."""
+    beside = Window.partitionBy("repo", "up").orderBy(F.desc("size"), "commit")
+    earlier = F.coalesce(F.sum("size").over(beside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    step = earlier + F.col("up").isNotNull().cast("long")
+    first = F.col("up").isNotNull() & (F.row_number().over(beside) == 1)
+    at = kept(tree.select("*", F.col("up").alias("jump"), step.alias("pre"), F.when(first, F.col("up")).otherwise(F.col("commit")).alias("top")))
+    for _ in range(max_rounds):
+        far = at.where("jump is not null")
+        if far.isEmpty():
+            heads = at.select("repo", F.col("commit").alias("top"), F.col("pre").alias("head"))
+            return kept(at.join(heads, ["repo", "top"]).select("repo", "commit", "up", "size", "depth", "pre", "head"))
+        above = at.select("repo", F.col("commit").alias("jump"), F.col("jump").alias("_jump"), F.col("pre").alias("_pre"))
+        further = at.select("repo", F.col("commit").alias("top"), F.col("top").alias("_top"))
+        longer = far.join(above, ["repo", "jump"]).withColumn("pre", F.col("pre") + F.col("_pre")).drop("jump", "_pre").withColumnRenamed("_jump", "jump")
+        at, old = kept(longer.unionByName(at.where("jump is null")).join(further, ["repo", "top"]).drop("top").withColumnRenamed("_top", "top")), at
+        drop(old)
+    raise RuntimeError(f"the graph is deeper than {max_rounds} doublings")
+
+
+def _brought(parents: DataFrame, tree: DataFrame, max_rounds: int) -> DataFrame:
+    """(repo, at, merge): the commits, by number, on the way from a merge's further parents up to where they leave the merge's own line.
+
+    Of several merges on one line that bring a commit the first is named. Lines are climbed as in a search for the
+    lowest common ancestor: the side whose line begins deeper goes up, a round a line.
+    """
+    lines = tree.where("pre = head").select("repo", "head", F.col("depth").alias("d"), "up")
+    ends = tree.select("repo", F.col("commit").alias("up"), F.col("pre").alias("up_pre"), F.col("head").alias("up_head"))
+    line = kept(lines.join(ends, ["repo", "up"], "left").drop("up"))  # (repo, head, d, up_pre, up_head)
+    edges = parents.join(tree.select("repo", "commit", "up"), ["repo", "commit"]).where("not (parent <=> up)").select("repo", "commit", "parent").distinct()
+    m = tree.select("repo", "commit", F.col("pre").alias("merge"), F.col("head").alias("line"))
+    e = tree.select("repo", F.col("commit").alias("parent"), F.col("pre").alias("y"), F.col("head").alias("yh"))
+    depth = lambda name: line.select("repo", F.col("head").alias(name), F.col("d").alias(f"{name}d"), F.col("up_pre").alias(f"{name}_pre"), F.col("up_head").alias(f"{name}_head"))
+    open_ = edges.join(m, ["repo", "commit"]).join(e, ["repo", "parent"]).select("repo", "merge", "line", F.col("merge").alias("x"), F.col("line").alias("xh"), "y", "yh")
+    found: DataFrame | None = None
+    for _ in range(2 * max_rounds):
+        # x or y is null where its side has gone beyond a root
+        at = kept(open_.join(depth("yh"), ["repo", "yh"]).join(depth("xh"), ["repo", "xh"], "left"))
+        if at.isEmpty():
+            break
+        same, climb_y = F.col("xh").eqNullSafe(F.col("yh")), F.col("xh").isNull() | (F.col("yhd") >= F.col("xhd"))
+        lo = F.when(same, F.col("x")).when(climb_y, F.col("yh") - 1)
+        part = at.select("repo", "merge", "line", F.col("yh").alias("other"), lo.alias("lo"), F.col("y").alias("hi")).where("lo < hi")
+        found = part if found is None else found.unionByName(part)
+        going = at.where(~same)
+        xs = {"x": F.when(climb_y, F.col("x")).otherwise(F.col("xh_pre")), "xh": F.when(climb_y, F.col("xh")).otherwise(F.col("xh_head"))}
+        ys = {"y": F.when(climb_y, F.col("yh_pre")).otherwise(F.col("y")), "yh": F.when(climb_y, F.col("yh_head")).otherwise(F.col("yh"))}
+        open_ = going.select("repo", "merge", "line", *[c.alias(n) for n, c in (xs | ys).items()]).where("y is not null")
+    else:
+        raise RuntimeError("lines are nested too deep")
+    if found is None:
+        return tree.select("repo", F.col("pre").alias("at"), F.col("pre").alias("merge")).limit(0)
+    before = F.max("hi").over(Window.partitionBy("repo", "line", "other").orderBy("merge", "hi").rowsBetween(Window.unboundedPreceding, -1))
+    new = found.withColumn("lo", F.greatest("lo", before)).where("lo < hi")
+    return kept(new.select("repo", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("at"), "merge").distinct())
+
+
+def _cover(tree: DataFrame, brought: DataFrame, max_rounds: int) -> DataFrame:
+    """(repo, pre, lo, hi): the spans of the commits that merges brought into other lines. A span within another one is left out."""
+    sizes = tree.select("repo", F.col("pre").alias("merge"), "size")
+    step = kept(brought.join(sizes, ["repo", "merge"]).select("repo", "at", F.col("merge").alias("lo"), (F.col("merge") + F.col("size")).alias("hi")))
+    some = step.select("repo", F.col("at").alias("pre")).distinct()
+    cover = tree.join(some, ["repo", "pre"]).select("repo", "pre", F.col("pre").alias("lo"), (F.col("pre") + F.col("size")).alias("hi"), F.lit(True).alias("old"))
+    new = step.withColumnRenamed("at", "pre")
+    for _ in range(max_rounds):
+        within = Window.partitionBy("repo", "pre").orderBy("lo", F.desc("hi"), F.desc("old")).rowsBetween(Window.unboundedPreceding, -1)
+        both = cover.unionByName(new.distinct().withColumn("old", F.lit(False)))
+        grown = kept(both.withColumn("_hi", F.max("hi").over(within)).where("_hi is null or hi > _hi").drop("_hi"))
+        fresh = grown.where("not old")
+        if fresh.isEmpty():
+            return grown.drop("old")
+        new = fresh.select("repo", "pre", F.col("lo").alias("at")).join(step, ["repo", "at"]).select("repo", "pre", "lo", "hi")
+        cover = grown.withColumn("old", F.lit(True))
+    raise RuntimeError(f"merges lead to each other more than {max_rounds} times")
 
 
-def _crossings(parents: DataFrame, chains: DataFrame, max_rounds: int) -> DataFrame | None:
-    lower = chains.select("repo", F.col("commit").alias("parent"), F.col("chain").alias("other"), F.col("at").alias("q"))
-    edges = parents.select("repo", "commit", "parent").join(chains.withColumnRenamed("at", "p"), ["repo", "commit"]).join(lower, ["repo", "parent"]).where("chain <> other")
-    steps = _kept(_skyline(edges.select("repo", "chain", "other", "p", "q")))
-    if steps.isEmpty():
-        return None
-    for _ in range(max_rounds):
-        further = steps.select("repo", F.col("chain").alias("other"), F.col("p").alias("_p"), F.col("other").alias("_other"), F.col("q").alias("_q"))
-        longer = steps.join(further, ["repo", "other"]).where("_p <= q and _other <> chain").select("repo", "chain", F.col("_other").alias("other"), "p", F.col("_q").alias("q"))
-        grown = _kept(_skyline(steps.select("repo", "chain", "other", "p", "q").union(longer.select("repo", "chain", "other", "p", "q"))))
-        done = grown.join(steps, ["repo", "chain", "other", "p", "q"], "left_anti").isEmpty()
-        steps = grown
-        if done:
-            return steps.groupBy("repo", "chain", "other").agg(F.collect_list(F.struct("p", "q")).alias("steps"))
-    raise RuntimeError(f"chains cross deeper than {max_rounds} doublings")
+#: Numbers of a bucket of the running sums.
+BUCKET = 1 << 16
 
 
 def ancestor_counts(h: History) -> DataFrame:
-    """(repo, commit, ancestors), itself included: its place on its chain, and what of other chains it reaches."""
-    own = h.chains.select("repo", "commit", "chain", "at", F.lit(0).cast("long").alias("more"))
-    if h.crossings is None:
-        return own.select("repo", "commit", (F.col("at") + 1).alias("ancestors"))
-    steps = h.crossings.select("repo", "chain", "other", F.explode("steps").alias("s")).select("repo", "chain", "other", F.col("s.p").alias("at"), F.col("s.q").alias("q"))
-    before = F.lag("q").over(Window.partitionBy("repo", "chain", "other").orderBy("at"))
-    gains = steps.select("repo", F.lit(None).cast(own.schema["commit"].dataType).alias("commit"), "chain", "at", (F.col("q") - F.coalesce(before, F.lit(-1))).alias("more"))
-    so_far = Window.partitionBy("repo", "chain").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    return own.unionByName(gains).withColumn("ancestors", F.col("at") + 1 + F.sum("more").over(so_far)).where("commit is not null").select("repo", "commit", "ancestors")
+    """(repo, commit, ancestors), itself included: how many spans its number lies in."""
+    spans = h.index.select("repo", F.explode("spans").alias("s"))
+    ends = spans.select("repo", F.col("s.lo").alias("pre"), F.lit(1).cast("long").alias("n")).union(spans.select("repo", F.col("s.hi"), F.lit(-1).cast("long")))
+    changes = ends.groupBy("repo", "pre").agg(F.sum("n").alias("n")).withColumn("_bucket", F.floor(F.col("pre") / BUCKET))
+    so_far = ordered.running(changes, ["repo"], ["pre"], {"ancestors": "n"})
+    # each commit begins a span
+    return h.index.select("repo", "commit", "pre").join(so_far, ["repo", "pre"]).select("repo", "commit", "ancestors")
 
 
 def placed(df: DataFrame, h: History, name: str) -> DataFrame:
-    """df(repo, name, ..) with the chain and place of commit `name`, null where it is in no chain."""
-    return df.join(h.chains.select("repo", F.col("commit").alias(name), F.col("chain").alias(f"{name}_chain"), F.col("at").alias(f"{name}_at")), ["repo", name], "left")
-
-
-def with_ancestry(df: DataFrame, h: History, descendant: str, ancestor: str, into: str) -> DataFrame:
-    """Column `into`: whether `ancestor` is `descendant` or before it; null without a descendant. Both are placed already."""
-    x, y = descendant, ancestor
-    met = (F.col(f"{x}_chain") == F.col(f"{y}_chain")) & (F.col(f"{y}_at") <= F.col(f"{x}_at"))
-    if h.crossings is not None:
-        steps = h.crossings.select("repo", F.col("chain").alias(f"{x}_chain"), F.col("other").alias(f"{y}_chain"), F.col("steps").alias("_steps"))
-        df = df.join(steps, ["repo", f"{x}_chain", f"{y}_chain"], "left")
-        met = F.coalesce(met, F.lit(False)) | F.coalesce(F.exists("_steps", lambda s: (s.p <= F.col(f"{x}_at")) & (s.q >= F.col(f"{y}_at"))), F.lit(False))
-    return df.withColumn(into, F.when(F.col(x).isNotNull(), F.coalesce(met, F.lit(False)))).drop("_steps")
+    """df(repo, name, ..) with the number and spans of commit `name`, null where the graph doesn't have it."""
+    return df.join(h.index.select("repo", F.col("commit").alias(name), F.col("pre").alias(f"{name}_pre"), F.col("spans").alias(f"{name}_spans")), ["repo", name], "left")
+
+
+def with_ancestry(df: DataFrame, descendant: str, ancestor: str, into: str) -> DataFrame:
+    """Column `into`: whether `ancestor` is `descendant` or before it, false where the graph has one of them not; null without a descendant. Both are placed already."""
+    met = F.exists(f"{ancestor}_spans", lambda s: (s.lo <= F.col(f"{descendant}_pre")) & (F.col(f"{descendant}_pre") < s.hi))
+    return df.withColumn(into, F.when(F.col(descendant).isNotNull(), F.coalesce(met, F.lit(False))))
 
 
 def position_class(introducer: Column, merge: Column, in_merge: Column, parents: Column, in_second: Column, in_base: Column) -> Column:

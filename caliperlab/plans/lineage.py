@@ -11,16 +11,22 @@ from ..sources.tables import table
 
 
 def _parents(spark: SparkSession, sf: str) -> DataFrame:
-    """Commits of each customer in order of date and key; every seventh has a second parent two back."""
+    """Commits of each customer in order of date and key, seven a round: a mainline (0, 2, 5), a side branch (1, 3) that forks after 0 and that 6 merges,
+    and a long branch (4) that goes on from round to round and merges the mainline each time."""
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey", 1).over(order).alias("p1"), F.lag("o_orderkey", 2).over(order).alias("p2"))
-    first = o.where("p1 is not null").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("commit"), F.col("p1").alias("parent"), F.lit(1).alias("pos"))
-    second = o.where("p2 is not null and o_orderkey % 7 = 0").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("commit"), F.col("p2").alias("parent"), F.lit(2).alias("pos"))
-    return first.unionByName(second)
-
-
-_PARENTS = """o AS (SELECT o_custkey, o_orderkey, lag(o_orderkey, 1) OVER w AS p1, lag(o_orderkey, 2) OVER w AS p2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
-par AS (SELECT o_custkey AS repo, o_orderkey AS commit_, p1 AS parent, 1 AS pos FROM o WHERE p1 IS NOT NULL UNION ALL SELECT o_custkey, o_orderkey, p2, 2 FROM o WHERE p2 IS NOT NULL AND o_orderkey % 7 = 0)"""
+    back = {k: F.lag("o_orderkey", k).over(order) for k in (1, 2, 3, 4, 5, 7)}
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("commit"), ((F.row_number().over(order) - 1) % 7).alias("r"), *[c.alias(f"b{k}") for k, c in back.items()])
+    first = F.when(F.col("r").isin(2, 3), F.col("b2")).when(F.col("r") == 4, F.coalesce("b7", "b4")).when(F.col("r") == 5, F.col("b3")).otherwise(F.col("b1"))
+    second = F.when(F.col("r") == 4, F.col("b5")).when(F.col("r") == 6, F.col("b3"))
+    both = o.select("repo", "commit", F.posexplode(F.array(first, second)).alias("pos", "parent"))
+    return both.where("parent is not null").select("repo", "commit", "parent", (F.col("pos") + 1).alias("pos"))
+
+
+_PARENTS = """o AS (
+  SELECT o_custkey AS repo, o_orderkey AS commit_, (row_number() OVER w - 1) % 7 AS r, lag(o_orderkey, 1) OVER w AS b1, lag(o_orderkey, 2) OVER w AS b2, lag(o_orderkey, 3) OVER w AS b3,
+    lag(o_orderkey, 4) OVER w AS b4, lag(o_orderkey, 5) OVER w AS b5, lag(o_orderkey, 7) OVER w AS b7 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+tp AS (SELECT repo, commit_, CASE WHEN r IN (2, 3) THEN b2 WHEN r = 4 THEN coalesce(b7, b4) WHEN r = 5 THEN b3 ELSE b1 END AS f, CASE r WHEN 4 THEN b5 WHEN 6 THEN b3 END AS g FROM o),
+par AS (SELECT repo, commit_, f AS parent, 1 AS pos FROM tp WHERE f IS NOT NULL UNION ALL SELECT repo, commit_, g, 2 FROM tp WHERE g IS NOT NULL)"""
 _CLOSURE = _PARENTS + """,
 nodes AS (SELECT repo, commit_ FROM par UNION SELECT repo, parent FROM par),
 clo(repo, commit_, ancestor) AS (SELECT repo, commit_, commit_ FROM nodes UNION SELECT c.repo, c.commit_, p.parent FROM clo c JOIN par p ON p.repo = c.repo AND p.commit_ = c.ancestor)"""
@@ -39,29 +45,41 @@ def descendant_touches(spark: SparkSession, sf: str) -> DataFrame:
     h = lineage.history(_parents(spark, sf))
     paths_ = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), (F.col("l_partkey") % 5).alias("path")).distinct()
     dated = table(spark, sf, "orders").select(F.col("o_orderkey").alias("commit"), F.to_date("o_orderdate").alias("day"))
-    touched = h.chains.join(paths_, "commit").withColumnsRenamed({"chain": "commit_chain", "at": "commit_at"})
-    roots = touched.withColumnsRenamed({"commit": "ancestor", "commit_chain": "ancestor_chain", "commit_at": "ancestor_at"})
-    both = lineage.with_ancestry(touched.join(dated, "commit").join(roots, ["repo", "path"]).where("commit <> ancestor"), h, "commit", "ancestor", "later").where("later")
+    touched = h.index.select("repo", "commit", F.col("pre").alias("commit_pre"), F.col("spans").alias("commit_spans")).join(paths_, "commit")
+    roots = touched.withColumnsRenamed({"commit": "ancestor", "commit_pre": "ancestor_pre", "commit_spans": "ancestor_spans"})
+    both = lineage.with_ancestry(touched.join(dated, "commit").join(roots, ["repo", "path"]).where("commit <> ancestor"), "commit", "ancestor", "later").where("later")
     rank = F.row_number().over(Window.partitionBy("ancestor", "path").orderBy(F.desc("day"), F.desc("commit")))
     return both.withColumn("rank", rank).where("rank <= 3").select("ancestor", F.col("commit").alias("commit_"), "path", "rank")
 
 
+def _bases(spark: SparkSession, sf: str, parents: DataFrame) -> DataFrame:
+    """(repo, merge, parents, base, second). A change's base is its first parent; those of low priority were rebased, from the commit before that,
+    and those of no priority name a base that the history has lost."""
+    own = parents.groupBy("repo", F.col("commit").alias("merge")).agg(F.count(F.lit(1)).alias("parents"), F.min(F.when(F.col("pos") == 1, F.col("parent"))).alias("first"), F.min(F.when(F.col("pos") == 2, F.col("parent"))).alias("second"))
+    above = parents.where("pos = 1").select("repo", F.col("commit").alias("first"), F.col("parent").alias("above"))
+    given = table(spark, sf, "orders").select(F.col("o_orderkey").alias("merge"), F.col("o_orderpriority").alias("priority"))
+    base = F.when(F.col("priority") == "5-LOW", F.coalesce("above", "first")).when(F.col("priority").startswith("4"), -F.col("merge")).otherwise(F.col("first"))
+    return own.join(above, ["repo", "first"], "left").join(given, "merge").select("repo", "merge", "parents", base.alias("base"), "second")
+
+
 def _positions(spark: SparkSession, sf: str) -> DataFrame:
-    """(merge, slot, introducer, position): each line of a merge names the commit of its customer with the line's rank by key.
+    """(merge, slot, introducer, position): each line of a merge names a commit of its customer's history, anywhere in it, or one that isn't in it.
 
     A line's number is its slot; the next slot names who wrote the line's former self. Only named commits are classified.
     """
     p = _parents(spark, sf)
     h = lineage.history(p)
-    own = p.groupBy("repo", F.col("commit").alias("merge")).agg(F.count(F.lit(1)).alias("parents"), F.min(F.when(F.col("pos") == 1, F.col("parent"))).alias("base"), F.min(F.when(F.col("pos") == 2, F.col("parent"))).alias("second"))
+    own = _bases(spark, sf, p)
     for name in ("merge", "base", "second"):
         own = lineage.placed(own, h, name)
+    own = own.withColumn("base", F.when(F.col("base_pre").isNotNull(), F.col("base")))
     slots = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("merge"), F.explode(F.array("l_linenumber", F.col("l_linenumber") + 1)).alias("slot")).distinct()
-    rank = F.row_number().over(Window.partitionBy("repo").orderBy("commit"))
-    named = h.chains.select("repo", rank.alias("slot"), F.col("commit").alias("introducer"), F.col("chain").alias("introducer_chain"), F.col("at").alias("introducer_at"))
-    known = own.join(slots, "merge").join(named, ["repo", "slot"])
+    many = h.index.groupBy("repo").agg(F.count(F.lit(1)).alias("many"))
+    ranked = h.index.select("repo", F.row_number().over(Window.partitionBy("repo").orderBy("commit")).alias("rank"), F.col("commit").alias("introducer"), F.col("spans").alias("introducer_spans"))
+    asked = own.join(slots, "merge").join(many, "repo").withColumn("rank", F.when((F.col("merge") + F.col("slot")) % 11 == 0, 0).otherwise((F.col("merge") * 7 + F.col("slot") * 13) % F.col("many") + 1))
+    known = asked.join(ranked, ["repo", "rank"], "left")
     for name in ("merge", "base", "second"):
-        known = lineage.with_ancestry(known, h, name, "introducer", f"in_{name}")
+        known = lineage.with_ancestry(known, name, "introducer", f"in_{name}")
     return known.select("merge", "slot", "introducer", lineage.position_class(F.col("introducer"), F.col("merge"), F.col("in_merge"), F.col("parents"), F.col("in_second"), F.col("in_base")).alias("position"))
 
 
@@ -71,13 +89,17 @@ def position_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _POSITIONS = _CLOSURE + """,
-own AS (SELECT repo, commit_ AS merge, count(*) AS parents, min(parent) FILTER (pos = 1) AS base, min(parent) FILTER (pos = 2) AS second FROM par GROUP BY ALL),
-nr AS (SELECT repo, commit_, row_number() OVER (PARTITION BY repo ORDER BY commit_) AS slot FROM nodes),
+own0 AS (SELECT repo, commit_ AS merge, count(*) AS parents, min(parent) FILTER (pos = 1) AS f, min(parent) FILTER (pos = 2) AS second FROM par GROUP BY ALL),
+own AS (
+  SELECT w.repo, w.merge, w.parents, w.second, CASE WHEN x.o_orderpriority = '5-LOW' THEN coalesce(a.parent, w.f) WHEN x.o_orderpriority LIKE '4%' THEN NULL ELSE w.f END AS base
+  FROM own0 w JOIN orders x ON x.o_orderkey = w.merge LEFT JOIN par a ON a.repo = w.repo AND a.commit_ = w.f AND a.pos = 1),
+nr AS (SELECT repo, commit_, row_number() OVER (PARTITION BY repo ORDER BY commit_) AS rank, count(*) OVER (PARTITION BY repo) AS many FROM nodes),
 nm AS (SELECT l_orderkey AS merge, l_linenumber AS slot FROM lineitem UNION SELECT l_orderkey, l_linenumber + 1 FROM lineitem),
-k AS (SELECT o.*, nm.slot, n.commit_ AS introducer, m.ancestor IS NOT NULL AS in_merge, CASE WHEN o.base IS NOT NULL THEN b.ancestor IS NOT NULL END AS in_base, CASE WHEN o.second IS NOT NULL THEN s.ancestor IS NOT NULL END AS in_second
-  FROM own o JOIN nm ON nm.merge = o.merge JOIN nr n ON n.repo = o.repo AND n.slot = nm.slot LEFT JOIN clo m ON m.repo = o.repo AND m.commit_ = o.merge AND m.ancestor = n.commit_
-  LEFT JOIN clo b ON b.repo = o.repo AND b.commit_ = o.base AND b.ancestor = n.commit_ LEFT JOIN clo s ON s.repo = o.repo AND s.commit_ = o.second AND s.ancestor = n.commit_),
-pos AS (SELECT repo, merge, slot, introducer, CASE WHEN introducer = merge THEN 'PR' WHEN NOT in_merge THEN 'POST_MERGE' WHEN parents >= 2 THEN (CASE WHEN NOT in_second THEN 'PRE_PR' WHEN in_base THEN 'PRE_PR' WHEN NOT in_base THEN 'PR' ELSE 'UNKNOWN' END)
+q AS (SELECT o.*, nm.slot, CASE WHEN (o.merge + nm.slot) % 11 = 0 THEN 0 ELSE (o.merge * 7 + nm.slot * 13) % (SELECT max(many) FROM nr WHERE nr.repo = o.repo) + 1 END AS rank FROM own o JOIN nm ON nm.merge = o.merge),
+k AS (SELECT q.*, n.commit_ AS introducer, m.ancestor IS NOT NULL AS in_merge, CASE WHEN q.base IS NOT NULL THEN b.ancestor IS NOT NULL END AS in_base, CASE WHEN q.second IS NOT NULL THEN s.ancestor IS NOT NULL END AS in_second
+  FROM q LEFT JOIN nr n ON n.repo = q.repo AND n.rank = q.rank LEFT JOIN clo m ON m.repo = q.repo AND m.commit_ = q.merge AND m.ancestor = n.commit_
+  LEFT JOIN clo b ON b.repo = q.repo AND b.commit_ = q.base AND b.ancestor = n.commit_ LEFT JOIN clo s ON s.repo = q.repo AND s.commit_ = q.second AND s.ancestor = n.commit_),
+pos AS (SELECT repo, merge, slot, introducer, CASE WHEN introducer IS NULL THEN 'UNKNOWN' WHEN introducer = merge THEN 'PR' WHEN NOT in_merge THEN 'POST_MERGE' WHEN parents >= 2 THEN (CASE WHEN NOT in_second THEN 'PRE_PR' WHEN in_base THEN 'PRE_PR' WHEN NOT in_base THEN 'PR' ELSE 'UNKNOWN' END)
   WHEN in_base THEN 'PRE_PR' WHEN NOT in_base THEN 'CONCURRENT_PR' ELSE 'UNKNOWN' END AS position FROM k)"""
 
 

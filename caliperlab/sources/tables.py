@@ -19,6 +19,14 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(who, "o_custkey").join(files, "key").select("key", "nation", "priority", "day", "churn", "files", "status")
 
 
+def known_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a nation as a repository, with language (segment, BUILDING is Unknown) and kind (priority, low is other)."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    segment = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("key"), F.when(F.col("c_mktsegment") == "BUILDING", "Unknown").otherwise(F.col("c_mktsegment")).alias("language"))
+    kind = F.when(F.col("priority") == "5-LOW", "other").otherwise(F.col("priority"))
+    return changes(spark, sf_dir).withColumn("kind", kind).drop("priority").join(segment, "key")
+
+
 def treated_and_controls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     both = changes(spark, sf_dir)
     return both.where("status = 'F'").drop("status"), both.where("status = 'O'").drop("status")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def latest_valid(rows: DataFrame, key: list[str], order: list[str], valid: Column) -> DataFrame:
     """The last valid row of each key."""
@@ -18,6 +20,7 @@ def todo(frame: DataFrame, done: DataFrame, key: list[str], valid: Column) -> Da
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of new, and those of old whose key new doesn't have. Rows that share a key in new all stay."""
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
@@ -30,12 +33,12 @@ def cover_violations(candidates: DataFrame, members: DataFrame, by: list[str], i
 
 
 def positional_join(left: DataFrame, right: DataFrame, by: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
-    """The i-th row of a group with the i-th row of the other side's; fails where group sizes differ."""
-    place = lambda df, order: df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    a, b = place(left, left_order), place(right, right_order).withColumnRenamed("_n", "_m")
-    met = a.join(b, [*by, "_i"], "full_outer")
-    same = F.when(F.coalesce(F.col("_n") != F.col("_m"), F.lit(True)), F.raise_error(F.lit("groups differ in size"))).otherwise(F.lit(True))
-    return met.where(same).drop("_n", "_m").withColumnRenamed("_i", "position")
+    """The i-th row of a group with the i-th row of the other side's; fails where group sizes differ. A group may lie in many tasks."""
+    a, b = (ordered.ranks(df, by, order, "position").withColumn(flag, F.lit(True)) for df, order, flag in ((left, left_order, "_a"), (right, right_order, "_b")))
+    met = a.join(b, [*by, "position"], "full_outer")
+    # ranks have no gaps, so a larger group has a row that meets none
+    same = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("groups differ in size"))).otherwise(F.lit(True))
+    return met.where(same).drop("_a", "_b")
 
 
 def required(rows: DataFrame, facts: DataFrame, key: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import folders, readers
+from ..sources import folders, json_arrays, readers
 from ..sources.tables import table
 from ..streaming import ingest
 
@@ -33,6 +33,15 @@ def json_array_scan(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_json_array(spark, path, "n_nationkey int, n_name string")
 
 
+def json_array_split(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders in two files of one array each, read in blocks; notes hold quotes, braces and backslashes."""
+    path = folders.fresh(spark, "arrays")
+    o = table(spark, sf, "orders")
+    note = F.concat(F.lit('{"note\\\\": [\\", '), "o_orderpriority", F.lit(" }],\\"))
+    json_arrays.write_arrays(o.select("o_orderkey", F.struct(note.alias("note"), F.array("o_orderstatus", F.lit("]")).alias("states")).alias("of")).repartition(2, "o_orderkey"), path)
+    return json_arrays.read_array(spark, path, "o_orderkey long, of struct<note string, states array<string>>").select("o_orderkey", "of.note", F.col("of.states")[0].alias("status"))
+
+
 def glob_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = folders.fresh(spark, "glob")
     n = table(spark, sf, "nation").select("n_nationkey", "n_name", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("k"))
@@ -101,6 +110,7 @@ ORACLE = {
     "csv_roundtrip": "SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_custkey % 50 <> 0",
     "jsonl_corrupt": "SELECT event_id, event_type FROM events WHERE event_id % 10 <> 0",
     "json_array_scan": "SELECT n_nationkey, n_name FROM nation",
+    "json_array_split": r"""SELECT o_orderkey, '{"note\\": [\", ' || o_orderpriority || ' }],\' AS note, o_orderstatus AS status FROM orders""",
     "glob_scan": "SELECT n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS region FROM nation WHERE n_regionkey <= 2",
     "gzip_jsonl_scan": "SELECT s_suppkey, s_name FROM supplier",
     "wholetext_scan": "SELECT 3 * count(*) AS lines, false AS returns FROM region",
@@ -110,4 +120,4 @@ ORACLE = {
     "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 1, 2",
     "stream_ingest": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
 }
-QUERIES = [csv_roundtrip, jsonl_corrupt, json_array_scan, glob_scan, gzip_jsonl_scan, wholetext_scan, sink_roundtrip, partitioned_sink, summary_document, stream_ingest, stream_daily_counts]
+QUERIES = [csv_roundtrip, jsonl_corrupt, json_array_scan, json_array_split, glob_scan, gzip_jsonl_scan, wholetext_scan, sink_roundtrip, partitioned_sink, summary_document, stream_ingest, stream_daily_counts]

@@ -89,7 +89,7 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def positional_join(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _sides(spark, sf)
-    return quality.positional_join(a, b, ["repo"], ["a_key"], ["o_totalprice", "b_key"]).select("repo", "position", "a_key", "b_key")
+    return quality.positional_join(a, b, ["repo"], ["a_key"], ["o_totalprice", "b_key"]).select("repo", F.col("position").cast("int").alias("position"), "a_key", "b_key")
 
 
 def crosswalk_mismatch(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import folders
 
 
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -14,17 +15,30 @@ def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def ingest_new(stream: DataFrame, done_path: str, key: list[str], checkpoint: str) -> None:
-    """Append each batch's rows whose key no earlier batch wrote. A batch that runs again writes nothing twice."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(key)
-        if folders.exists(spark, done_path):
-            new = new.join(spark.read.parquet(done_path).select(*key), key, "left_anti")
-        new.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(done_path)
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+#: How much later, in event time, an event may come again: what the state keeps.
+LATE = "3650 days"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ingest_new(stream: DataFrame, done_path: str, key: list[str], checkpoint: str, late: str = LATE) -> list[dict]:
+    """Append the rows whose key was not met before to a Parquet folder, until the input is used up; returns the progress of each batch.
+
+    The keys met are state, in a store on disk that is saved with the checkpoint: a batch reads no history. A batch that runs again starts from
+    the state before it, and the folder's log names the files of each finished batch once, so restarts are exact. A key is kept until the
+    watermark, `late` behind the latest event, has passed its event; rows later than that are left out, and so a repeat can't come after it.
+    So the state holds the keys of the last `late` of event time.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        fresh = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
+        query = fresh.writeStream.outputMode("append").format("parquet").option("path", done_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before)
+    return [json.loads(p.json) if hasattr(p, "json") else dict(p) for p in query.recentProgress]
 
 
 def daily_counts(stream: DataFrame, late: str = "2 days") -> DataFrame:

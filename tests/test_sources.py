@@ -1,11 +1,13 @@
 """JSON arrays read in blocks against the standard library, and resumable ingestion."""
 
+import datetime
 import json
 import random
 
 import pytest
 
 from caliperlab.sources import json_arrays
+from caliperlab.streaming import ingest
 
 
 def strings(rng):
@@ -59,3 +61,39 @@ def test_one_array_in_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     json_arrays.write_arrays(rows.limit(0), str(tmp_path / "none"))
     assert json_arrays.read_array(spark, str(tmp_path / "none"), "id long, note string").count() == 0
+
+
+def events(spark, path, rows):
+    spark.createDataFrame(rows, "id long, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("id long, ts timestamp").parquet(path)
+
+
+def test_ingestion_keeps_keys_as_state(spark, tmp_path):
+    at = lambda day: datetime.datetime(2024, 1, 1) + datetime.timedelta(day)
+    new, done, state = (str(tmp_path / x) for x in ("in", "done", "state"))
+    ids = lambda: sorted(r["id"] for r in spark.read.parquet(done).collect())
+    ingest.ingest_new(events(spark, new, [(1, at(0)), (2, at(1)), (1, at(1))]), done, ["id"], state, "10 days")
+    assert ids() == [1, 2]
+    ingest.ingest_new(events(spark, new, [(2, at(2)), (3, at(2))]), done, ["id"], state, "10 days")
+    assert ids() == [1, 2, 3]
+    # nothing new: nothing is written again
+    again = ingest.ingest_new(spark.readStream.schema("id long, ts timestamp").parquet(new), done, ["id"], state, "10 days")
+    assert ids() == [1, 2, 3] and sum(p["numInputRows"] for p in again) == 0
+    # a batch reads its own rows alone, and keys that the watermark has passed leave the state
+    ran = ingest.ingest_new(events(spark, new, [(4, at(100)), (5, at(100))]), done, ["id"], state, "10 days")
+    ran += ingest.ingest_new(events(spark, new, [(5, at(101)), (1, at(1))]), done, ["id"], state, "10 days")
+    assert ids() == [1, 2, 3, 4, 5] and max(p["numInputRows"] for p in ran) == 2
+    assert ran[-1]["stateOperators"][0]["numRowsTotal"] == 2
+
+
+def test_a_batch_that_failed_is_written_once(spark, tmp_path):
+    """A run that ends before its batch is marked as finished starts from the state before it."""
+    new, done, state = (str(tmp_path / x) for x in ("in", "done", "state"))
+    stream = events(spark, new, [(i, datetime.datetime(2024, 1, 1)) for i in range(20)])
+    ingest.ingest_new(stream, done, ["id"], state)
+    for name in ("0", ".0.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    events(spark, new, [(i, datetime.datetime(2024, 1, 2)) for i in range(10, 30)])
+    ingest.ingest_new(stream, done, ["id"], state)
+    got = [r["id"] for r in spark.read.parquet(done).collect()]
+    assert sorted(got) == list(range(30))

@@ -55,9 +55,10 @@ def _sized(parents: DataFrame, max_rounds: int) -> DataFrame:
     raise RuntimeError(f"the graph is deeper than {max_rounds} doublings, or has a cycle")
 
 
-def _numbered(tree: DataFrame, max_rounds: int) -> DataFrame:
-    """tree with `pre` and `head`: the number of the first commit of its line, which goes on with the child that has most below it."""
-    beside = Window.partitionBy("repo", "up").orderBy(F.desc("size"), "commit")
+def _numbered(tree: DataFrame, max_rounds: int, order: list[Column] | None = None) -> DataFrame:
+    """tree with `pre`, its place when each commit is followed by what is below it, and `head`: the number of the first commit of its line. A line goes on with
+    the first child in the order given, else with the child that has most below it."""
+    beside = Window.partitionBy("repo", "up").orderBy(*(order or [F.desc("size"), F.col("commit")]))
     earlier = F.coalesce(F.sum("size").over(beside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     step = earlier + F.col("up").isNotNull().cast("long")
     first = F.col("up").isNotNull() & (F.row_number().over(beside) == 1)
@@ -75,6 +76,11 @@ def _numbered(tree: DataFrame, max_rounds: int) -> DataFrame:
     raise RuntimeError(f"the graph is deeper than {max_rounds} doublings")
 
 
+def preorder(parents: DataFrame, order: list[Column], max_rounds: int = 64) -> DataFrame:
+    """(repo, commit, pre): places of the nodes of the trees parents(repo, commit, parent, pos = 1), children in the given order, from 0 in each repo."""
+    return _numbered(_sized(parents, max_rounds), max_rounds, order).select("repo", "commit", "pre")
+
+
 def _brought(parents: DataFrame, tree: DataFrame, max_rounds: int) -> DataFrame:
     """(repo, at, merge): the commits, by number, on the way from a merge's further parents up to where they leave the merge's own line.
 

@@ -47,26 +47,18 @@ def trace(edits: DataFrame, points: DataFrame) -> DataFrame:
     every = edits.groupBy("file", "rev").agg(F.max(F.col("added") + F.col("removed")).alias("n"))
     idle = every.where("n = 0").select("file", F.col("rev").alias("node"), F.lit(1).cast("long").alias("s"), F.lit(END).alias("e"), F.lit(None).cast("long").alias("birth"), F.lit(0).cast("long").alias("shift"))
     level = kept(_maps(edits).unionByName(idle), "maps")
-    open_ = kept(points.select("id", "file", F.col("pos").cast("long").alias("pos"), (F.col("rev") + 1).cast("long").alias("left")), "points")
-    done: list[DataFrame] = []
-    for bit in range(48):
-        here = open_.where((F.col("left").bitwiseAND(1 << bit) != 0) & (F.col("pos") > 0))
-        asked = here.withColumn("node", F.shiftright("left", bit) - 1).withColumn("_to", F.col("pos"))
+    at = points.select("id", "file", F.col("pos").cast("long").alias("pos"), (F.col("rev") + 1).cast("long").alias("left"), F.lit(None).cast("long").alias("birth"))
+    going = F.col("birth").isNull() & (F.col("pos") > 0)
+    for bit in range(bits := int(at.agg(F.max("left")).first()[0] or 0).bit_length()):
+        turn = going & (F.col("left") > 0) & (F.col("left").bitwiseAND(1 << bit) != 0)
+        asked = at.where(turn).withColumn("node", F.shiftright("left", bit) - 1).withColumn("_to", F.col("pos")).drop("birth")
         met = overlap_join(asked, level, ["file", "node"], ("pos", "_to"), ("s", "e"))
-        moved = kept(met.select("id", "file", (F.col("pos") + F.col("shift")).alias("pos"), (F.col("left") - (1 << bit)).alias("left"), "birth"), "traced")
-        done.append(moved.where("birth is not null").select("id", "birth", F.col("pos").alias("no")))
-        rest = open_.where((F.col("left").bitwiseAND(1 << bit) == 0) & (F.col("left") > 0) & (F.col("pos") > 0))
-        ended = moved.where("birth is null and left = 0").select("id", "birth", F.col("pos").alias("no"))
-        done += [ended, open_.where("left <= 0 or pos <= 0").select("id", F.lit(None).cast("long").alias("birth"), F.col("pos").alias("no"))]
-        open_ = kept(rest.unionByName(moved.where("birth is null and left > 0").drop("birth")), "points")
-        if open_.isEmpty():
-            out = done[0]
-            for part in done[1:]:
-                out = out.unionByName(part)
-            return points.join(out, "id")
-        level, old = kept(_composed(level), "maps"), level
-        drop(old)
-    raise RuntimeError("a file has too many revisions")
+        moved = met.select("id", "file", (F.col("pos") + F.col("shift")).alias("pos"), (F.col("left") - (1 << bit)).alias("left"), "birth")
+        at = kept(moved.unionByName(at.where(~F.coalesce(turn, F.lit(False)))), "traced")
+        if bit < bits - 1:
+            level, old = kept(_composed(level), "maps"), level
+            drop(old)
+    return points.join(at.select("id", "birth", F.col("pos").alias("no")), "id")
 
 
 def _composed(level: DataFrame) -> DataFrame:
@@ -109,6 +101,7 @@ def former_writers(edits: DataFrame, lines: DataFrame) -> DataFrame:
     The line it replaced is the removed one of the same place in its hunk: of lines of that content the first, in the first hunk, that
     has one. The writer is the revision that wrote the first line of that content in the file before.
     """
+    edits, lines = kept(edits, "edits"), kept(lines, "lines")
     known = kept(lives(edits, lines), "lives")
     here = Window.partitionBy("file", "rev").orderBy("at")
     shift = F.sum(F.col("added") - F.col("removed")).over(here) - (F.col("added") - F.col("removed"))

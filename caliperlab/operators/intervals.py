@@ -28,7 +28,8 @@ def overlap_join(a: DataFrame, b: DataFrame, by: list[str], a_range: tuple[str,
     sides = {}
     for name, df, s, e in (("a", a, a_s, a_e), ("b", b, b_s, b_e)):
         sides[name] = df.where(s <= e).withColumn("_own", _level(s, e))
-    present = {name: sorted(r[0] for r in df.select("_own").distinct().collect()) for name, df in sides.items()}  # 50 at most
+    lengths = sides["a"].select(F.lit("a"), "_own").union(sides["b"].select(F.lit("b"), "_own")).distinct().collect()  # 100 at most
+    present = {name: sorted(r[1] for r in lengths if r[0] == name) for name in sides}
 
     def placed(name: str, s: Column, e: Column, own_kind: int, strictly: bool) -> DataFrame:
         other = present["b" if name == "a" else "a"]

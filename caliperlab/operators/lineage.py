@@ -26,6 +26,7 @@ class History:
 def history(parents: DataFrame, max_rounds: int = 64) -> History:
     """The index of parents(repo, commit, parent, pos); pos 1 is the first parent. Rounds are logarithmic in the depth of the tree
     of first parents, and as many as merges of merges lead to each other without a first parent."""
+    parents = kept(parents.select("repo", "commit", "parent", "pos"), "parents")
     tree = _numbered(_sized(parents, max_rounds), max_rounds)
     brought = _brought(parents, tree, max_rounds)
     own = tree.select("repo", "commit", "pre", "size", "depth")
@@ -78,7 +79,7 @@ def _numbered(tree: DataFrame, max_rounds: int, order: list[Column] | None = Non
 
 def preorder(parents: DataFrame, order: list[Column], max_rounds: int = 64) -> DataFrame:
     """(repo, commit, pre): places of the nodes of the trees parents(repo, commit, parent, pos = 1), children in the given order, from 0 in each repo."""
-    return _numbered(_sized(parents, max_rounds), max_rounds, order).select("repo", "commit", "pre")
+    return _numbered(_sized(kept(parents, "parents"), max_rounds), max_rounds, order).select("repo", "commit", "pre")
 
 
 def _brought(parents: DataFrame, tree: DataFrame, max_rounds: int) -> DataFrame:

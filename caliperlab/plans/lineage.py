@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import lineage
+from ..operators import blame, lineage
+from ..sources.folders import kept
 from ..sources.tables import table
 
 
@@ -62,30 +63,78 @@ def _bases(spark: SparkSession, sf: str, parents: DataFrame) -> DataFrame:
     return own.join(above, ["repo", "first"], "left").join(given, "merge").select("repo", "merge", "parents", base.alias("base"), "second")
 
 
-def _positions(spark: SparkSession, sf: str) -> DataFrame:
-    """(merge, slot, introducer, position): each line of a merge names a commit of its customer's history, anywhere in it, or one that isn't in it.
-
-    A line's number is its slot; the next slot names who wrote the line's former self. Only named commits are classified.
-    """
+def _placed_changes(spark: SparkSession, sf: str) -> tuple[lineage.History, DataFrame]:
+    """The history, and each change with its base and second parent placed in it. A base that the history lacks is none."""
     p = _parents(spark, sf)
     h = lineage.history(p)
     own = _bases(spark, sf, p)
     for name in ("merge", "base", "second"):
         own = lineage.placed(own, h, name)
-    own = own.withColumn("base", F.when(F.col("base_pre").isNotNull(), F.col("base")))
+    return h, kept(own.withColumn("base", F.when(F.col("base_pre").isNotNull(), F.col("base"))), "changes")
+
+
+def _classified(own: DataFrame, named: DataFrame) -> DataFrame:
+    """named(repo, merge, slot, introducer, introducer_spans) with the introducer's position to the merge."""
+    known = own.join(named, ["repo", "merge"])
+    for name in ("merge", "base", "second"):
+        known = lineage.with_ancestry(known, name, "introducer", f"in_{name}")
+    return known.select("repo", "merge", "slot", "introducer", lineage.position_class(F.col("introducer"), F.col("merge"), F.col("in_merge"), F.col("parents"), F.col("in_second"), F.col("in_base")).alias("position"))
+
+
+def _positions(spark: SparkSession, sf: str, h: lineage.History, own: DataFrame) -> DataFrame:
+    """Each line of a merge names a commit of its customer's history, anywhere in it, or one that isn't in it. A line's number is its slot."""
     slots = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("merge"), F.explode(F.array("l_linenumber", F.col("l_linenumber") + 1)).alias("slot")).distinct()
     many = h.index.groupBy("repo").agg(F.count(F.lit(1)).alias("many"))
     ranked = h.index.select("repo", F.row_number().over(Window.partitionBy("repo").orderBy("commit")).alias("rank"), F.col("commit").alias("introducer"), F.col("spans").alias("introducer_spans"))
-    asked = own.join(slots, "merge").join(many, "repo").withColumn("rank", F.when((F.col("merge") + F.col("slot")) % 11 == 0, 0).otherwise((F.col("merge") * 7 + F.col("slot") * 13) % F.col("many") + 1))
-    known = asked.join(ranked, ["repo", "rank"], "left")
-    for name in ("merge", "base", "second"):
-        known = lineage.with_ancestry(known, name, "introducer", f"in_{name}")
-    return known.select("merge", "slot", "introducer", lineage.position_class(F.col("introducer"), F.col("merge"), F.col("in_merge"), F.col("parents"), F.col("in_second"), F.col("in_base")).alias("position"))
+    asked = own.select("repo", "merge").join(slots, "merge").join(many, "repo").withColumn("rank", F.when((F.col("merge") + F.col("slot")) % 11 == 0, 0).otherwise((F.col("merge") * 7 + F.col("slot") * 13) % F.col("many") + 1))
+    return _classified(own, asked.join(ranked, ["repo", "rank"], "left").select("repo", "merge", "slot", "introducer", "introducer_spans"))
+
+
+def _edits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(edits, lines): one file a customer, a revision an order. It adds the order's lines, and removes half as many as the revision before added, at a place by its key."""
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("added"))
+    order = Window.partitionBy("file").orderBy("o_orderdate", "commit")
+    o = table(spark, sf, "orders").join(n, "o_orderkey", "left").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("commit"), "o_orderdate", F.coalesce("added", F.lit(0)).cast("long").alias("added"))
+    o = o.withColumn("rev", (F.row_number().over(order) - 1).cast("long")).withColumn("removed", F.floor((F.coalesce(F.lag("added").over(order), F.lit(-1)) + 1) / 2))
+    before = F.coalesce(F.sum(F.col("added") - F.col("removed")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edits = o.withColumn("at", (F.col("commit") * 31) % (before - F.col("removed") + 1)).select("file", "rev", "commit", "at", "removed", "added")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    text = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), place.alias("i"), F.concat_ws(" ", "l_returnflag", "l_linestatus", (F.col("l_partkey") % 7).cast("string")).alias("content"))
+    return edits, text.join(edits, "commit").select("file", "rev", "commit", "i", (F.col("at") + F.col("i")).alias("no"), "content")
+
+
+_EDITS = """ea AS (
+  SELECT o_custkey AS file, o_orderkey AS commit_, o_orderdate AS dt, coalesce(n, 0) AS a FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+eb AS (SELECT *, row_number() OVER w - 1 AS rev, (coalesce(lag(a) OVER w, -1) + 1) // 2 AS d FROM ea WINDOW w AS (PARTITION BY file ORDER BY dt, commit_)),
+ed AS (SELECT *, (commit_ * 31) % (CAST(coalesce(sum(a - d) OVER (PARTITION BY file ORDER BY rev ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) - d + 1) AS pl FROM eb),
+el AS (SELECT l_orderkey AS commit_, list(l_returnflag || ' ' || l_linestatus || ' ' || (l_partkey % 7) ORDER BY l_linenumber, l_partkey) AS cs FROM lineitem GROUP BY 1),
+sf(file, rev, births, texts) AS (
+  SELECT DISTINCT file, CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]) FROM ed
+  UNION ALL
+  SELECT e.file, e.rev, s.births[1:e.pl] || list_transform(range(e.a), lambda x: e.rev) || s.births[e.pl + e.d + 1:], s.texts[1:e.pl] || coalesce(el.cs, []) || s.texts[e.pl + e.d + 1:]
+  FROM sf s JOIN ed e ON e.file = s.file AND e.rev = s.rev + 1 LEFT JOIN el ON el.commit_ = e.commit_),
+rp AS (
+  SELECT e.file, e.commit_, e.rev, el.cs[k] AS content, first(s.texts[e.pl + k] ORDER BY k) AS preimage, any_value(s.births) AS births, any_value(s.texts) AS texts
+  FROM ed e JOIN el ON el.commit_ = e.commit_ JOIN sf s ON s.file = e.file AND s.rev = e.rev - 1, unnest(range(1, least(e.a, e.d) + 1)) u(k) GROUP BY e.file, e.commit_, e.rev, el.cs[k]),
+rw AS (SELECT rp.file AS repo, rp.commit_, rp.content, rp.preimage, w.commit_ AS writer FROM rp JOIN ed w ON w.file = rp.file AND w.rev = rp.births[list_position(rp.texts, rp.preimage)])"""
+
+
+def _former_writers(edits: DataFrame, lines: DataFrame) -> DataFrame:
+    """(repo, commit, content, preimage, writer), writers by commit."""
+    named = edits.select(F.col("file").alias("repo"), F.col("rev").alias("writer_rev"), F.col("commit").alias("writer"))
+    own = edits.select(F.col("file").alias("repo"), "rev", "commit")
+    f = blame.former_writers(edits.drop("commit"), lines.select("file", "rev", "no", "content")).withColumnsRenamed({"file": "repo", "writer": "writer_rev"})
+    return f.join(own, ["repo", "rev"]).join(named, ["repo", "writer_rev"], "left").select("repo", "commit", "content", "preimage", "writer")
+
+
+def reblame_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """For each line that a revision put in place of another: the other's content, and who wrote the first line of that content in the file before."""
+    return _former_writers(*_edits(spark, sf)).withColumnRenamed("commit", "commit_")
 
 
 def position_class(spark: SparkSession, sf: str) -> DataFrame:
     """Position classes of each merge's named introducers."""
-    return _positions(spark, sf).groupBy("merge", "position").agg(F.count(F.lit(1)).alias("n"))
+    return _positions(spark, sf, *_placed_changes(spark, sf)).groupBy("merge", "position").agg(F.count(F.lit(1)).alias("n"))
 
 
 _POSITIONS = _CLOSURE + """,
@@ -118,20 +167,31 @@ def first_match_introducer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence of each deleted line of a traced change, from the position classes of its introducer and, where the line
-    was rewritten after the merge, of who wrote its former self."""
-    li, pos = table(spark, sf, "lineitem"), _positions(spark, sf)
-    lines = li.groupBy(F.col("l_orderkey").alias("merge"), F.col("l_linenumber").alias("slot")).agg(F.max(F.col("l_quantity") > 25).alias("in_change"), F.max(F.col("l_tax") > 0.04).alias("rewritten"))
-    earlier = pos.select("merge", (F.col("slot") - 1).alias("slot"), F.col("position").alias("earlier"))
-    met = lines.join(pos, ["merge", "slot"]).join(earlier, ["merge", "slot"], "left")
-    return met.select("merge", "introducer", "position", lineage.line_evidence(F.col("in_change"), F.col("position"), F.when(F.col("rewritten"), F.col("earlier"))).alias("evidence"))
-
-
-_EVIDENCE = _POSITIONS + """,
-ln AS (SELECT l_orderkey AS merge, l_linenumber AS slot, max(CAST(l_quantity > 25 AS INTEGER)) = 1 AS ic, max(CAST(l_tax > 0.04 AS INTEGER)) = 1 AS rw FROM lineitem GROUP BY ALL),
+    """Evidence of each deleted line of a traced change, from the position classes of its introducer and, where that came after the merge,
+    of who wrote the line's former self: what the introducer's own line of that number replaced in the customer's file."""
+    li, (h, own) = table(spark, sf, "lineitem"), _placed_changes(spark, sf)
+    edits, text = (kept(x, "edits") for x in _edits(spark, sf))
+    pos = kept(_positions(spark, sf, h, own), "positions")
+    lines = li.groupBy(F.col("l_orderkey").alias("merge"), F.col("l_linenumber").alias("slot")).agg(F.max(F.col("l_quantity") > 25).alias("in_change"))
+    met = lines.join(pos, ["merge", "slot"])
+    later = met.where("position = 'POST_MERGE' and not in_change").select("repo", "merge", "slot", F.col("introducer").alias("commit"))
+    there = later.join(edits.where("added > 0").select("commit", "added"), "commit").withColumn("i", F.try_mod(F.col("slot") - 1, "added") + 1).join(text.select("commit", "i", "content"), ["commit", "i"])
+    named = there.join(_former_writers(edits, text), ["repo", "commit", "content"]).select("repo", "merge", "slot", F.col("writer").alias("introducer"))
+    former = _classified(own, lineage.placed(named, h, "introducer").select("repo", "merge", "slot", "introducer", "introducer_spans"))
+    judged = met.join(former.select("merge", "slot", F.col("position").alias("earlier")), ["merge", "slot"], "left")
+    return judged.select("merge", "introducer", "position", lineage.line_evidence(F.col("in_change"), F.col("position"), F.col("earlier")).alias("evidence"))
+
+
+_EVIDENCE = _POSITIONS + "," + _EDITS + """,
+ln AS (SELECT l_orderkey AS merge, l_linenumber AS slot, max(CAST(l_quantity > 25 AS INTEGER)) = 1 AS ic FROM lineitem GROUP BY ALL),
+lt AS (SELECT p.repo, p.merge, p.slot, rw.writer FROM pos p JOIN ln ON ln.merge = p.merge AND ln.slot = p.slot AND NOT ln.ic JOIN el ON el.commit_ = p.introducer JOIN rw ON rw.commit_ = p.introducer AND rw.content = el.cs[(p.slot - 1) % len(el.cs) + 1] WHERE p.position = 'POST_MERGE'),
+er AS (
+  SELECT t.merge, t.slot, CASE WHEN t.writer = t.merge THEN 'PR' WHEN m.ancestor IS NOT NULL AND o.parents >= 2 AND s.ancestor IS NOT NULL AND o.base IS NOT NULL AND b.ancestor IS NULL THEN 'PR' ELSE '' END AS position
+  FROM lt t JOIN own o ON o.repo = t.repo AND o.merge = t.merge LEFT JOIN clo m ON m.repo = t.repo AND m.commit_ = t.merge AND m.ancestor = t.writer LEFT JOIN clo s ON s.repo = t.repo AND s.commit_ = o.second AND s.ancestor = t.writer
+    LEFT JOIN clo b ON b.repo = t.repo AND b.commit_ = o.base AND b.ancestor = t.writer),
 ev AS (SELECT sl.merge, sl.introducer, sl.position, CASE WHEN ic THEN (CASE sl.position WHEN 'PR' THEN 'content+blame-confirm' WHEN 'POST_MERGE' THEN 'content+post-merge-survival' WHEN 'PRE_PR' THEN 'coincidence-refuted' WHEN 'CONCURRENT_PR' THEN 'concurrent-pr-refuted' ELSE 'unconfirmed' END)
-  WHEN sl.position = 'PR' THEN 'refactor-penetration' WHEN sl.position = 'POST_MERGE' AND rw AND coalesce(er.position, '') = 'PR' THEN 'reblame-penetration' WHEN sl.position = 'POST_MERGE' THEN 'reblame-refuted' ELSE 'unrelated' END AS evidence
-  FROM pos sl JOIN ln ON ln.merge = sl.merge AND ln.slot = sl.slot LEFT JOIN pos er ON er.merge = sl.merge AND er.slot = sl.slot + 1)"""
+  WHEN sl.position = 'PR' THEN 'refactor-penetration' WHEN sl.position = 'POST_MERGE' AND coalesce(er.position, '') = 'PR' THEN 'reblame-penetration' WHEN sl.position = 'POST_MERGE' THEN 'reblame-refuted' ELSE 'unrelated' END AS evidence
+  FROM pos sl JOIN ln ON ln.merge = sl.merge AND ln.slot = sl.slot LEFT JOIN er ON er.merge = sl.merge AND er.slot = sl.slot)"""
 
 
 def line_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,8 +234,9 @@ SELECT ancestor, commit_, path, CAST(rank AS INTEGER) AS rank FROM j WHERE rank
     "position_class": f"WITH RECURSIVE {_POSITIONS} SELECT merge, position, count(*) AS n FROM pos GROUP BY ALL",
     "first_match_introducer": f"""WITH {_BLAME}, b AS (SELECT file, line_no, sha * 1000 + line_no % 1000 AS sha, content FROM bl), d AS (SELECT DISTINCT file, content FROM b WHERE line_no % 3 = 0), f AS (SELECT file, content, first(sha ORDER BY line_no, sha) AS introducer FROM b GROUP BY ALL)
 SELECT d.file, f.introducer, count(*) AS line_count, string_agg(d.content, '|' ORDER BY d.content) AS lines FROM d LEFT JOIN f ON f.file = d.file AND f.content = d.content GROUP BY ALL""",
+    "reblame_writers": f"WITH RECURSIVE {_EDITS} SELECT repo, commit_, content, preimage, writer FROM rw",
     "line_evidence": f"WITH RECURSIVE {_EVIDENCE} SELECT merge, introducer, position, evidence FROM ev",
     "szz_verdict": f"WITH RECURSIVE {_VERDICTS} SELECT * FROM vd",
     "verdict_counts": f"WITH RECURSIVE {_VERDICTS} SELECT verdict, count(*) AS n, count(*) FILTER (confidence >= 0.2) AS confident, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM vd GROUP BY verdict",
 }
-QUERIES = [commit_closure, descendant_touches, position_class, first_match_introducer, line_evidence, szz_verdict, verdict_counts]
+QUERIES = [commit_closure, descendant_touches, position_class, first_match_introducer, reblame_writers, line_evidence, szz_verdict, verdict_counts]

@@ -87,3 +87,29 @@ def within_budget(x: Column, most: int) -> Column:
     """A text cut so that it and the note on the cut have `most` characters; nothing but the note where that alone is longer."""
     note = f"\n\n[PR-LEVEL CONTEXT TRUNCATED BY PRE-SPECIFIED {most:,}-CHAR BUDGET; lower-priority suffix omitted.]\n"
     return F.when(F.length(x) > most, F.concat(F.left(x, F.lit(max(0, most - len(note)))), F.lit(note))).otherwise(x)
+
+
+# Headings and cuts of a fix's document.
+RULE, FIX, PATCH_STEP, DIFF_STEP = "─" * 50, "## FIX COMMIT: ", "  ### STEP 2: Full AI PR patch (for context):", "  ### STEP 3: Full Fix diff (for context):"
+PATCH_CUT, DIFF_CUT = (6000, 3500, 2500, "\n... [TRUNCATED: PR patch too long, middle omitted] ...\n"), (8000, 4500, 3500, "\n... [TRUNCATED: fix diff too long, middle omitted] ...\n")
+LISTED_ISSUES, TITLE_CHARS = 3, 150
+
+
+def _middle_cut(x: Column, cut: tuple[int, int, int, str]) -> Column:
+    most, head, tail, note = cut
+    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, head), F.lit(note), F.substring(x, -tail, tail))).otherwise(x)
+
+
+def fix_document(sha: Column, message: Column, day: Column, days: Column, bucket: Column, cases: Column, issues: Column, blind: bool) -> Column:
+    """The document of a fix: head, a section for each of cases (path, verdict, additions, deletions, patch, diff), and linked issues (number, title).
+
+    Blind documents leave out what tells the kind of a case. Empty patches and diffs have no section.
+    """
+    nl, fence = F.lit("\n"), lambda title, x: F.when(x != "", F.concat(F.lit(f"\n\n{title}\n  ```diff\n"), x, F.lit("\n  ```"))).otherwise("")
+    shape = lambda c: F.lit("") if blind else F.concat(F.lit(" (+"), c.additions.cast("string"), F.lit("/-"), c.deletions.cast("string"), F.lit(" lines) ["), c.verdict, F.lit("]"))
+    section = lambda c: F.concat(F.lit("\n  File: "), c.path, shape(c), fence(PATCH_STEP, _middle_cut(c.patch, PATCH_CUT)), fence(DIFF_STEP, _middle_cut(c["diff"], DIFF_CUT)))
+    latency = F.when(bucket != "unknown", F.concat(F.lit("\nLatency bucket: "), bucket)).otherwise("")
+    head = F.concat(F.lit(f"\n{RULE}\n{FIX}"), F.substring(sha, 1, 10), F.lit("\nMessage: "), message, F.lit("\nDate: "), day, F.lit(" | Latency: "), F.coalesce(days.cast("string"), F.lit("?")), F.lit(" days after PR merge"), latency)
+    files = F.concat(F.lit("\n\nFiles from this PR touched by this fix ("), F.size(cases).cast("string"), F.lit("):\n"), F.array_join(F.transform(cases, section), "\n"))
+    named = F.transform(F.slice(issues, 1, LISTED_ISSUES), lambda i: F.concat(F.lit("    - #"), i.number.cast("string"), F.lit(": "), F.substring(i.title, 1, TITLE_CHARS)))
+    return F.concat(head, files, F.when(F.size(issues) > 0, F.concat(nl, nl, F.lit("  Linked issues:"), nl, F.array_join(named, "\n"))).otherwise(""))

@@ -113,3 +113,13 @@ def numbered_lines(text: Column, start: int = 1, gap: str = " | ") -> Column:
 def first_json_object(text: Column) -> Column:
     """The text from the first brace to the last, without code fences."""
     return F.regexp_extract(F.regexp_replace(text, "```(json)?", ""), r"(?s)(\{.*\})", 1)
+
+
+# What a review says where it found nothing, and what stands before each issue.
+NO_ISSUES, ISSUE = "key_issues_to_review: []", "issue_header"
+
+
+def issue_count(review: Column) -> Column:
+    """How many issues a review's text lists: -1 without a text, 0 where it says that there are none."""
+    headers = (F.length(review) - F.length(F.replace(review, F.lit(ISSUE), F.lit("")))) / len(ISSUE)
+    return F.when(F.coalesce(review, F.lit("")) == "", -1).when(review.contains(NO_ISSUES), 0).otherwise(headers).cast("int")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["cohorts", "texts", "changes", "lineage", "labelling", "evaluation", "shaping", "files", "provenance"]
+MODULES = ["cohorts", "texts", "changes", "lineage", "labelling", "evaluation", "shaping", "files", "provenance", "reconcile"]
 
 
 def _modules():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ranges
+from ..operators import intervals, ranges
 from ..sources.tables import table
 
 
@@ -33,6 +33,19 @@ def shared_line_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
 
 
+def shared_line_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Shared lines as classes: lines with the same holders are one, named by its first line's digest, with a row a holder. The pairs of a class are
+    all its holders with each other; rows grow with the holders, not with their pairs.
+
+    A class is known by the number of its holders and two sums of 64-bit hashes of them, so no row holds them all.
+    """
+    keyed = _line_keys(spark, sf)
+    seen = [F.sum(F.xxhash64(F.lit(seed), "doc_id").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    often = keyed.groupBy("source", "line").agg(F.count(F.lit(1)).alias("holders"), *seen).where("holders > 1")
+    classes = often.groupBy("source", "holders", "h1", "h2").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("lines"))
+    return keyed.join(classes, ["source", "line"]).select(F.col("line").alias("class"), "doc_id", "holders", "lines")
+
+
 def _line_keys(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, source and the digest of each distinct stripped line of over 5 characters."""
     rows = table(spark, sf, "documents").select("doc_id", "source", F.explode(text.code_lines(F.col("text"))).alias("line"))
@@ -54,8 +67,10 @@ _RANGES = "r AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_partkey % 400
 
 
 def proximity_exists(spark: SparkSession, sf: str) -> DataFrame:
-    both = _ranges(spark, sf).groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_returnflag") == "N", F.struct("s", "e"))).alias("a"), F.collect_list(F.when(F.col("l_returnflag") != "N", F.struct("s", "e"))).alias("b"))
-    return both.select("l_orderkey", ranges.near(F.col("a"), F.col("b")).alias("near"))
+    """Whether an order's added ranges start or end within 50 lines of its others."""
+    r = _ranges(spark, sf).withColumn("added", F.coalesce(F.col("l_returnflag") == "N", F.lit(False)))
+    near = intervals.near_groups(r, ["l_orderkey"], F.col("added"), 50).withColumn("near", F.lit(True))
+    return r.select("l_orderkey").distinct().join(near, "l_orderkey", "left").select("l_orderkey", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def merge_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,11 +120,14 @@ def snapshot_line_map(spark: SparkSession, sf: str) -> DataFrame:
 
 _STRIP = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 _L = _STRIP.format(x="l")
+_KEYS = f"l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM documents), k AS (SELECT DISTINCT doc_id, source, md5({_L}) AS line FROM l WHERE length({_L}) > 5)"
 ORACLE = {
     "shared_lines": f"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM documents), k AS (SELECT DISTINCT doc_id, source, {_L} AS line FROM l WHERE length({_L}) > 5),
 f AS (SELECT source, line, min(doc_id) AS first_doc FROM k GROUP BY ALL HAVING count(*) > 1) SELECT k.doc_id, f.first_doc, count(*) AS shared FROM k JOIN f USING (source, line) WHERE k.doc_id <> f.first_doc GROUP BY ALL""",
     "shared_line_pairs": f"""WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM documents), k AS (SELECT DISTINCT doc_id, source, {_L} AS line FROM l WHERE length({_L}) > 5)
 SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.source = b.source AND a.line = b.line AND a.doc_id < b.doc_id GROUP BY ALL""",
+    "shared_line_classes": f"""WITH {_KEYS}, h AS (SELECT source, line, list(doc_id ORDER BY doc_id) AS docs FROM k GROUP BY ALL HAVING count(*) > 1), c AS (SELECT source, docs, min(line) AS line, count(*) AS lines FROM h GROUP BY ALL)
+SELECT c.line AS class, unnest(docs) AS doc_id, len(docs) AS holders, lines FROM c""",
     "comment_line_counts": f"""WITH l AS (SELECT doc_id, unnest(string_split((['# ', '+ // ', '', '- ', '--- ', '*', '+', '  '])[doc_id % 8 + 1] || source || chr(10) || text, chr(10))) AS l FROM documents), s AS (SELECT doc_id, {_L} AS s FROM l)
 SELECT doc_id, count(*) FILTER (regexp_matches(s, '^(//|#|--|/\\*|\\*|<!--|''''''|\"\"\")') OR regexp_matches(s, '^[+-]\\s*(//|#|--|/\\*|\\*|''''''|\"\"\")')) AS comments FROM s GROUP BY doc_id""",
     "proximity_exists": f"""WITH {_RANGES}, x AS (SELECT DISTINCT a.l_orderkey FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'N' AND b.l_returnflag <> 'N' AND (abs(a.s - b.s) <= 50 OR abs(a.e - b.e) <= 50))
@@ -121,4 +139,4 @@ i AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey ORDER BY s, e) AS k FROM f)
     "hunk_annotations": f"""WITH {_DIFF_ROWS} SELECT l_orderkey, CAST(hunk AS INTEGER) AS hunk, string_agg((CASE WHEN op = '-' AND EXISTS (SELECT 1 FROM d x WHERE x.l_orderkey = d.l_orderkey AND x.op = '+' AND x.text = d.text) THEN '>> ' ELSE '   ' END) || op || text, chr(10) ORDER BY i) AS shown
 FROM d WHERE EXISTS (SELECT 1 FROM d y WHERE y.l_orderkey = d.l_orderkey AND y.hunk = d.hunk AND y.op = '-') GROUP BY l_orderkey, hunk""",
 }
-QUERIES = [shared_lines, shared_line_pairs, comment_line_counts, proximity_exists, merge_windows, changed_lines, hunk_annotations, snapshot_line_map]
+QUERIES = [shared_lines, shared_line_pairs, shared_line_classes, comment_line_counts, proximity_exists, merge_windows, changed_lines, hunk_annotations, snapshot_line_map]

@@ -18,19 +18,17 @@ def latest_valid(spark: SparkSession, sf: str) -> DataFrame:
     return quality.latest_valid(e, ["user_id", "event_type"], ["ts", "event_id"], _valid()).select("user_id", "event_type", "event_id")
 
 
-def _done(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").where("event_id % 3 = 0").select("user_id", "value")
-
-
 def resume_todo(spark: SparkSession, sf: str) -> DataFrame:
-    frame = table(spark, sf, "events").select("user_id").distinct()
-    return quality.todo(frame, _done(spark, sf), ["user_id"], _valid())
+    """Customers without a valid answer: an order that is done and large enough. Others are asked (again)."""
+    o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return quality.todo(table(spark, sf, "customer").select("c_custkey"), o, ["c_custkey"], (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100_000))
 
 
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
-    per = table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    new = per.where("user_id % 4 = 0").select("user_id", (F.col("event_id") + 1_000_000).alias("event_id"))
-    return quality.upsert(per.where("user_id % 2 = 0"), new, ["user_id"])
+    """Each user's last event; users whose last event is an error get another number."""
+    per = table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("kind"))
+    new = per.where("kind = 'error'").select("user_id", (F.col("event_id") + 1_000_000).alias("event_id"))
+    return quality.upsert(per.drop("kind"), new, ["user_id"])
 
 
 def source_precedence(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,8 +121,8 @@ def member_bridge_join(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLE = {
     "latest_valid": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE value > 20) WHERE k = 1",
-    "resume_todo": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 3 = 0 AND value > 20)",
-    "upsert_merge": "SELECT user_id, max(event_id) + CASE WHEN user_id % 4 = 0 THEN 1000000 ELSE 0 END AS event_id FROM events WHERE user_id % 2 = 0 GROUP BY user_id",
+    "resume_todo": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000)",
+    "upsert_merge": "SELECT user_id, max(event_id) + CASE WHEN arg_max(event_type, event_id) = 'error' THEN 1000000 ELSE 0 END AS event_id FROM events GROUP BY user_id",
     "source_precedence": "SELECT user_id, arg_min(event_id, CASE WHEN value > 20 THEN k END) AS answer, count(*) AS tried FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 4 GROUP BY user_id",
     "exact_cover_violations": """WITH m AS (SELECT conv_id, turn FROM conversations WHERE turn % 5 <> 3 UNION ALL SELECT conv_id, turn FROM conversations WHERE turn % 2 = 1 AND conv_id % 3 = 0 UNION ALL SELECT conv_id, turn + 1000 FROM conversations WHERE turn = 0 AND conv_id % 10 = 0),
 n AS (SELECT conv_id, turn, count(*) AS n FROM m GROUP BY ALL), v AS (SELECT coalesce(c.conv_id, n.conv_id) AS conv_id, coalesce(c.turn, n.turn) AS turn, CASE WHEN c.conv_id IS NULL THEN 'unexpected' WHEN n.n IS NULL THEN 'missing' WHEN n.n > 1 THEN 'duplicate' END AS violation

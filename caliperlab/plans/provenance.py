@@ -67,7 +67,7 @@ def roster_patches(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     name, patch = F.when(F.col("l_linenumber") != 2, F.concat(F.lit("f"), F.col("l_linenumber").cast("string"))), F.when(F.col("l_returnflag") != "R", F.concat(F.lit("+"), F.col("l_partkey").cast("string")))
     files = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", name.alias("filename"), patch.alias("patch")))).alias("files"))
-    roster = table(spark, sf, "orders").where("o_custkey % 20 <> 0").join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("title"), F.col("o_orderstatus").alias("own_title"))
+    roster = table(spark, sf, "orders").where("o_orderstatus <> 'P'").join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("title"), F.col("o_orderstatus").alias("own_title"))
     met = quality.required(roster, files.withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"])
     return met.select("o_orderkey", F.coalesce(F.nullif("title", F.lit("")), "own_title", F.lit("")).alias("title"), F.size("files").cast("long").alias("files"), F.md5(provenance.patch_text(F.col("files"))).alias("patch"))
 
@@ -91,11 +91,13 @@ def context_levels(spark: SparkSession, sf: str) -> DataFrame:
     touched = d.select("doc_id", n.alias("n"), F.inline(provenance.new_ranges(patch)))
     merged = ranges.merge_windows(touched, ["doc_id", "n"], 40, F.col("n")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("windows"))
     titled = F.concat(F.lit("### `"), k.cast("string"), F.lit("` ("), n.cast("string"), F.lit(" lines)\n"), numbered(200))
-    others = d.where("text <> ''").select("source", "change", k.alias("other"), F.length("text").alias("size"), titled.alias("shown"))
+    others = d.where("text <> ''").select("source", "change", k.alias("other"), F.length("text").alias("size"))
+    titles = d.where("text <> ''").select(k.alias("other"), titled.alias("shown"))
     near = d.select("doc_id", "source", "change").join(others, ["source", "change"]).where("doc_id <> other")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), "other"))
     shown = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "shown"))), lambda x: x.shown), "\n\n")
-    siblings = near.withColumn("place", place).where("place <= 4").groupBy("doc_id").agg(shown("place").alias("siblings"))
+    # texts join those that are shown
+    siblings = near.withColumn("place", place).where("place <= 4").select("doc_id", "other", "place").join(titles, "other").groupBy("doc_id").agg(shown("place").alias("siblings"))
     named = d.where("text <> '' and doc_id % 50 < 16").select("source", F.element_at(F.array(*[F.lit(x) for x in provenance.CONVENTIONS]), (k % 50 + 1).cast("int")).alias("path"), "doc_id")
     first = named.groupBy("source", "path").agg(F.min("doc_id").alias("doc_id"))
     chosen = quality.first_existing(first, "source", "path", provenance.CONVENTIONS, 3).join(first, ["source", "path"])
@@ -204,7 +206,7 @@ SELECT l_orderkey, md5(t) AS digest, length(t) AS chars FROM t""",
     "candidate_view": f"""WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 6 <> 0 AND text <> '' THEN text ELSE '?' END AS m, {_STRIPPED.format(x="text")} AS r FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN left(md5(CAST(doc_id AS VARCHAR)), 8) ELSE '?' END AS commit_short, left({_STRIPPED.format(x="replace(m, chr(10), ' ')")}, 120) AS commit_msg, CASE WHEN doc_id % 4 IN (0, 3) THEN '?' ELSE CAST(doc_id % 4 AS VARCHAR) END AS latency, md5(CASE WHEN length(r) > 280 THEN left(r, 280) || '...' ELSE r END) AS reasoning FROM d""",
     "roster_patches": """WITH f AS (SELECT l_orderkey, count(*) AS files, string_agg('### ' || CASE WHEN l_linenumber <> 2 THEN 'f' || l_linenumber ELSE '?' END || chr(10) || '+' || l_partkey, chr(10) || chr(10) ORDER BY l_linenumber, l_partkey) FILTER (l_returnflag <> 'R') AS patch FROM lineitem GROUP BY 1)
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS title, files, md5(coalesce(patch, '')) AS patch FROM orders JOIN f ON l_orderkey = o_orderkey WHERE o_custkey % 20 <> 0""",
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS title, files, md5(coalesce(patch, '')) AS patch FROM orders JOIN f ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'""",
     "convention_files": f"""WITH c AS (SELECT DISTINCT c_nationkey AS repo, (c_custkey * 7 % 40 + 1) % 16 + 1 AS p FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY p) AS k FROM c) SELECT repo, ({_LIST})[p] AS path, CAST(k AS INTEGER) AS place FROM r WHERE k <= 3""",
     "context_levels": f"""WITH d AS (SELECT doc_id, source, doc_id // 6 AS change, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 k AS (SELECT *, len(ls) AS n, {_CUT.format(n=400)} AS l400, {_CUT.format(n=200)} AS l200 FROM d), s AS (SELECT *, {_NUMBERED.format(x="l400")} AS n400, {_NUMBERED.format(x="l200")} AS n200 FROM k),

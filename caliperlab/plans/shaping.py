@@ -100,10 +100,10 @@ def array_summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 def nested_flatten(spark: SparkSession, sf: str) -> DataFrame:
     """One row a nested item of valid results; local ids out of range are dropped and mapped to turns."""
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.bool_or(F.col("role") == "assistant").alias("valid"))
     local = F.array(F.lit(1), F.lit(2), F.lit(9), F.lit(-1))
     ok = F.transform(F.filter(local, lambda i: (i >= 1) & (i <= F.size("turns"))), lambda i: F.element_at("turns", i))
-    return c.where("conv_id % 4 <> 0").select("conv_id", F.posexplode(ok).alias("i", "turn")).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.concat(F.lit("O"), (F.col("i") + 1).cast("string"))).alias("key"), "turn", F.lit("YES").alias("temporal_status"))
+    return c.where("valid").select("conv_id", F.posexplode(ok).alias("i", "turn")).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.concat(F.lit("O"), (F.col("i") + 1).cast("string"))).alias("key"), "turn", F.lit("YES").alias("temporal_status"))
 
 
 def reblame_preimage(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,8 +150,8 @@ SELECT CASE WHEN ext = '.rb' THEN 'skip_no_linter' WHEN o_totalprice IS NULL OR
 SELECT l_orderkey, l_linenumber, max(p) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most_before, count(CASE WHEN p % 2 = 0 THEN 1 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS even_so_far FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""",
     "array_summaries": """WITH g AS (SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS adds, CAST(sum(l_partkey) AS BIGINT) AS dels, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN '{"n":' || n || '}' ELSE 'as text' END AS fix, CASE WHEN l_orderkey % 2 = 0 THEN 'Context: {"n":' || n || '}' ELSE '' END AS wrapped FROM g""",
-    "nested_flatten": """WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE conv_id % 4 <> 0),
-k AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY r) AS i FROM c WHERE r IN (1, 2, 9)) SELECT conv_id || ':O' || i AS key, turn, 'YES' AS temporal_status FROM k""",
+    "nested_flatten": """WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n, bool_or(role = 'assistant') OVER (PARTITION BY conv_id) AS valid FROM conversations),
+k AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY r) AS i FROM c WHERE valid AND r IN (1, 2, 9)) SELECT conv_id || ':O' || i AS key, turn, 'YES' AS temporal_status FROM k""",
     "reblame_preimage": """WITH r AS (SELECT l_orderkey % 1000 AS diff, l_orderkey AS hunk, CASE l_returnflag WHEN 'R' THEN '-' ELSE '+' END AS op, CAST(l_partkey % 50 AS VARCHAR) AS content, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY l_linenumber, l_partkey) AS i FROM lineitem)
 SELECT a.diff, a.content, first(d.content ORDER BY a.hunk, a.i) AS preimage FROM r a JOIN r d ON a.hunk = d.hunk AND a.i = d.i AND a.op = '+' AND d.op = '-' GROUP BY ALL""",
     "tumbling_events": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

@@ -23,6 +23,8 @@ K = 20
 SHARD_NODES = 8192
 #: Edges of a node; beams of building and of searching; nodes of a beam that are followed at a time; factor of pruning.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, WIDTH, SLACK = 32, 48, 128, 4, 1.2
+#: Rounds of a search whose nodes are neighbours to propose, besides the nearest: those on the way from the start are far.
+TRAIL = 8
 #: Nodes that are inserted, or queries that are searched, at a time.
 BATCH = 256
 #: Queries that are sent to every worker at once: so many bytes of vectors; more are taken in rounds.
@@ -39,7 +41,8 @@ def _distances(x: np.ndarray, norms: np.ndarray, q: np.ndarray, at: np.ndarray)
 
 
 def beam(x: np.ndarray, norms: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, distances) of the `width` nearest nodes met for each row of q, nearest first; EMPTY where fewer were met."""
+    """For each row of q the `width` nearest nodes met, nearest first, and the first nodes that were followed; EMPTY where there were fewer."""
+    trail = []
     rows = np.arange(len(q))[:, None]
     near = np.full((len(q), width), EMPTY, np.int64)
     near[:, 0] = start
@@ -51,6 +54,8 @@ def beam(x: np.ndarray, norms: np.ndarray, edges: np.ndarray, start: int, q: np.
         pick = np.argsort(~open_, axis=1, kind="stable")[:, :WIDTH]
         wanted = np.where(np.take_along_axis(open_, pick, 1), np.take_along_axis(near, pick, 1), EMPTY)
         np.put_along_axis(open_, pick, False, 1)
+        if len(trail) < TRAIL:
+            trail.append(wanted)
         new = np.where(wanted[:, :, None] == EMPTY, EMPTY, edges[wanted]).reshape(len(q), -1)
         new = np.sort(new, axis=1)
         new[:, 1:][new[:, 1:] == new[:, :-1]] = EMPTY
@@ -64,11 +69,15 @@ def beam(x: np.ndarray, norms: np.ndarray, edges: np.ndarray, start: int, q: np.
         all_open = np.concatenate([open_, new != EMPTY], 1)
         order = np.argsort(all_far, axis=1, kind="stable")[:, :width]
         near, far, open_ = (np.take_along_axis(a, order, 1) for a in (all_near, all_far, all_open))
-    return near, far
+    return near, np.concatenate(trail, 1)
 
 
 def prune(x: np.ndarray, norms: np.ndarray, own: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """DEGREE edges at most for each node of `own` from its candidates `among`: nearest first, without those that a kept one covers."""
+    """DEGREE edges at most for each node of `own` from its candidates `among`: nearest first, without those that a kept one covers.
+
+    Those that are nearer to the node than to any kept one come first, however far, so that neighbours in a dense place don't take all
+    edges; what is left is filled under the relaxed rule.
+    """
     among = np.sort(among, axis=1)
     among[:, 1:][among[:, 1:] == among[:, :-1]] = EMPTY
     among[among == own[:, None]] = EMPTY
@@ -77,15 +86,18 @@ def prune(x: np.ndarray, norms: np.ndarray, own: np.ndarray, among: np.ndarray)
     among, far = np.take_along_axis(among, order, 1), np.take_along_axis(far, order, 1)
     vectors = x[among]
     between = norms[among][:, :, None] + norms[among][:, None, :] - 2 * np.matmul(vectors, vectors.transpose(0, 2, 1))
-    alive, rows = among != EMPTY, np.arange(len(own))
+    strict, relaxed, rows = among != EMPTY, among != EMPTY, np.arange(len(own))
     out = np.full((len(own), DEGREE), EMPTY, np.int64)
     for k in range(DEGREE):
+        alive = np.where(strict.any(1)[:, None], strict, relaxed)
         if not alive.any():
             break
         pick = np.argmax(alive, axis=1)
-        out[:, k] = np.where(alive[rows, pick], among[rows, pick], EMPTY)
-        alive &= (SLACK**2 * between[rows, pick] > far) | ~alive[rows, pick][:, None]
-        alive[rows, pick] = False
+        none = ~alive[rows, pick][:, None]
+        out[:, k] = np.where(none[:, 0], EMPTY, among[rows, pick])
+        strict = strict & ((between[rows, pick] > far) | none)
+        relaxed = relaxed & ((SLACK**2 * between[rows, pick] > far) | none)
+        strict[rows, pick] = relaxed[rows, pick] = False
     return out
 
 
@@ -126,8 +138,8 @@ def build(x: np.ndarray) -> tuple[np.ndarray, int]:
     done = 1
     while done < n:
         new = order[done : done + min(BATCH, done)]
-        near, _ = beam(x, norms, edges, start, x[new], BUILD_BEAM)
-        edges[new] = prune(x, norms, new, np.concatenate([near, edges[new]], 1))
+        near, trail = beam(x, norms, edges, start, x[new], BUILD_BEAM)
+        edges[new] = prune(x, norms, new, np.concatenate([near, trail], 1))
         _drawn_back(x, norms, edges, new)
         done += len(new)
     return edges[:n], start

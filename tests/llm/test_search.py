@@ -114,6 +114,22 @@ def test_nearest_of_copies_and_odd_vectors(spark):
     assert graph_search.nearest(df.limit(0), graph_search.indexed(df)).count() == 0 == graph_search.nearest(df, graph_search.indexed(df.limit(0))).count()
 
 
+def test_a_dense_cluster_takes_no_edges_from_the_rest():
+    """Ten of a hundred vectors are near-equal, at equal distances: the others are found as well as they are without those."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5000, 48))
+    x[:500] = x[0] + 0.05 * rng.normal(size=(500, 48))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    edges, start = graph_search.build(graph_search.lengthened(x))
+    row = {"nodes": x.tobytes(), "dim": 48, "wide": False, "id_counts": np.ones(len(x), "<i4").tobytes(), "ids": np.arange(len(x)).tobytes(), "edges": edges.astype("<i4").tobytes(), "start": start}
+    own = np.concatenate([np.arange(0, 500, 20), np.arange(500, 5000, 50)])
+    place, found, _ = graph_search.Shard(row).search(own, x[own].astype(float), 20)
+    score = x[own].astype(float) @ x.astype(float).T
+    score[np.arange(len(own)), own] = -9
+    shares = [len(set(found[place == i].tolist()) & set(np.argsort(-score[i])[:20].tolist())) / 20 for i in range(len(own))]
+    assert np.mean(shares[:25]) >= 0.95 and np.mean(shares[25:]) >= 0.95
+
+
 def test_vectors_of_64_bits_and_a_narrow_range(spark):
     df = spark.createDataFrame([(i, [1e300 * (i + 1), 1.0]) for i in range(5)] + [(9, [1e-300, 0.0])], "vec_id long, embedding array<double>")
     got = graph_search.nearest(df.where("vec_id = 9"), graph_search.indexed(df)).orderBy("rank").collect()

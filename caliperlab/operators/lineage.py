@@ -163,6 +163,36 @@ def with_ancestry(df: DataFrame, descendant: str, ancestor: str, into: str) -> D
     return df.withColumn(into, F.when(F.col(descendant).isNotNull(), F.coalesce(met, F.lit(False))))
 
 
+def newest_later(h: History, touches: DataFrame, by: list[str], newest: list[str], k: int) -> DataFrame:
+    """(repo, *by, ancestor, commit, rank): for each row of touches(repo, *by, commit, ..) the k newest of its group that come after its commit in the
+    history, by the columns `newest`, greatest first; equal ones by the greater commit. Commits that the history lacks are left out.
+
+    Each group keeps the k + 1 newest of each block of 1, 2, 4, .. numbers of the index, and a commit's spans are a few such blocks. So rows grow with
+    the touches, times the bits of a number, not with their pairs.
+    """
+    at = kept(h.index.select("repo", "commit", "pre", "spans").join(touches, ["repo", "commit"]), "touches")
+    bits = int(at.agg(F.coalesce(F.max(F.array_max(F.transform("spans", lambda x: x.hi))), F.lit(0))).first()[0]).bit_length()
+    levels = F.sequence(F.lit(0), F.lit(bits))
+    held = at.select("repo", *by, "commit", *newest, F.explode(F.transform(levels, lambda n: F.struct(n.alias("_level"), F.floor(F.col("pre") / F.pow(F.lit(2.0), n)).alias("_block")))).alias("_b")).select("*", "_b.*").drop("_b")
+    order = [F.desc(c) for c in newest] + [F.desc("commit")]
+    tops = held.withColumn("_r", F.row_number().over(Window.partitionBy("repo", *by, "_level", "_block").orderBy(*order))).where(F.col("_r") <= k + 1).drop("_r")
+
+    def blocks(span: Column) -> Column:
+        """The fewest blocks that make up a span: at each level at most its first and its last one."""
+
+        def at_level(n: Column) -> Column:
+            lo, hi = F.ceil(span.lo / F.pow(F.lit(2.0), n)), F.floor(span.hi / F.pow(F.lit(2.0), n))
+            block = lambda ok, x: F.when((lo < hi) & ok, F.struct(n.alias("_level"), x.alias("_block")))
+            return F.array(block(lo % 2 == 1, lo), block(hi % 2 == 1, hi - 1))
+
+        return F.filter(F.flatten(F.transform(levels, at_level)), lambda b: b.isNotNull())
+
+    asked = at.select("repo", *by, F.col("commit").alias("ancestor"), F.explode(F.array_distinct(F.flatten(F.transform("spans", blocks)))).alias("_b")).select("*", "_b.*").drop("_b")
+    met = asked.join(tops, ["repo", *by, "_level", "_block"]).where("commit <> ancestor")
+    rank = F.row_number().over(Window.partitionBy("repo", *by, "ancestor").orderBy(*order))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("repo", *by, "ancestor", "commit", "rank")
+
+
 def position_class(introducer: Column, merge: Column, in_merge: Column, parents: Column, in_second: Column, in_base: Column) -> Column:
     """Where the introducer of a line stands to a change; in_* tell ancestry, null where it is unknown."""
     merged = F.when(in_second == F.lit(False), "PRE_PR").when(in_base == F.lit(True), "PRE_PR").when(in_base == F.lit(False), "PR").otherwise("UNKNOWN")

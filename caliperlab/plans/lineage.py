@@ -42,15 +42,11 @@ def commit_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def descendant_touches(spark: SparkSession, sf: str) -> DataFrame:
-    """Newest three later commits of a customer that touch one of the first commit's parts' brands. Compares touches of one path only."""
+    """Newest three later commits of a customer that touch a path of an earlier one."""
     h = lineage.history(_parents(spark, sf))
     paths_ = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), (F.col("l_partkey") % 5).alias("path")).distinct()
-    dated = table(spark, sf, "orders").select(F.col("o_orderkey").alias("commit"), F.to_date("o_orderdate").alias("day"))
-    touched = h.index.select("repo", "commit", F.col("pre").alias("commit_pre"), F.col("spans").alias("commit_spans")).join(paths_, "commit")
-    roots = touched.withColumnsRenamed({"commit": "ancestor", "commit_pre": "ancestor_pre", "commit_spans": "ancestor_spans"})
-    both = lineage.with_ancestry(touched.join(dated, "commit").join(roots, ["repo", "path"]).where("commit <> ancestor"), "commit", "ancestor", "later").where("later")
-    rank = F.row_number().over(Window.partitionBy("ancestor", "path").orderBy(F.desc("day"), F.desc("commit")))
-    return both.withColumn("rank", rank).where("rank <= 3").select("ancestor", F.col("commit").alias("commit_"), "path", "rank")
+    dated = table(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("commit"), F.to_date("o_orderdate").alias("day"))
+    return lineage.newest_later(h, paths_.join(dated, "commit"), ["path"], ["day"], 3).select("ancestor", F.col("commit").alias("commit_"), "path", "rank")
 
 
 def _bases(spark: SparkSession, sf: str, parents: DataFrame) -> DataFrame:

@@ -117,6 +117,20 @@ def with_group(rows: DataFrame, groups: DataFrame, key: list[str], total: int) -
     return rows.join(large, key).unionByName(rest)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined to the one row that their key has in the stored table of narrow rows, where few keys may hold most rows.
+
+    A table of at most BROADCAST_ROWS rows is broadcast. Of a larger one the rows of large keys are, at most LARGE_GROUPS of them, and
+    only rows of other keys meet by key.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * LARGE_GROUPS >= rows.count())
+    large = F.broadcast(save(rows.sparkSession, sizes.select(key), "large-keys"))
+    hot = rows.join(large, key, "left_semi").join(F.broadcast(table.join(large, key, "left_semi")), key, how)
+    return hot.unionByName(rows.join(large, key, "left_anti").join(table, key, how))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

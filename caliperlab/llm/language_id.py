@@ -29,6 +29,8 @@ CALIBRATION_ROWS = 3000
 #: (language, n-gram) rows of a part of a model, which is built on the driver and sent to every worker. Only the n-grams of one
 #: character (as last but one) are never divided.
 PART_ROWS = 4_000_000
+#: A part's n-grams times all languages, at most so many times PART_ROWS: an n-gram takes a cell of each language, its own or not.
+ROW_LANGUAGES = 5
 #: Nats a character beyond the worst training text of a language before a text is rejected.
 SLACK = 1.0
 UNDETERMINED = "und"
@@ -293,7 +295,10 @@ def _by_language(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 def in_parts(counts: DataFrame, part_rows: int) -> Identifier | None:
     """An identifier of stored counts(lang, key, n); None without a row."""
     before = F.shiftrightunsigned("key", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    sizes = counts.groupBy(before.alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy("c").collect()
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    # a part is a table of its n-grams by all languages
+    n = F.greatest(F.sum("rows"), F.ceil(F.count(F.lit(1)) * (len(langs) / ROW_LANGUAGES)))
+    sizes = counts.groupBy(before.alias("c"), "key").agg(F.count(F.lit(1)).alias("rows")).groupBy("c").agg(n.alias("n")).orderBy("c").collect()
     if not sizes:
         return None
     cuts, held = [0], 0
@@ -303,7 +308,6 @@ def in_parts(counts: DataFrame, part_rows: int) -> Identifier | None:
             held = 0
         held += r["n"]
     parts = list(zip(cuts, [*cuts[1:], 1 << 16], strict=True))
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     out = Identifier(counts, langs, parts, judge=Judge(langs, bound=np.full(len(langs), np.inf)))
     if len(parts) > 1:
         out.discounts, table = {x: {} for x in langs}, counts

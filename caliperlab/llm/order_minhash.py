@@ -30,6 +30,8 @@ MINIMA, AGREE = 64, 34
 BLOCK = 1024
 #: Documents and words that a block of a family holds on average, at most; two blocks are compared in one group.
 FAMILY_BLOCK, FAMILY_WORDS = 256, 1_000_000
+#: Members of a group of several blocks that all its blocks are compared with at first.
+LEADERS = 4
 #: Words that the alignment takes at a time.
 STRIDE = 512
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, MINIMA), np.uint64)
@@ -240,13 +242,13 @@ def _aligned(threshold: float):
     """Forest edges of links among the documents of a family's blocks. A pair that links already join is not aligned."""
 
     def forest(part: pa.Table) -> np.ndarray:
-        rows = zip(*(part[c].to_pylist() for c in ("node", "h1", "h2", "block", "text")), strict=True)
+        rows = zip(*(part[c].to_pylist() for c in ("node", "h1", "h2", "block", "cls", "text")), strict=True)
         held: dict[int, tuple] = {}
-        for node, h1, h2, block, text in rows:
+        for node, h1, h2, block, cls, text in rows:
             if node not in held:
                 own = shingles.words([text])[0]
                 if content_hashes(own, text) == (h1, h2):  # else another text with the same id
-                    held[node] = block, own
+                    held[node] = block, own, cls
         if len(held) < 2:
             return np.zeros((0, 2), np.int64)
         nodes, words = np.array(list(held)), [x[1] for x in held.values()]
@@ -255,7 +257,8 @@ def _aligned(threshold: float):
         sizes, both = np.array([len(x) for x in words], np.float32), _shared_counts([labelled(x) for x in words])
         # aligned words are common, so pairs with too few common ones need no alignment
         able = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-3
-        root = list(range(len(words)))
+        first: dict[int, int] = {}
+        root = [first.setdefault(x[2], i) for i, x in enumerate(held.values())]
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -274,10 +277,64 @@ def _aligned(threshold: float):
     return forest
 
 
-def _in_blocks(df: DataFrame, width, carried: list[str]) -> DataFrame:
-    """Rows of df with (block, lo, hi): once for each pair of the `width` blocks of its group that holds the row's block."""
-    placed = df.withColumn("_w", width.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_w")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)))
-    return placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(*carried, "node", "block", "lo", "hi")
+def _dealt(df: DataFrame, block, others, carried: list[str]) -> DataFrame:
+    """Rows of df with (block, lo, hi): once for each pair of its `block` and one of `others`."""
+    placed = df.withColumn("block", block.cast("int")).withColumn("other", F.explode(others))
+    return placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(*carried, "block", "lo", "hi")
+
+
+def _part(width) -> F.Column:
+    return F.pmod(F.xxhash64("node"), width)
+
+
+def _led(wide: DataFrame, carried: list[str]) -> DataFrame:
+    """Up to LEADERS members of each wide group, drawn by their hashes."""
+    drawn = wide.groupBy("part", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(LEADERS)).alias("_s")).agg(F.min(F.struct(F.xxhash64(F.lit(5), "node").alias("_h"), "w", *carried)).alias("_l"))
+    return drawn.select("part", "_l.w", *[f"_l.{c}" for c in carried])
+
+
+def _against_rest(wide: DataFrame, label: DataFrame, carried: list[str]) -> DataFrame:
+    """Rows of wide(part, node, u, ..) with (cls, block, lo, hi), so that those outside a group's largest class meet all others.
+
+    A class is what `label` has joined. Members of the largest one don't meet each other: they are joined already.
+    """
+    spark = wide.sparkSession
+    classed = common.save(spark, wide.join(label, "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component"), "classed")
+    each = classed.groupBy("part", "cls").agg(F.count(F.lit(1)).alias("c"), F.sum("u").alias("u"))
+    most = each.groupBy("part").agg(F.max(F.struct("c", "cls", "u")).alias("top"), F.sum("u").alias("all"), F.count(F.lit(1)).alias("classes"))
+    split = most.where("classes > 1").select("part", F.col("top.cls").alias("main"), F.ceil("top.u").cast("int").alias("wm"), F.ceil(F.col("all") - F.col("top.u") - 1e-6).cast("int").alias("wr"))
+    placed = classed.join(common.small(common.save(spark, split, "largest")), "part")
+    wr, wm = F.greatest("wr", F.lit(1)), F.greatest("wm", F.lit(1))
+    in_main, columns = F.col("cls") == F.col("main"), ["part", "cls", *carried]
+    rest = _dealt(placed.where(~in_main), _part(wr), F.sequence(F.lit(0), wr + wm - 1), columns)
+    return rest.unionByName(_dealt(placed.where(in_main), wr + _part(wm), F.sequence(F.lit(0), wr - 1), columns))
+
+
+def _joined(members: DataFrame, wide: DataFrame, body: DataFrame, compare, name: str) -> DataFrame:
+    """Edges(a, b) that join what `compare` finds linked among the members(part, node, w, ..) of each group.
+
+    A group has w blocks. At first every member goes, with its row of body(node, ..), to its own block alone, where it meets the
+    block's members and the group's leaders. Of wide(part, node, w, u, ..), the stored members of groups of several blocks,
+    those that this leaves outside of their group's largest class then meet all others, so a group that hangs together is sent
+    about twice, whatever its size, and no pair that could join two classes is left out.
+    """
+    spark = members.sparkSession
+    carried = [c for c in members.columns if c not in ("part", "w", "u")]
+    columns, groups = ["part", "cls", *carried], ["part", "lo", "hi"]
+
+    def found(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(lambda it: _edges(it, groups, compare), "a long, b long")
+
+    alone = members.withColumn("cls", F.col("node"))
+    own = _dealt(alone, _part(F.col("w")), F.array(_part(F.col("w")).cast("int")), columns).join(body, "node")
+    if wide.isEmpty():
+        return common.save(spark, found(own).distinct(), name)
+    leaders = common.save(spark, _led(wide, carried).withColumn("cls", F.col("node")).join(body, "node"), "leaders")
+    bodies = [c for c in body.columns if c != "node"]
+    led = leaders.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).where(F.col("block") != _part(F.col("w"))).withColumn("lo", F.col("block")).withColumn("hi", F.col("block"))
+    first = common.save(spark, found(own.unionByName(led.select(*own.columns))).distinct(), name)
+    again = _against_rest(wide, components(first), carried).join(body, "node").select("part", "cls", *carried, "block", "lo", "hi", *bodies)
+    return common.save(spark, first.unionByName(found(again)).distinct(), name)
 
 
 def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -286,6 +343,8 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     A text is the words of its rows, known by two hashes; rep is its smallest id, class_id the smallest of its class, and
     is_head marks one text of each class, that of the smallest id.
     """
+    if not THRESHOLD <= threshold <= 1:
+        raise ValueError(f"sketches and signatures find pairs of a similarity of {THRESHOLD} to 1, not {threshold}")
     spark = docs.sparkSession
     common.ensure_workers(spark)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -296,23 +355,23 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     first = texts.select(F.col("rep").alias("doc_id"), "h1", "h2", "node")
     reps = real.where("n > 0").join(first, ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
     reps = common.save(spark, reps.select("node", "n", "keys", "sig"), "representatives")
-    buckets = reps.select("node", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    dealt = _in_blocks(buckets.join(shared, "key"), F.ceil(F.col("size") / BLOCK), ["key"])
-    keys = ["key", "lo", "hi"]
-    near = dealt.join(reps.select("node", "n", "sig"), "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _edges(it, keys, _agreeing), "a long, b long")
-    family = components(common.save(spark, near.distinct(), "agreeing")).withColumnRenamed("component", "family")
-    known = common.save(spark, family.join(reps.select("node", "n"), "node").join(texts.select("node", "rep", "h1", "h2"), "node"), "family")
-    sizes = known.groupBy("family").agg(F.greatest(F.count(F.lit(1)) / FAMILY_BLOCK, F.sum("n") / FAMILY_WORDS).alias("size"))
-    spread = _in_blocks(known.join(sizes, "family"), F.ceil("size"), ["family", "h1", "h2"])
+    buckets = reps.select("node", F.explode("keys").alias("part"))
+    shared = common.save(spark, buckets.groupBy("part").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
+    sized = common.with_group(buckets, shared, ["part"], SKETCHES * reps.count()).select("part", "node", F.ceil(F.col("members") / BLOCK).cast("int").alias("w"))
+    large = common.save(spark, shared.where(F.col("members") > BLOCK), "large-buckets")
+    wide = common.save(spark, buckets.join(common.small(large), "part").select("part", "node", F.ceil(F.col("members") / BLOCK).cast("int").alias("w"), F.lit(1 / BLOCK).alias("u")), "wide-buckets")
+    near = _joined(sized, wide, reps.select("node", "n", "sig"), _agreeing, "agreeing")
+    family = components(near).withColumnRenamed("component", "part")
+    u = F.greatest(F.lit(1 / FAMILY_BLOCK), F.col("n") / FAMILY_WORDS)
+    known = common.save(spark, family.join(reps.select("node", "n"), "node").join(texts.select("node", "rep", "h1", "h2"), "node").withColumn("u", u).drop("n"), "family")
+    large = common.save(spark, known.groupBy("part").agg(F.ceil(F.sum("u") - 1e-6).cast("int").alias("w")).where("w > 1"), "large-families")
+    sized = known.join(common.small(large), "part", "left").select("part", "node", "h1", "h2", F.coalesce("w", F.lit(1)).alias("w"), "u")
     wanted = common.small(known.select(F.col("rep").alias("doc_id"), "node"))
     bodies = plain.where("text is not null").join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "text"]).select("node", "text")
-    groups = ["family", "lo", "hi"]
-    links = spread.join(bodies, "node").repartition(*groups).sortWithinPartitions(*groups).mapInArrow(lambda it: _edges(it, groups, _aligned(threshold)), "a long, b long")
-    label = components(common.save(spark, links, "links"))
-    linked = label.join(texts, "node")
-    heads = linked.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("head"))
-    placed = linked.join(heads, "component").select("node", F.col("head.rep").alias("class_id"), (F.col("node") == F.col("head.node")).alias("is_head"))
+    links = _joined(sized, common.save(spark, sized.where("w > 1"), "wide-families"), bodies, _aligned(threshold), "links")
+    linked = common.save(spark, components(links).join(texts, "node"), "linked")
+    heads = common.save(spark, linked.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("head")), "heads")
+    placed = common.looked_up(linked, heads, "component").select("node", F.col("head.rep").alias("class_id"), (F.col("node") == F.col("head.node")).alias("is_head"))
     out = texts.join(placed, "node", "left").select("h1", "h2", "node", "members", "rep", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("is_head", F.lit(True)).alias("is_head"))
     return drawn, common.save(spark, out, "classes")
 
@@ -330,7 +389,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Neither step lists the pairs of a group. Members of a bucket whose signatures agree are joined by a forest; the
     components of all forests are families, which hold every candidate pair. The documents of a family are
     then compared by their whole texts, block against block, aligned where their common words allow the
-    threshold, and joined by a forest of links. A pair is left out only if links join it already.
+    threshold, and joined by a forest of links. A pair is left out only if links join it already. A group
+    of several blocks is first compared within them and with a few leaders, then what that leaves outside its largest
+    class with all the rest (see _joined). A threshold below THRESHOLD or above 1 raises ValueError: sketches are made for THRESHOLD.
     """
     drawn, classes = _classes(docs, threshold)
     real = drawn.where("doc_id is not null and h1 is not null").select("doc_id", "h1", "h2")

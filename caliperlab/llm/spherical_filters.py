@@ -217,8 +217,12 @@ def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFram
     different vectors are compared each. Rows with a null vec_id link with nothing and have a null component. A label that is no
     whole number is known by a 64-bit hash of its text. Other columns are ignored.
 
+    A threshold below THRESHOLD or above 1 raises ValueError: the filters are laid for THRESHOLD, and nearer vectors share more of them.
+
     What is sent once for each filter and block of a vector is the vector as it is stored (32-bit parts stay so) and its filters.
     """
+    if not THRESHOLD <= threshold <= 1:
+        raise ValueError(f"filters find links of a cosine of {THRESHOLD} to 1, not {threshold}")
     spark = vectors.sparkSession
     common.ensure_workers(spark)
     types = {f.name: f.dataType for f in vectors.schema}
@@ -249,7 +253,8 @@ def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFram
     joined = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = joined.join(classes.select(F.col("rep").alias("node"), "least"), "node")
-    named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("node").alias("rep"), "component_id")
+    least = common.save(spark, known.groupBy("component").agg(F.min("least").alias("component_id")), "vector-components")
+    named = common.looked_up(known, least, "component").select(F.col("node").alias("rep"), "component_id")
     judged = classes.join(links, "rep", "left").join(named, "rep", "left").select(*key, "members", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = common.with_group(own, common.save(spark, judged, "vector-judged"), key, own.count()).select("vec_id", "n_links", "component_id")
     rest = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -49,6 +49,8 @@ class Automaton:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
+        if library.decoder is not None:
+            raise ValueError(f"{path} names a decoder; labels of this automaton's arcs are joined by spaces")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.normalize = library.normalizer.normalize_str if library.normalizer else str

@@ -168,12 +168,16 @@ class _OneLanguage:
             return np.full(len(keys), self.floor)
         own, n, discount, contexts, totals, types = self.orders[k]
         lower = self.probability(k - 1, keys & np.uint64((1 << 16 * (k - 1)) - 1))
+        if not len(own):  # a part may hold nothing of a language
+            return lower
         at, c = _find(own, keys), _find(contexts, keys >> np.uint64(16))
         seen = np.where(at >= 0, np.maximum(n[at] - discount, 0), 0.0)
         return np.where(c >= 0, (seen + discount * types[c] * lower) / np.maximum(totals[c], 1), lower)
 
     def backoff(self, k: int, contexts: np.ndarray) -> np.ndarray:
         _, _, discount, own, totals, types = self.orders[k]
+        if not len(own):
+            return np.ones(len(contexts))
         c = _find(own, contexts)
         return np.where(c >= 0, discount * types[c] / np.maximum(totals[c], 1), 1.0)
 

@@ -363,12 +363,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
         use.pop(min(bad, key=lambda k: w[k]))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, reporting: Iterable[str] = REPORTING, addressing: Iterable[str] = ADDRESSING) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, reporting: Iterable[str] = REPORTING, addressing: Iterable[str] = ADDRESSING, quoted: float = 0.0) -> Model:
     """Lexicon and weights from at most fit_rows labelled rows of labels(doc_id, toxic) that are not held out.
 
     Rows with a null id, text or label teach nothing; of a doc_id with several labels the greatest counts, and rows of a repeated
     doc_id each teach. The lexicon has no bound of its own: it grows with the different words of those rows at most.
-    `reporting` and `addressing` are the words that tell quotation and address in a context window.
+    `reporting` and `addressing` are the words that tell quotation and address in a context window. The weight of quoted terms
+    is learned like the others, and may be below zero; where the rows hold none it is `quoted`, for each log(1 + odds) of them.
     Without a toxic row the lexicon is empty and every score near 0.
     """
     spark = docs.sparkSession
@@ -382,7 +383,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, reportin
     seen = rows.where("not first").mapInArrow(_features(spark.sparkContext.broadcast(model)), "toxic int, x array<double>").toArrow()
     y = seen["toxic"].to_numpy()
     if len(y) and 0 < y.sum() < len(y) and (model.words or model.stems):
-        model.weights, model.bias, model.scale = _logistic(np.stack(seen["x"].to_numpy(zero_copy_only=False)), (y == 1).astype(float))
+        x, at = np.stack(seen["x"].to_numpy(zero_copy_only=False)), FEATURES.index("quoted")
+        model.weights, model.bias, model.scale = _logistic(x, (y == 1).astype(float))
+        if not x[:, at].any():
+            model.weights[at] = quoted
     return model
 
 
@@ -425,7 +429,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def _scanner(model: Model) -> Scanner:
     """A worker's scanner of a model, which keeps what it learned of words from task to task."""
     kept = common.worker_memory("toxicity")
-    key = (tuple(sorted(model.words.items())), tuple(sorted(model.stems.items())), tuple(sorted(model.near.items())), model.reporting, model.addressing)
+    key = (tuple(sorted(model.words.items())), tuple(sorted(model.stems.items())), tuple(sorted(model.near.items())), tuple(sorted(model.plain)), model.reporting, model.addressing)
     if key not in kept:
         kept.clear()
         kept[key] = Scanner(model)

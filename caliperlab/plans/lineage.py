@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import blame, lineage
 from ..sources.folders import kept
-from ..sources.tables import table
+from ..sources.tables import stored, table
 
 
 def _parents(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,8 +94,8 @@ def _edits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     o = o.withColumn("rev", (F.row_number().over(order) - 1).cast("long")).withColumn("removed", F.floor((F.coalesce(F.lag("added").over(order), F.lit(-1)) + 1) / 2))
     before = F.coalesce(F.sum(F.col("added") - F.col("removed")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edits = o.withColumn("at", (F.col("commit") * 31) % (before - F.col("removed") + 1)).select("file", "rev", "commit", "at", "removed", "added")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    text = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), place.alias("i"), F.concat_ws(" ", "l_returnflag", "l_linestatus", (F.col("l_partkey") % 7).cast("string")).alias("content"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "_file", "_row"))
+    text = stored(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), place.alias("i"), F.concat_ws(" ", "l_returnflag", "l_linestatus", (F.col("l_partkey") % 7).cast("string")).alias("content"))
     return edits, text.join(edits, "commit").select("file", "rev", "commit", "i", (F.col("at") + F.col("i")).alias("no"), "content")
 
 

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with each row's place in it, `_file` and `_row`: what an order leaves open goes by that."""
+    df = table(spark, sf_dir, name)
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as change requests: stratum (nation, priority), day, churn (price) and files (lines)."""
     orders, customer, lines = (table(spark, sf_dir, x) for x in ("orders", "customer", "lineitem"))

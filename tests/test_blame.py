@@ -94,3 +94,22 @@ def test_near_groups(spark):
     rows = [(g, rng.random() < 0.5, s := rng.randint(0, 4000), s + rng.randint(0, 300)) for g in range(60) for _ in range(rng.randint(1, 5))]
     got = {r["g"] for r in intervals.near_groups(spark.createDataFrame(rows, "g int, x boolean, s long, e long"), ["g"], F.col("x"), 50).collect()}
     assert got == {x[0] for x in rows for y in rows if x[0] == y[0] and x[1] and not y[1] and (abs(x[2] - y[2]) <= 50 or abs(x[3] - y[3]) <= 50)}
+
+
+def test_tied_lines_stand_as_in_the_table(spark, tmp_path):
+    """Lines of one number and part go by file and row, however the files are dealt to tasks: large files are read first."""
+    import datetime
+
+    from caliperlab.plans import lineage
+
+    day = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(0, 1, "O", 1.0, day, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string"
+    for i, (flag, more) in enumerate((("N", 0), ("A", 5000), ("R", 90_000))):
+        one = spark.createDataFrame([(0, 1, 7, flag, "O")], kinds)
+        one.unionByName(spark.range(more).selectExpr("id + 1 as l_orderkey", "1 as l_linenumber", "id as l_partkey", "'A' as l_returnflag", "'F' as l_linestatus")).coalesce(1).write.parquet(f"{tmp_path}/parts/{i}")
+        (part,) = (tmp_path / "parts" / str(i)).glob("part-*.parquet")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        part.rename(tmp_path / "lineitem.parquet" / f"part-{i}.parquet")
+    lines = lineage._edits(spark, str(tmp_path))[1].where("commit = 0").orderBy("i").collect()
+    assert [r["content"][0] for r in lines] == ["N", "A", "R"]

@@ -97,17 +97,30 @@ LISTED_ISSUES, TITLE_CHARS = 3, 150
 
 def _middle_cut(x: Column, cut: tuple[int, int, int, str]) -> Column:
     most, head, tail, note = cut
-    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, head), F.lit(note), F.substring(x, -tail, tail))).otherwise(x)
+    by = lambda y: F.concat(F.substring(y, 1, head).cast("string"), F.lit(note), F.substring(y, -tail, tail).cast("string"))
+    # where each character is a byte, bytes are cut, without counting up to the places
+    return F.when(F.octet_length(x) <= most, x).when(F.octet_length(x) == F.length(x), by(x.cast("binary"))).when(F.length(x) > most, by(x)).otherwise(x)
 
 
-def fix_document(sha: Column, message: Column, day: Column, days: Column, bucket: Column, cases: Column, issues: Column, blind: bool) -> Column:
+def _fenced(title: str, x: Column) -> Column:
+    return F.when(x != "", F.concat(F.lit(f"\n\n{title}\n  ```diff\n"), x, F.lit("\n  ```"))).otherwise("")
+
+
+def case_steps(patch: Column, diff: Column) -> Column:
+    """The patch and the diff of a case as a fix's document shows them. Empty ones have no section."""
+    return F.concat(_fenced(PATCH_STEP, _middle_cut(patch, PATCH_CUT)), _fenced(DIFF_STEP, _middle_cut(diff, DIFF_CUT)))
+
+
+def fix_document(sha: Column, message: Column, day: Column, days: Column, bucket: Column, cases: Column, issues: Column, blind: bool, stepped: bool = False) -> Column:
     """The document of a fix: head, a section for each of cases (path, verdict, additions, deletions, patch, diff), and linked issues (number, title).
 
-    Blind documents leave out what tells the kind of a case. Empty patches and diffs have no section.
+    Blind documents leave out what tells the kind of a case. `stepped` cases have `steps`, made by case_steps, in place of patch and diff: a
+    full and a blind document then share them.
     """
-    nl, fence = F.lit("\n"), lambda title, x: F.when(x != "", F.concat(F.lit(f"\n\n{title}\n  ```diff\n"), x, F.lit("\n  ```"))).otherwise("")
+    nl = F.lit("\n")
+    steps = lambda c: c.steps if stepped else case_steps(c.patch, c["diff"])
     shape = lambda c: F.lit("") if blind else F.concat(F.lit(" (+"), c.additions.cast("string"), F.lit("/-"), c.deletions.cast("string"), F.lit(" lines) ["), c.verdict, F.lit("]"))
-    section = lambda c: F.concat(F.lit("\n  File: "), c.path, shape(c), fence(PATCH_STEP, _middle_cut(c.patch, PATCH_CUT)), fence(DIFF_STEP, _middle_cut(c["diff"], DIFF_CUT)))
+    section = lambda c: F.concat(F.lit("\n  File: "), c.path, shape(c), steps(c))
     latency = F.when(bucket != "unknown", F.concat(F.lit("\nLatency bucket: "), bucket)).otherwise("")
     head = F.concat(F.lit(f"\n{RULE}\n{FIX}"), F.substring(sha, 1, 10), F.lit("\nMessage: "), message, F.lit("\nDate: "), day, F.lit(" | Latency: "), F.coalesce(days.cast("string"), F.lit("?")), F.lit(" days after PR merge"), latency)
     files = F.concat(F.lit("\n\nFiles from this PR touched by this fix ("), F.size(cases).cast("string"), F.lit("):\n"), F.array_join(F.transform(cases, section), "\n"))

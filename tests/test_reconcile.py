@@ -74,3 +74,24 @@ def test_fix_documents(spark):
     assert "+" + "x" * 3499 + "\n... [TRUNCATED: PR patch too long, middle omitted] ...\n" + "x" * 2500 + "\n  ```\n\n  Linked issues:" in full
     assert full.endswith("    - #2: " + "t" * 150) and "STEP 3" not in full
     assert doc(True) == full.replace(" (+1/-2 lines) [SZZ_PASSED]", "")
+
+
+def test_fix_documents_gathers_lines_without_texts(spark):
+    from caliperlab.plans import reconcile as plans
+
+    plan = plans.fix_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("collect_list(") + len("collect_list(")
+    depth, end = 1, at
+    while depth:
+        depth += {"(": 1, ")": -1}.get(plan[end], 0)
+        end += 1
+    assert "repeat(" in plan and "repeat(" not in plan[at:end]
+    # nor is a text made below the aggregate
+    assert "repeat(" not in plan[plan.index("Join") :]
+
+
+def test_cut_by_bytes_is_the_cut_by_characters(spark):
+    rows = [("a" * n,) for n in (0, 9, 10, 11, 40)] + [("é" * n,) for n in (5, 9, 10, 11, 30)] + [("aé" * 20,), (None,)]
+    df = spark.createDataFrame(rows, "x string")
+    got = [r["y"] for r in df.select(provenance._middle_cut(F.col("x"), (10, 4, 3, "|")).alias("y")).collect()]
+    assert got == [x if x is None or len(x) <= 10 else x[:4] + "|" + x[-3:] for (x,) in rows]

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import intervals, ranges
+from ..operators import intervals, matching, ranges
+from ..sources.folders import kept
 from ..sources.tables import table
 
 
@@ -23,27 +24,26 @@ def shared_lines(spark: SparkSession, sf: str) -> DataFrame:
 def shared_line_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair of documents of one source that share stripped lines of over 5 characters, with how many.
 
-    Lines with the same holders are one class that counts for its lines. Pairs grow with the square of a line's holders.
+    Lines with the same holders are one class that counts for its lines. Pairs grow with the square of a line's holders; they are made in bounded blocks.
     """
-    keyed = _line_keys(spark, sf)
-    holders = keyed.groupBy("source", "line").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).where("size(docs) > 1")
-    classes = holders.groupBy("docs").agg(F.count(F.lit(1)).alias("n"))
-    second = classes.select("docs", "n", F.posexplode("docs").alias("i", "b")).where("i > 0")
-    pairs = second.select("n", "b", F.explode(F.expr("slice(docs, 1, i)")).alias("a"))
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    members = kept(_class_members(spark, sf), "holders")
+    return matching.member_pairs(members, "source", "class", "doc_id", "lines").select("a", "b", F.col("total").alias("shared"))
 
 
 def shared_line_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Shared lines as classes: lines with the same holders are one, named by its first line's digest, with a row a holder. The pairs of a class are
     all its holders with each other; rows grow with the holders, not with their pairs.
-
-    A class is known by the number of its holders and two sums of 64-bit hashes of them, so no row holds them all.
     """
+    return _class_members(spark, sf).select("class", "doc_id", "holders", "lines")
+
+
+def _class_members(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, class, doc_id, holders, lines). A class is known by the number of its holders and two sums of 64-bit hashes of them, so no row holds them all."""
     keyed = _line_keys(spark, sf)
     seen = [F.sum(F.xxhash64(F.lit(seed), "doc_id").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
     often = keyed.groupBy("source", "line").agg(F.count(F.lit(1)).alias("holders"), *seen).where("holders > 1")
     classes = often.groupBy("source", "holders", "h1", "h2").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("lines"))
-    return keyed.join(classes, ["source", "line"]).select(F.col("line").alias("class"), "doc_id", "holders", "lines")
+    return keyed.join(classes, ["source", "line"]).select("source", F.col("line").alias("class"), "doc_id", "holders", "lines")
 
 
 def _line_keys(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from caliperlab.operators import matching
 from caliperlab.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -37,3 +38,18 @@ def test_all_pairs_of_documents_that_share_lines(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["a"], r["b"]): r["shared"] for r in catalog.queries()["shared_line_pairs"](spark, str(tmp_path)).collect()}
     assert got == {(1, 2): 9, (1, 3): 9, (2, 3): 10, (1, 4): 1, (2, 4): 2, (3, 4): 2}
+
+
+def test_pairs_of_members_meet_in_blocks(spark, tmp_path):
+    """Blocks of three keys give the pairs of whole groups; documents without a source have none."""
+    rows = [(g, f"{g}{c}", k + 100 * i, c + 1) for i, g in enumerate("st") for c in range(5) for k in range(c, 20 - 2 * c)] + [(None, "x", 7, 1), (None, "x", 8, 1)]
+    want = {}
+    for g, c, k, w in rows:
+        for other in (x[2] for x in rows if g and x[:2] == (g, c) and x[2] > k):
+            want[k, other] = want.get((k, other), 0) + w
+    df = spark.createDataFrame(rows, "g string, c string, k long, w long")
+    for block in (3, 1000):
+        assert {(r["a"], r["b"]): r["total"] for r in matching.member_pairs(df, "g", "c", "k", "w", block).collect()} == want
+    docs = [(1, None, "a long line"), (2, None, "a long line"), (3, "s", "a long line"), (4, "s", "a long line")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalog.queries()["shared_line_pairs"](spark, str(tmp_path)).collect()] == [(3, 4, 1)]

@@ -65,13 +65,12 @@ def _placed_changes(spark: SparkSession, sf: str) -> tuple[lineage.History, Data
     h = lineage.history(p)
     own = _bases(spark, sf, p)
     for name in ("merge", "base", "second"):
-        own = lineage.placed(own, h, name)
+        own = lineage.placed(own, h, name).drop(f"{name}_spans")
     return h, kept(own.withColumn("base", F.when(F.col("base_pre").isNotNull(), F.col("base"))), "changes")
 
 
-def _classified(own: DataFrame, named: DataFrame) -> DataFrame:
-    """named(repo, merge, slot, introducer, introducer_spans) with the introducer's position to the merge."""
-    known = own.join(named, ["repo", "merge"])
+def _classified(known: DataFrame) -> DataFrame:
+    """Rows of changes with (slot, introducer, introducer_spans): the introducer's position to the merge."""
     for name in ("merge", "base", "second"):
         known = lineage.with_ancestry(known, name, "introducer", f"in_{name}")
     return known.select("repo", "merge", "slot", "introducer", lineage.position_class(F.col("introducer"), F.col("merge"), F.col("in_merge"), F.col("parents"), F.col("in_second"), F.col("in_base")).alias("position"))
@@ -79,11 +78,15 @@ def _classified(own: DataFrame, named: DataFrame) -> DataFrame:
 
 def _positions(spark: SparkSession, sf: str, h: lineage.History, own: DataFrame) -> DataFrame:
     """Each line of a merge names a commit of its customer's history, anywhere in it, or one that isn't in it. A line's number is its slot."""
-    slots = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("merge"), F.explode(F.array("l_linenumber", F.col("l_linenumber") + 1)).alias("slot")).distinct()
+    slots = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("merge")).agg(F.collect_set(F.struct("l_linenumber")).alias("n"))
+    slots = slots.select("merge", F.array_distinct(F.concat(F.transform("n", lambda x: x.l_linenumber), F.transform("n", lambda x: x.l_linenumber + 1))).alias("slots"))
+    numbers = Window.partitionBy("repo")
+    ranked = h.index.select("repo", F.row_number().over(numbers.orderBy("commit")).alias("rank"), F.col("commit").alias("introducer"), F.col("spans").alias("introducer_spans"))
     many = h.index.groupBy("repo").agg(F.count(F.lit(1)).alias("many"))
-    ranked = h.index.select("repo", F.row_number().over(Window.partitionBy("repo").orderBy("commit")).alias("rank"), F.col("commit").alias("introducer"), F.col("spans").alias("introducer_spans"))
-    asked = own.select("repo", "merge").join(slots, "merge").join(many, "repo").withColumn("rank", F.when((F.col("merge") + F.col("slot")) % 11 == 0, 0).otherwise((F.col("merge") * 7 + F.col("slot") * 13) % F.col("many") + 1))
-    return _classified(own, asked.join(ranked, ["repo", "rank"], "left").select("repo", "merge", "slot", "introducer", "introducer_spans"))
+    # what is known of a change goes along with its slots
+    asked = own.join(many, "repo").join(slots, "merge").withColumn("slot", F.explode("slots")).drop("slots")
+    rank = F.when((F.col("merge") + F.col("slot")) % 11 == 0, 0).otherwise((F.col("merge") * 7 + F.col("slot") * 13) % F.col("many") + 1)
+    return _classified(asked.withColumn("rank", rank).drop("many").join(ranked, ["repo", "rank"], "left"))
 
 
 def _edits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -173,7 +176,7 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     later = met.where("position = 'POST_MERGE' and not in_change").select("repo", "merge", "slot", F.col("introducer").alias("commit"))
     there = later.join(edits.where("added > 0").select("commit", "added"), "commit").withColumn("i", F.try_mod(F.col("slot") - 1, "added") + 1).join(text.select("commit", "i", "content"), ["commit", "i"])
     named = there.join(_former_writers(edits, text), ["repo", "commit", "content"]).select("repo", "merge", "slot", F.col("writer").alias("introducer"))
-    former = _classified(own, lineage.placed(named, h, "introducer").select("repo", "merge", "slot", "introducer", "introducer_spans"))
+    former = _classified(own.join(lineage.placed(named, h, "introducer").select("repo", "merge", "slot", "introducer", "introducer_spans"), ["repo", "merge"]))
     judged = met.join(former.select("merge", "slot", F.col("position").alias("earlier")), ["merge", "slot"], "left")
     return judged.select("merge", "introducer", "position", lineage.line_evidence(F.col("in_change"), F.col("position"), F.col("earlier")).alias("evidence"))
 

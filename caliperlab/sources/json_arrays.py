@@ -9,19 +9,18 @@ blocks at the commas of the array. An element that lies over a border is joined
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable, Iterator
+from functools import partial
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import folders
 
-#: A string that ends, one that doesn't, or a mark of structure; and the rest of a string that has begun before.
-_TOKEN, _REST = re.compile(r'"(?:[^"\\]|\\.)*"|"|[\[\]{},]', re.S), re.compile(r'(?:[^"\\]|\\.)*"', re.S)
-_STEP = {"[": 1, "{": 1, "]": -1, "}": -1}
 _BLOCKS = "path string, block long, delta_out int, delta_in int, in_out boolean, in_in boolean"
 _PIECES = "path string, block long, n long, begun boolean, ended boolean, text string"
 ROWS = 2000
@@ -34,22 +33,24 @@ def ensure_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
-def marks(text: str, inside: bool) -> Iterator[tuple[int, str]]:
-    """(place, mark) of the marks of structure outside strings; last ("string", place -1) where the text ends inside one."""
-    at = 0
-    if inside:
-        rest = _REST.match(text)
-        if not rest:
-            yield -1, "string"
-            return
-        at = rest.end()
-    for token in _TOKEN.finditer(text, at):
-        mark = token[0]
-        if mark == '"':
-            yield -1, "string"
-            return
-        if len(mark) == 1:
-            yield token.start(), mark
+#: What a byte of structure adds to the depth.
+_STEP = np.zeros(256, np.int8)
+_STEP[[ord("["), ord("{")]], _STEP[[ord("]"), ord("}")]] = 1, -1
+
+
+def lexed(data: bytes, inside: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(bytes, whether each stands in a string, whether the text ends inside one). A quote after an odd number of backslashes is none."""
+    b = np.frombuffer(data, np.uint8)
+    quotes = np.flatnonzero(b == ord('"'))
+    back = b == ord("\\")
+    if back.any() and len(quotes):
+        at = np.arange(len(b), dtype=np.int64)
+        other = np.maximum.accumulate(np.where(back, -1, at))
+        quotes = quotes[(quotes - 1 - np.where(quotes > 0, other[quotes - 1], -1)) % 2 == 0]
+    flips = np.zeros(len(b), np.int8)
+    flips[quotes] = 1
+    quoted = (np.cumsum(flips, dtype=np.int64) + inside) % 2 == 1
+    return b, quoted, bool(quoted[-1]) if len(b) else inside
 
 
 def _by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[str]]]:
@@ -71,29 +72,24 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each block does, for either beginning. A block comes in several batches: their sums are composed later, by n."""
     n, schema = 0, pa.schema([("path", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("delta_out", pa.int64()), ("delta_in", pa.int64()), ("in_out", pa.bool_()), ("in_in", pa.bool_())])
     for (path, block), texts in _by_block(batches):
-        ends = []
-        for start in (False, True):
-            delta, inside = 0, start
-            for text in texts:
-                ended = False
-                for _, mark in marks(text, inside):
-                    ended = mark == "string"
-                    delta += _STEP.get(mark, 0)
-                inside = ended
-            ends.append((delta, inside))
-        (d0, i0), (d1, i1) = ends
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((path, block, n, d0, d1, i0, i1), schema, strict=True)], schema=schema)
+        b, quoted, ended = lexed("".join(texts).encode(), False)
+        # begun inside a string, all that is outside is inside and the other way round
+        step = _STEP[b].astype(np.int64)
+        row = (path, block, n, int(step[~quoted].sum()), int(step[quoted].sum()), ended, not ended)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
         n += 1
 
 
-def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """The pieces that are whole elements, or those that go over the border of a block."""
     schema = pa.schema([("path", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("begun", pa.bool_()), ("ended", pa.bool_()), ("text", pa.string())])
     here, n, inside, depth, begun, parts = None, 0, False, 0, False, []
     out: list[tuple] = []
 
     def piece(ended: bool) -> None:
         nonlocal n, parts
-        out.append((*here, n, begun, ended, "".join(parts)))
+        if (begun and ended) == whole:
+            out.append((*here, n, begun, ended, b"".join(parts).decode()))
         n, parts = n + 1, []
 
     def told() -> pa.RecordBatch:
@@ -107,22 +103,21 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if here is not None and depth > 0:
                 piece(False)
             here, n, inside, depth, begun, parts = (path, block), 0, start_in, start_depth, False, []
-        for text in texts:
-            lo, ended = 0, False
-            for at, mark in marks(text, inside):
-                if mark == "string":
-                    ended = True
-                    break
-                if depth == 1 and mark in ",]":
-                    parts.append(text[lo:at])
-                    piece(True)
-                    begun, lo = True, at + 1
-                depth += _STEP.get(mark, 0)
-                if depth == 1 and mark == "[" and not begun:
-                    begun, lo, parts = True, at + 1, []
-            inside = ended
-            if depth > 0:
-                parts.append(text[lo:])
+        data, lo = "".join(texts).encode(), 0
+        b, quoted, inside = lexed(data, inside)
+        after = depth + np.cumsum(np.where(quoted, 0, _STEP[b]), dtype=np.int64)
+        if depth == 0 and not begun:
+            first = np.flatnonzero(~quoted & (b == ord("[")) & (after == 1))
+            if len(first):
+                begun, lo, parts = True, int(first[0]) + 1, []
+        cuts = np.flatnonzero(~quoted & (((b == ord(",")) & (after == 1)) | ((b == ord("]")) & (after == 0)))).tolist()
+        for at in cuts:
+            parts.append(data[lo:at])
+            piece(True)
+            begun, lo = True, at + 1
+        depth = int(after[-1])
+        if depth > 0:
+            parts.append(data[lo:])
         if len(out) >= ROWS:
             yield told()
     if here is not None and depth > 0:
@@ -149,11 +144,11 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
         return F.struct(F.when(acc.inside, s.in_in).otherwise(s.in_out).alias("inside"), (acc.depth + F.when(acc.inside, s.delta_in).otherwise(s.delta_out)).alias("depth"), starts.alias("starts"))
 
     starts = in_order.select("path", F.explode(F.aggregate("s", begin, step, lambda acc: acc.starts)).alias("b")).select("path", "b.block", F.col("b.inside").alias("start_in"), F.col("b.depth").alias("start_depth"))
-    pieces = scan.join(F.broadcast(starts), ["path", "block"], "left").select("value", "path", "block", "start_in", "start_depth").mapInArrow(_cut, _PIECES)
-    whole = pieces.where("begun and ended").select("path", "text")
+    placed = scan.join(F.broadcast(starts), ["path", "block"], "left").select("value", "path", "block", "start_in", "start_depth")
+    whole = placed.mapInArrow(partial(_cut, whole=True), _PIECES).select("path", "text")
     # a few a block: of what it begins with and of what it ends with
     order = Window.partitionBy("path").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, 0)
-    border = pieces.where("not (begun and ended)").withColumn("_of", F.sum(F.col("begun").cast("long")).over(order))
+    border = placed.mapInArrow(partial(_cut, whole=False), _PIECES).withColumn("_of", F.sum(F.col("begun").cast("long")).over(order))
     joined = border.groupBy("path", "_of").agg(F.array_sort(F.collect_list(F.struct("block", "n", "text"))).alias("p")).select("path", F.array_join("p.text", "").alias("text"))
     return whole.unionByName(joined).where(F.trim(F.translate("text", "\n\r\t", "")) != "")
 
@@ -167,8 +162,10 @@ def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def _bracketed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = True
     for batch in batches:
-        for text in batch["value"].to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array([("[" if first else ",") + text])], ["value"])
+        if batch.num_rows:
+            lines = pc.binary_join_element_wise("[" if first else ",", batch["value"].slice(0, 1), "")
+            rest = pc.binary_join_element_wise(",", batch["value"].slice(1), "")
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([lines, rest])], ["value"])
             first = False
     yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], ["value"])
 

@@ -4,6 +4,7 @@ import datetime
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from caliperlab.sources import json_arrays
@@ -97,3 +98,26 @@ def test_a_batch_that_failed_is_written_once(spark, tmp_path):
     ingest.ingest_new(stream, done, ["id"], state)
     got = [r["id"] for r in spark.read.parquet(done).collect()]
     assert sorted(got) == list(range(30))
+
+
+def test_arrays_are_cut_alike_from_any_block(spark, tmp_path):
+    """Quotes after runs of backslashes, braces in strings and letters beyond ASCII, in blocks of a few bytes; a batch of rows is written at once."""
+    rows = [(i, "\\" * (i % 4) + '"' * (i % 3) + "}],{[ é" + "\\" * (i % 3)) for i in range(400)]
+    json_arrays.write_arrays(spark.createDataFrame(rows, "i long, t string").coalesce(1), f"{tmp_path}/a")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in ("97", "5000", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            assert sorted(tuple(r) for r in json_arrays.read_array(spark, f"{tmp_path}/a", "i long, t string").collect()) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    data = b'"\\\\" , "a\\"b" , "'
+    _, quoted, ended = json_arrays.lexed(data, False)
+    assert ended and [at for at in range(len(data)) if data[at : at + 1] == b"," and not quoted[at]] == [5, 14]
+
+
+def test_many_rows_are_written_by_batches():
+    """A batch in gives a batch out: rows one by one took most of the time."""
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(1000)])], ["value"])
+    out = [b["value"].to_pylist() for b in json_arrays._bracketed([batch, batch.slice(0, 0), batch])]
+    assert [len(x) for x in out] == [1000, 1000, 1] and out[0][:2] == ["[0", ",1"] and out[1][0] == ",0" and out[2] == ["]"]

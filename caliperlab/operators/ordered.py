@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..sources.folders import kept
 
 
+#: Rows that a task of spread() takes on average, where there are many, and where there are few.
+TASK_ROWS, FEW_ROWS = 250_000, 20_000
+
+
+def spread(df: DataFrame, *by: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """df dealt by key to tasks of about `task_rows` rows, so what one holds doesn't grow with the table; what groups by the keys and more isn't dealt again."""
+    n, usual = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, -(-n // task_rows), min(usual, -(-n // FEW_ROWS))), *by)
+
+
 def bucketed(df: DataFrame, by: list[str], order: list[str], buckets: int | None = None) -> DataFrame:
     """df with `_bucket`, which grows with (by, order): ranges of about equal size, so a large group lies in many of them."""
     n = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import sampling
+from ..operators import ordered, sampling
 from ..sources.tables import table
 
 
@@ -25,10 +25,13 @@ def budget_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def top_siblings(spark: SparkSession, sf: str) -> DataFrame:
     """Each line's four largest siblings of its order that have content."""
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
-    rank = F.row_number().over(Window.partitionBy("l_orderkey", "a").orderBy(F.desc("q"), "l_linenumber"))
-    pairs = li.select("l_orderkey", F.col("l_linenumber").alias("a")).join(li, "l_orderkey").where("a <> l_linenumber and q >= 5")
-    return pairs.withColumn("rank", rank).where("rank <= 4").select("l_orderkey", "a", F.col("l_linenumber").alias("sibling"), "rank")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").where("l_orderkey is not null and l_linenumber is not null")
+    li = ordered.spread(lines, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+    own = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.when(F.col("q") >= 5, F.col("q")).desc_nulls_last(), "l_linenumber"))
+    # a line's four largest siblings are among its order's five largest; those after itself move up by one
+    first = F.collect_list(F.when((F.col("q") >= 5) & (F.col("own") <= 5), F.struct(F.col("own").alias("at"), F.col("l_linenumber").alias("sibling")))).over(Window.partitionBy("l_orderkey"))
+    pairs = li.withColumn("own", own).withColumn("first", first).select("l_orderkey", F.col("l_linenumber").alias("a"), "own", F.inline("first")).where("a <> sibling")
+    return pairs.withColumn("rank", F.col("at") - F.when(F.col("own") < F.col("at"), 1).otherwise(0)).where("rank <= 4").select("l_orderkey", "a", "sibling", "rank")
 
 
 def timeline(spark: SparkSession, sf: str) -> DataFrame:

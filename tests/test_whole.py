@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from caliperlab.operators import matching
+from caliperlab.operators import matching, ordered
 from caliperlab.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -53,3 +53,21 @@ def test_pairs_of_members_meet_in_blocks(spark, tmp_path):
     docs = [(1, None, "a long line"), (2, None, "a long line"), (3, "s", "a long line"), (4, "s", "a long line")]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in catalog.queries()["shared_line_pairs"](spark, str(tmp_path)).collect()] == [(3, 4, 1)]
+
+
+def test_tasks_grow_with_rows(spark):
+    """What one task takes stays the same for larger tables; grouping by more keys deals nothing again."""
+    df = spark.range(1_000_000).selectExpr("id % 1000 as k", "id")
+    for rows, tasks in ((250_000, 4), (50_000, 20)):
+        dealt = ordered.spread(df, "k", task_rows=rows)
+        assert dealt.rdd.getNumPartitions() == tasks
+    assert dealt.groupBy("k", "id").count().drop("count")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_siblings_where_lines_have_little(spark, tmp_path):
+    """Six lines, one under the limit, one without a number: each of the others has its four largest siblings, moved up after itself."""
+    rows = [(1, n, float(q)) for n, q in ((1, 9), (2, 9), (3, 30), (4, 20), (5, 10), (6, 2))] + [(1, None, 99.0), (2, 1, 7.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["a"], r["rank"]): r["sibling"] for r in catalog.queries()["top_siblings"](spark, str(tmp_path)).collect()}
+    order = [3, 4, 5, 1, 2]
+    assert got == {(a, i + 1): s for a in range(1, 7) for i, s in enumerate([x for x in order if x != a][:4])}

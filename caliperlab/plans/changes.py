@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import intervals, matching, ranges
+from ..operators import intervals, matching, ordered, ranges
 from ..sources.folders import kept
 from ..sources.tables import table
 
@@ -79,7 +79,7 @@ def merge_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _diffs(spark: SparkSession, sf: str) -> DataFrame:
     """A small diff for each order, made from its lines: kept, deleted and added ones in two hunks."""
-    li = table(spark, sf, "lineitem")
+    li = ordered.spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"), "l_orderkey")
     sign = F.when(F.col("l_returnflag") == "R", "-").when(F.col("l_returnflag") == "A", "+").otherwise(" ")
     line = F.concat(sign, F.lit("part "), F.col("l_partkey").cast("string"))
     rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", line.alias("t")))).alias("x"))
@@ -103,9 +103,9 @@ def changed_lines(spark: SparkSession, sf: str) -> DataFrame:
 def hunk_annotations(spark: SparkSession, sf: str) -> DataFrame:
     """Hunks with a deleted line, each line after its mark: ``>>`` where an added line of the diff has its text."""
     d = ranges.diff_lines(_diffs(spark, sf), ["l_orderkey"]).where("op <> '\\\\'")
-    added = d.where("op = '+'").select("l_orderkey", "text").distinct().withColumn("hit", F.lit(True))
-    touched = d.where("op = '-'").select("l_orderkey", "hunk").distinct()
-    marked = d.join(touched, ["l_orderkey", "hunk"], "left_semi").join(added, ["l_orderkey", "text"], "left")
+    # one row a line all the way: what else the hunk and the diff hold is seen from it
+    some = lambda op, *by: F.coalesce(F.bool_or(F.col("op") == op).over(Window.partitionBy("l_orderkey", *by)), F.lit(False))
+    marked = d.withColumn("hit", some("+", "text")).withColumn("touched", some("-", "hunk")).where("touched")
     line = F.concat(F.when((F.col("op") == "-") & F.col("hit"), ">> ").otherwise("   "), F.col("op"), F.col("text"))
     shown = marked.groupBy("l_orderkey", "hunk").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("t")))).alias("x"))
     return shown.select("l_orderkey", F.col("hunk").cast("int").alias("hunk"), F.array_join(F.transform("x", lambda r: r.t), "\n").alias("shown"))

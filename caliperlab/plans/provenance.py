@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, provenance, text
-from ..operators import quality, ranges
+from ..operators import ordered, quality, ranges
 from ..sources import folders, readers
 from ..sources.tables import table
 from .changes import _DIFF_ROWS, _diffs
@@ -78,6 +78,10 @@ def convention_files(spark: SparkSession, sf: str) -> DataFrame:
     return quality.first_existing(c, "repo", "path", provenance.CONVENTIONS, 3)
 
 
+#: Tasks that the documents of one source may lie in where they meet its conventions; texts that a task takes.
+DEALS, TASK_TEXTS = 64, 1000
+
+
 def context_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Context of growing size for a document as a changed file: none, windows around its hunks, the numbered file, with up to
     four others of its change, with up to three convention files of its source; each within its budget of characters.
@@ -92,7 +96,9 @@ def context_levels(spark: SparkSession, sf: str) -> DataFrame:
     merged = ranges.merge_windows(touched, ["doc_id", "n"], 40, F.col("n")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("windows"))
     titled = F.concat(F.lit("### `"), k.cast("string"), F.lit("` ("), n.cast("string"), F.lit(" lines)\n"), numbered(200))
     others = d.where("text <> ''").select("source", "change", k.alias("other"), F.length("text").alias("size"))
-    titles = d.where("text <> ''").select(k.alias("other"), titled.alias("shown"))
+    # texts are much work: tasks take few of them, however large a file's parts are
+    few = ordered.spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id", task_rows=TASK_TEXTS).where("text is not null")
+    titles = few.where("text <> ''").select(k.alias("other"), titled.alias("shown"))
     near = d.select("doc_id", "source", "change").join(others, ["source", "change"]).where("doc_id <> other")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), "other"))
     shown = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "shown"))), lambda x: x.shown), "\n\n")
@@ -103,9 +109,15 @@ def context_levels(spark: SparkSession, sf: str) -> DataFrame:
     chosen = quality.first_existing(first, "source", "path", provenance.CONVENTIONS, 3).join(first, ["source", "path"])
     held = chosen.join(d.select("doc_id", F.concat(F.lit("` ("), n.cast("string"), F.lit(" lines)\n"), numbered(200)).alias("body")), "doc_id").withColumn("shown", F.concat(F.lit("### `"), F.col("path"), F.col("body")))
     conventions = held.groupBy("source").agg(shown("place").alias("conventions"))
-    all_ = d.join(merged, "doc_id", "left").join(siblings, "doc_id", "left").join(conventions, "source", "left")
-    l3 = numbered(400)
+    # a source's documents meet its conventions in many tasks
+    dealt = conventions.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+    all_ = few.join(merged, "doc_id", "left").join(siblings, "doc_id", "left").withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEALS))).join(dealt, ["source", "deal"], "left")
+    # each is made once, and the longer ones from it
+    all_ = all_.withColumn("l3", numbered(400))
+    l3 = F.col("l3")
     l4 = F.concat(l3, F.coalesce(F.concat(F.lit("\n\n## Other files changed in this PR\n"), F.col("siblings")), F.lit("")))
+    all_ = all_.withColumn("l4", l4)
+    l4 = F.col("l4")
     l5 = F.concat(l4, F.coalesce(F.concat(F.lit("\n\n## Repository conventions / documentation\n"), F.col("conventions")), F.lit("")))
     l2 = F.coalesce(provenance.rendered(F.col("text"), F.col("windows")), F.lit(""))
     level = lambda name, x, most: F.struct(F.lit(name).alias("level"), provenance.within_budget(x, most).alias("t"))

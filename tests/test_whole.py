@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from caliperlab.operators import matching, ordered
-from caliperlab.plans import catalog
+from caliperlab.plans import catalog, provenance
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -71,3 +71,11 @@ def test_siblings_where_lines_have_little(spark, tmp_path):
     got = {(r["a"], r["rank"]): r["sibling"] for r in catalog.queries()["top_siblings"](spark, str(tmp_path)).collect()}
     order = [3, 4, 5, 1, 2]
     assert got == {(a, i + 1): s for a in range(1, 7) for i, s in enumerate([x for x in order if x != a][:4])}
+
+
+def test_texts_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Contexts are made of 20 documents a task where that is asked for, and the numbered file once for the three levels that show it."""
+    monkeypatch.setattr(provenance, "TASK_TEXTS", 20)
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    plan = rows(spark, "context_levels")._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-n // 20)}), REPARTITION_BY_NUM" in plan

@@ -2,15 +2,20 @@
 
 A diff maps line numbers after it to line numbers before it, or to its own added lines: a few pieces, each a range and a shift. Maps of
 successive diffs compose to a map of the same kind; so maps of 1, 2, 4, .. revisions are made of pairs, and a line is traced to its origin in as many steps as
-the number of its revision has bits. Neither a file nor its lines are ever rebuilt.
+the number of its revision has bits. Neither a file nor its lines are ever rebuilt, but for former_writers() of small files: a task replays these one after the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import drop, kept
+from ..sources.json_arrays import ensure_workers
 from .intervals import overlap_join
 from .lineage import preorder
 
@@ -95,13 +100,110 @@ def lives(edits: DataFrame, lines: DataFrame) -> DataFrame:
     return lines.join(ends, ["file", "rev", "no"], "left").withColumn("_key", key(F.col("rev"), F.col("no"))).join(places, ["file", "_key"]).drop("_key")
 
 
-def former_writers(edits: DataFrame, lines: DataFrame) -> DataFrame:
-    """(file, rev, content, preimage, writer) of each content that a revision added in place of another line.
+#: Hunks, added and removed lines of a file that is replayed; larger ones are traced in rounds over all tasks. Rows that a task replays on average.
+SMALL_ROWS, REPLAY_ROWS = 2000, 500_000
+
+
+def former_writers(edits: DataFrame, lines: DataFrame, name: str = "rev", small_rows: int = SMALL_ROWS) -> DataFrame:
+    """(file, <name>, content, preimage, writer) of each content that a revision added in place of another line.
 
     The line it replaced is the removed one of the same place in its hunk: of lines of that content the first, in the first hunk, that
-    has one. The writer is the revision that wrote the first line of that content in the file before.
+    has one. The writer is the revision that wrote the first line of that content in the file before. Revisions are given by the column `name` of edits.
     """
-    edits, lines = kept(edits, "edits"), kept(lines, "lines")
+    edits, lines = edits.where("file is not null"), lines.where("file is not null")
+    sizes = edits.groupBy("file").agg((F.count(F.lit(1)) + F.sum(F.col("added") + F.col("removed"))).alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    tasks = max(int(edits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // REPLAY_ROWS))
+    if (most or 0) <= small_rows:
+        return _replayed(edits, lines, name, tasks)
+    # nothing else is as large, so there are few of them
+    wide = kept(sizes.where(F.col("n") > small_rows).select("file"), "wide")
+    small, large = ((e, ls) for e, ls in ([x.join(wide, "file", how) for x in (edits, lines)] for how in ("left_anti", "left_semi")))
+    return _traced_writers(*large, name).unionByName(_replayed(*small, name, tasks))
+
+
+def _replayed(edits: DataFrame, lines: DataFrame, name: str, tasks: int) -> DataFrame:
+    """former_writers of small files: a task holds one file at a time, of it the lines before and after a revision."""
+    ensure_workers(edits.sparkSession)
+    kinds = dict(edits.dtypes)
+    none = F.lit(None)
+    hunks = edits.select("file", "rev", F.lit(0).alias("part"), F.col("at").cast("long").alias("n"), F.col("removed").cast("long").alias("removed"), F.col("added").cast("long").alias("added"), none.cast("string").alias("content"), F.col(name).alias("name"))
+    added = lines.select("file", "rev", F.lit(1).alias("part"), F.col("no").cast("long").alias("n"), F.lit(0).cast("long").alias("removed"), F.lit(0).cast("long").alias("added"), "content", none.cast(kinds[name]).alias("name"))
+    rows = hunks.unionByName(added).repartition(tasks, "file").sortWithinPartitions("file", "rev", "part", "n")
+    return rows.mapInArrow(_replay, f"file {kinds['file']}, `{name}` {kinds[name]}, content string, preimage string, writer {kinds[name]}")
+
+
+def _replay(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: tuple[list, ...] = ([], [], [], [], [])
+    file, rev, own, hunks, added, texts, births = None, None, None, [], {}, [], []
+
+    def revise() -> None:
+        """Take the revision that has been read into the file."""
+        nonlocal texts, births
+        new_texts, new_births, done, seen = [], [], 0, set()
+        for at, removed, n in hunks:
+            # lines from before all revisions are unknown
+            if (short := at + removed - len(texts)) > 0:
+                texts, births = texts + [None] * short, births + [None] * short
+            new_texts += texts[done:at]
+            new_births += births[done:at]
+            lines = [added.get(len(new_texts) + i + 1) for i in range(n)]
+            for content, before in zip(lines, texts[at : at + removed], strict=False):
+                if content is not None and content not in seen:
+                    seen.add(content)
+                    if before is not None:
+                        for x, v in zip(out, (file, own, content, before, births[texts.index(before)]), strict=True):
+                            x.append(v)
+            new_texts += lines
+            new_births += [own] * n
+            done = at + removed
+        texts, births = new_texts + texts[done:], new_births + births[done:]
+
+    kinds = ()
+    for batch in batches:
+        field = lambda c: batch.schema.field(c).type  # noqa: E731, B023
+        kinds = field("file"), field("name"), pa.string(), pa.string(), field("name")
+        # only hunks are named
+        named = iter(_values(batch["name"].filter(pc.equal(batch["part"], 0))))
+        for f, r, part, n, removed, n_added, content in zip(*(_values(batch[c]) for c in ("file", "rev", "part", "n", "removed", "added", "content")), strict=True):
+            if f != file or r != rev:
+                if hunks:
+                    revise()
+                if f != file:
+                    texts, births = [], []
+                file, rev, own, hunks, added = f, r, None, [], {}
+            if part == 0:
+                own = next(named)
+                hunks.append((n, removed, n_added))
+            else:
+                added[n] = content
+        if len(out[0]) >= 10_000:
+            yield _batch(out, kinds)
+    if hunks:
+        revise()
+    if out[0]:
+        yield _batch(out, kinds)
+
+
+def _values(column: pa.Array) -> list:
+    """to_pylist, faster for texts and whole numbers."""
+    if pa.types.is_string(column.type) or (pa.types.is_integer(column.type) and not column.null_count):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+def _batch(out: tuple[list, ...], kinds: tuple) -> pa.RecordBatch:
+    """The rows of out, which is empty after that."""
+    made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [f"c{i}" for i in range(len(out))])
+    for x in out:
+        x.clear()
+    return made
+
+
+def _traced_writers(edits: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """former_writers of large files, in rounds over all tasks."""
+    names = kept(edits.select("file", "rev", F.col(name).alias("_name")).distinct(), "names")
+    edits, lines = kept(edits.select("file", "rev", "at", "removed", "added"), "edits"), kept(lines.select("file", "rev", "no", "content"), "lines")
     known = kept(lives(edits, lines), "lives")
     here = Window.partitionBy("file", "rev").orderBy("at")
     shift = F.sum(F.col("added") - F.col("removed")).over(here) - (F.col("added") - F.col("removed"))
@@ -116,4 +218,8 @@ def former_writers(edits: DataFrame, lines: DataFrame) -> DataFrame:
     stood = known.select("file", F.col("content").alias("preimage"), F.col("rev").alias("_birth"), (F.coalesce("death", F.lit(END)) - 1).alias("_last"), "place")
     before = pairs.select("file", "preimage", (F.col("rev") - 1).alias("_at")).distinct().withColumn("_to", F.col("_at"))
     first = overlap_join(before, stood, ["file", "preimage"], ("_at", "_to"), ("_birth", "_last")).groupBy("file", "preimage", "_at").agg(F.min_by("_birth", "place").alias("writer"))
-    return pairs.withColumn("_at", F.col("rev") - 1).join(first, ["file", "preimage", "_at"], "left").select("file", "rev", "content", "preimage", "writer")
+    found = pairs.withColumn("_at", F.col("rev") - 1).join(first, ["file", "preimage", "_at"], "left")
+    if name == "rev":
+        return found.select("file", "rev", "content", "preimage", "writer")
+    writers = names.select("file", F.col("rev").alias("writer"), F.col("_name").alias("_writer"))
+    return found.join(names, ["file", "rev"]).join(writers, ["file", "writer"], "left").select("file", F.col("_name").alias(name), "content", "preimage", F.col("_writer").alias("writer"))

@@ -96,7 +96,7 @@ def _edits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf, "orders").join(n, "o_orderkey", "left").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("commit"), "o_orderdate", F.coalesce("added", F.lit(0)).cast("long").alias("added"))
     o = o.withColumn("rev", (F.row_number().over(order) - 1).cast("long")).withColumn("removed", F.floor((F.coalesce(F.lag("added").over(order), F.lit(-1)) + 1) / 2))
     before = F.coalesce(F.sum(F.col("added") - F.col("removed")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edits = o.withColumn("at", (F.col("commit") * 31) % (before - F.col("removed") + 1)).select("file", "rev", "commit", "at", "removed", "added")
+    edits = kept(o.withColumn("at", (F.col("commit") * 31) % (before - F.col("removed") + 1)).select("file", "rev", "commit", "at", "removed", "added"), "edits")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "_file", "_row"))
     text = stored(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), place.alias("i"), F.concat_ws(" ", "l_returnflag", "l_linestatus", (F.col("l_partkey") % 7).cast("string")).alias("content"))
     return edits, text.join(edits, "commit").select("file", "rev", "commit", "i", (F.col("at") + F.col("i")).alias("no"), "content")
@@ -120,10 +120,7 @@ rw AS (SELECT rp.file AS repo, rp.commit_, rp.content, rp.preimage, w.commit_ AS
 
 def _former_writers(edits: DataFrame, lines: DataFrame) -> DataFrame:
     """(repo, commit, content, preimage, writer), writers by commit."""
-    named = edits.select(F.col("file").alias("repo"), F.col("rev").alias("writer_rev"), F.col("commit").alias("writer"))
-    own = edits.select(F.col("file").alias("repo"), "rev", "commit")
-    f = blame.former_writers(edits.drop("commit"), lines.select("file", "rev", "no", "content")).withColumnsRenamed({"file": "repo", "writer": "writer_rev"})
-    return f.join(own, ["repo", "rev"]).join(named, ["repo", "writer_rev"], "left").select("repo", "commit", "content", "preimage", "writer")
+    return blame.former_writers(edits, lines.select("file", "rev", "no", "content"), "commit").withColumnRenamed("file", "repo")
 
 
 def reblame_writers(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,7 +166,8 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence of each deleted line of a traced change, from the position classes of its introducer and, where that came after the merge,
     of who wrote the line's former self: what the introducer's own line of that number replaced in the customer's file."""
     li, (h, own) = table(spark, sf, "lineitem"), _placed_changes(spark, sf)
-    edits, text = (kept(x, "edits") for x in _edits(spark, sf))
+    edits, text = _edits(spark, sf)
+    text = kept(text, "lines")
     pos = kept(_positions(spark, sf, h, own), "positions")
     lines = li.groupBy(F.col("l_orderkey").alias("merge"), F.col("l_linenumber").alias("slot")).agg(F.max(F.col("l_quantity") > 25).alias("in_change"))
     met = lines.join(pos, ["merge", "slot"])

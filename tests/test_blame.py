@@ -113,3 +113,54 @@ def test_tied_lines_stand_as_in_the_table(spark, tmp_path):
         part.rename(tmp_path / "lineitem.parquet" / f"part-{i}.parquet")
     lines = lineage._edits(spark, str(tmp_path))[1].where("commit = 0").orderBy("i").collect()
     assert [r["content"][0] for r in lines] == ["N", "A", "R"]
+
+
+def brute_writers(edits, lines, states):
+    want, by_rev, texts = {}, {}, {(f, r, no): c for f, r, no, c in lines}
+    for f, r, *hunk in edits:
+        by_rev.setdefault((f, r), []).append(hunk)
+    for (f, r), hunks in by_rev.items():
+        before, delta = states.get((f, r - 1), []), 0
+        for at, removed, added in sorted(hunks):
+            for i in range(min(removed, added)):
+                old = before[at + i][2]
+                want.setdefault((f, f"c{r}", texts[f, r, at + delta + i + 1]), (old, "c" + str(next(b for b, _, x in before if x == old))))
+            delta += added - removed
+    return want
+
+
+@pytest.mark.parametrize("small_rows", [10**6, 120, 0])
+def test_small_files_are_replayed_as_large_ones_are_traced(spark, small_rows):
+    """All files replayed, some, and none; revisions by name, files of different sizes, one without a number."""
+    edits, lines, states = [], [], {}
+    for n, (revisions, hunks) in enumerate([(30, 3), (9, 2), (3, 1), (14, 1)]):
+        e, ls, s = history(11 + n, 1, revisions, hunks)
+        edits += [(n, *x[1:]) for x in e]
+        lines += [(n, *x[1:]) for x in ls]
+        states |= {(n, r): now for (_, r), now in s.items()}
+    e, ls = frames(spark, edits + [(None, 0, 0, 0, 1)], lines + [(None, 0, 1, "a")])
+    named = e.withColumn("commit", F.concat(F.lit("c"), F.col("rev")))
+    got = blame.former_writers(named, ls, "commit", small_rows).collect()
+    want = brute_writers(edits, lines, states)
+    assert len(got) == len(want) > 50 and {(r["file"], r["commit"], r["content"]): (r["preimage"], r["writer"]) for r in got} == want
+
+
+def test_small_files_take_few_jobs(spark):
+    """A job or two for the sizes, none for each bit of a revision's number."""
+    from caliperlab.plans import lineage
+
+    sc = spark.sparkContext
+    sc.setJobGroup("replay", "replay")
+    try:
+        lineage.reblame_writers(spark, "/root/testdata/sf0.001").count()
+        assert len(sc.statusTracker().getJobIdsForGroup("replay")) < 25
+    finally:
+        sc._jsc.clearJobGroup()
+
+
+def test_lines_from_before_all_revisions(spark):
+    """They are unknown: no preimage, and places below them stay right."""
+    edits = [(1, 0, 4, 1, 2), (1, 1, 4, 2, 1)]
+    lines = [(1, 0, 5, "x"), (1, 0, 6, "y"), (1, 1, 5, "z")]
+    got = [tuple(r) for r in blame.former_writers(*frames(spark, edits, lines)).collect()]
+    assert got == [(1, 1, "z", "x", 0)]

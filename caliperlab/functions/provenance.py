@@ -95,20 +95,23 @@ PATCH_CUT, DIFF_CUT = (6000, 3500, 2500, "\n... [TRUNCATED: PR patch too long, m
 LISTED_ISSUES, TITLE_CHARS = 3, 150
 
 
-def _middle_cut(x: Column, cut: tuple[int, int, int, str]) -> Column:
+def _middle_cut(x: Column, cut: tuple[int, int, int, str], one_byte: bool = False) -> Column:
     most, head, tail, note = cut
     by = lambda y: F.concat(F.substring(y, 1, head).cast("string"), F.lit(note), F.substring(y, -tail, tail).cast("string"))
-    # where each character is a byte, bytes are cut, without counting up to the places
+    # where each character is a byte, bytes are cut, without counting up to the places; to find that out counts all
+    if one_byte:
+        return F.when(F.octet_length(x) > most, by(x.cast("binary"))).otherwise(x)
     return F.when(F.octet_length(x) <= most, x).when(F.octet_length(x) == F.length(x), by(x.cast("binary"))).when(F.length(x) > most, by(x)).otherwise(x)
 
 
-def _fenced(title: str, x: Column) -> Column:
-    return F.when(x != "", F.concat(F.lit(f"\n\n{title}\n  ```diff\n"), x, F.lit("\n  ```"))).otherwise("")
+def _fenced(title: str, x: Column, cut: tuple[int, int, int, str], one_byte: bool) -> Column:
+    # no text is cut to nothing: what is cut is made once
+    return F.when(x != "", F.concat(F.lit(f"\n\n{title}\n  ```diff\n"), _middle_cut(x, cut, one_byte), F.lit("\n  ```"))).otherwise("")
 
 
-def case_steps(patch: Column, diff: Column) -> Column:
-    """The patch and the diff of a case as a fix's document shows them. Empty ones have no section."""
-    return F.concat(_fenced(PATCH_STEP, _middle_cut(patch, PATCH_CUT)), _fenced(DIFF_STEP, _middle_cut(diff, DIFF_CUT)))
+def case_steps(patch: Column, diff: Column, one_byte: bool = False) -> Column:
+    """The patch and the diff of a case as a fix's document shows them. Empty ones have no section. one_byte: their characters are known to be a byte each."""
+    return F.concat(_fenced(PATCH_STEP, patch, PATCH_CUT, one_byte), _fenced(DIFF_STEP, diff, DIFF_CUT, one_byte))
 
 
 def fix_document(sha: Column, message: Column, day: Column, days: Column, bucket: Column, cases: Column, issues: Column, blind: bool, stepped: bool = False) -> Column:

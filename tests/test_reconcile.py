@@ -95,3 +95,16 @@ def test_cut_by_bytes_is_the_cut_by_characters(spark):
     df = spark.createDataFrame(rows, "x string")
     got = [r["y"] for r in df.select(provenance._middle_cut(F.col("x"), (10, 4, 3, "|")).alias("y")).collect()]
     assert got == [x if x is None or len(x) <= 10 else x[:4] + "|" + x[-3:] for (x,) in rows]
+
+
+def test_fix_documents_counts_no_characters(spark):
+    """Their number follows from bytes, and cuts are by bytes, made once: the steps hold each step's cut one time."""
+    import re
+
+    from caliperlab.plans import reconcile as plans
+
+    plan = plans.fix_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length(" in plan and not re.search(r"(?<!octet_)length\(", plan)
+    df = spark.createDataFrame([(n,) for n in (0, 1, 5999, 6000, 6001, 8000, 8001, 20_000)], "n int").withColumn("x", F.repeat(F.lit("a"), F.col("n")))
+    got = df.select(provenance.case_steps(F.col("x"), F.col("x")).alias("a"), provenance.case_steps(F.col("x"), F.col("x"), one_byte=True).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and got[0]["a"] == "" and len({len(r["a"]) for r in got}) == 7  # from 8,001 on both are cut
